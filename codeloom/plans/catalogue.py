@@ -2,5 +2,7 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
+from codeloom.operators.snapshots import p6_found
+
+QUERIES: dict = {"p6_found": p6_found}
 ORACLES: dict[str, str] = {}
