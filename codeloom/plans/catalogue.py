@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from codeloom.operators.nested import p7_found
 from codeloom.operators.snapshots import p6_found
 
-QUERIES: dict = {"p6_found": p6_found}
+QUERIES: dict = {"p6_found": p6_found, "p7_found": p7_found}
 ORACLES: dict[str, str] = {}
