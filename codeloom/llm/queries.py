@@ -3,7 +3,8 @@
 from __future__ import annotations
 
 from codeloom.llm.components import p1_found
+from codeloom.llm.neighbours import p5_found
 
-QUERIES = {"p1_found": p1_found}
+QUERIES = {"p1_found": p1_found, "p5_found": p5_found}
 
 ORACLES: dict[str, str] = {}
