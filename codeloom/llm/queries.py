@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from codeloom.llm.components import p1_found
 from codeloom.llm.conversations import p3_found
+from codeloom.llm.docpairs import p2_found
 from codeloom.llm.neighbours import p5_found
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p5_found": p5_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found}
 
 ORACLES: dict[str, str] = {}
