@@ -5,9 +5,10 @@ from __future__ import annotations
 from codeloom.llm.components import p1_found
 from codeloom.llm.conversations import p3_found
 from codeloom.llm.docpairs import p2_found
+from codeloom.llm.leakage import p8_found
 from codeloom.llm.neighbours import p5_found
 from codeloom.llm.stuffing import p10_found
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p5_found": p5_found, "p8_found": p8_found, "p10_found": p10_found}
 
 ORACLES: dict[str, str] = {}
