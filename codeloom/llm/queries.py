@@ -7,9 +7,10 @@ from codeloom.llm.conversations import p3_found
 from codeloom.llm.docpairs import p2_found
 from codeloom.llm.languages import p4_found
 from codeloom.llm.leakage import p8_found
+from codeloom.llm.mixing import p9_mix, p9_shares
 from codeloom.llm.neighbours import p5_found
 from codeloom.llm.stuffing import p10_found
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p10_found": p10_found}
+QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
 
 ORACLES: dict[str, str] = {}
