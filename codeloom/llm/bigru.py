@@ -42,6 +42,8 @@ class ByteGRU:
         """Hidden states (T, B, h) of one direction over ids (T, B)."""
         T, B = ids.shape
         h = self.hidden
+        if not keep:
+            return self._forward(ids, mask, x, u), []
         out = np.empty((T, B, h), dtype=np.float32)
         saved = []
         s = np.zeros((B, h), dtype=np.float32)
@@ -60,6 +62,42 @@ class ByteGRU:
             out[t] = s = new
         return out, saved
 
+    def _forward(self, ids: np.ndarray, mask: np.ndarray, x: np.ndarray, u: np.ndarray) -> np.ndarray:
+        """The states of _run without what backpropagation needs, in buffers that are used again."""
+        T, B = ids.shape
+        h = self.hidden
+        out = np.empty((T, B, h), dtype=np.float32)
+        # gates apart, so that every operation runs over contiguous memory; a sigmoid is a tanh of half its argument
+        xz, xr, xn = (np.ascontiguousarray(x[:, i * h : (i + 1) * h] * k) for i, k in enumerate((0.5, 0.5, 1)))
+        uz, ur, un = (np.ascontiguousarray(u[:, i * h : (i + 1) * h] * k) for i, k in enumerate((0.5, 0.5, 1)))
+        xz, xr, xn, uz, ur, un = (v.astype(np.float32) for v in (xz, xr, xn, uz, ur, un))
+        s = np.zeros((B, h), dtype=np.float32)
+        z, r, n, g = (np.empty((B, h), dtype=np.float32) for _ in range(4))
+        full = mask.all(axis=1)
+        for t in range(T):
+            at = ids[t]
+            for gate, xg, ug in ((z, xz, uz), (r, xr, ur)):
+                np.take(xg, at, axis=0, out=gate, mode="clip")
+                np.matmul(s, ug, out=g)
+                gate += g
+                np.tanh(gate, out=gate)
+                gate *= 0.5
+                gate += 0.5
+            np.matmul(s, un, out=g)
+            r *= g
+            np.take(xn, at, axis=0, out=n, mode="clip")
+            n += r
+            np.tanh(n, out=n)
+            new = out[t]
+            np.subtract(s, n, out=new)
+            new *= z
+            new += n
+            if not full[t]:
+                off = ~mask[t]
+                new[off] = s[off]
+            s = new
+        return out
+
     def _back(self, ids, mask, x, u, saved, dout):
         """Gradients of one direction's tables for the gradients dout (T, B, h) of its states."""
         T, B = ids.shape

@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.keys import plain_key
 from codeloom.llm.bigru import ByteGRU, pack
+from codeloom.runtime import Scratch
 
 CODES = ["en", "de", "fr", "es", "pt", "ru", "uk", "zh"]
 NO_LANGUAGE = "zxx"
@@ -37,8 +38,12 @@ LABELS = {name: code for code, names in _NAMES.items() for name in names.split()
 # Labels that say nothing.
 UNKNOWN = ["", "und", "undefined", "undetermined", "unknown", "n/a", "na", "none", "null", "nil", "nan", "?", "??", "-", "--", "unk", "mis", "tbd", "other", "any", "auto", "unspecified", "not known"]
 
-_CODE = re.compile(r"```.*?```|`[^`]*`|https?://\S+|\b0x[0-9a-fA-F]+\b|[!-~]*(?:::|[/\\_@])[!-~]*?(?=[.,;:!?)\]]*(?:[^!-~]|$))|\b[\w-]+\.(?:py|ts|tsx|js|jsx|java|go|rs|cs|json|ya?ml|toml|html?|md|txt)\b|\b[a-z]+(?:[A-Z][a-z0-9]+)+\b|\b(?:[A-Z][a-z0-9]+){2,}\b|\w+\([^()\s]*\)|[\d#$%^&*+=<>~{}\[\]]+", re.S)
-_PART = re.compile(r"(?<=[.!?;:])\s+|[。！？；\n|]+|\s[—–-]\s|\s/\s")
+#: Tokens of code: with path or name separators, brackets of a call, digits, or capitals inside.
+_CODE = re.compile(r"::|[/\\_@#$%^&*+=<>~{}\[\]]|\d|\w\(|[^\W\d_][a-z0-9]*\.[a-z]{1,5}\b|[a-z][A-Z][a-z]")
+_QUOTED = re.compile(r"```.*?```|`[^`]*`", re.S)
+_ASCII = re.compile(r"[!-~]+")
+_INNER = re.compile(r"[。！？；]+")
+_END = re.compile(r"[.!?;:。！？；][\"')\]»”]*$|^[|—–/-]+$")
 _LETTER = re.compile(r"[^\W\d_]")
 _BLANKS = re.compile(r"[\W\d_]+")
 
@@ -53,14 +58,44 @@ def is_missing(c: Column) -> Column:
     return c.isNull() | F.lower(F.trim(c)).isin(UNKNOWN) | (F.regexp_replace(c, r"[\s\p{Z}]+", "") == "")
 
 
+class _Tokens(dict):
+    """Token to its pieces: (word in lower case or "", whether a part ends behind it)."""
+
+    def __missing__(self, token: str) -> tuple[tuple[str, bool], ...]:
+        pieces = []
+        for piece in _INNER.split(token):
+            if _CODE.search(piece):
+                piece = _ASCII.sub(" ", piece) if not piece.isascii() else ""
+            pieces.append((_BLANKS.sub(" ", piece).strip().lower(), False))
+            pieces.append(("", True))
+        if not _END.search(token):
+            pieces.pop()
+        if len(self) > 300_000:
+            self.clear()
+        self[token] = out = tuple(pieces)
+        return out
+
+
+_TOKENS = _Tokens()
+
+
 def text_parts(text: str) -> list[str]:
     """The sentences and lines of a text in lower case, without code and numbers."""
-    bare = _CODE.sub(" ", text)
-    out = []
-    for part in _PART.split(bare):
-        part = _BLANKS.sub(" ", part).strip().lower()
-        if part:
-            out.append(part)
+    if "`" in text:
+        text = _QUOTED.sub(" ", text)
+    out, words = [], []
+    look = _TOKENS.__getitem__
+    for line in text.split("\n"):
+        for token in line.split():
+            for word, end in look(token):
+                if word:
+                    words.append(word)
+                if end and words:
+                    out.append(" ".join(words))
+                    words = []
+        if words:
+            out.append(" ".join(words))
+            words = []
     return out
 
 
@@ -104,7 +139,7 @@ def _batches(texts: list[bytes]):
     order = sorted(range(len(texts)), key=lambda i: len(texts[i]))
     at = 0
     while at < len(order):
-        n = max(64, min(2048, 400_000 // max(1, len(texts[order[min(at + 64, len(order) - 1)]]))))
+        n = 320  # what a step works on stays in the processor's cache
         yield order[at : at + n]
         at += n
 
@@ -151,21 +186,28 @@ def label_parts(net: ByteGRU, parts: list[str]) -> list[list[tuple[int, float, i
     for group in _batches(pieces):
         ids, mask = pack([pieces[i] for i in group])
         p = net.probabilities(ids, mask)
+        mean = (p * mask[:, :, None]).sum(axis=0) / mask.sum(axis=0)[:, None]
+        best = mean.argmax(axis=1).tolist()
+        conf = mean.max(axis=1).tolist()
         for j, i in enumerate(group):
             raw = pieces[i]
+            if conf[j] >= 0.9 or len(raw) <= 30:
+                runs[owner[i]].append((best[j], conf[j], _letters(raw)))
+                continue
             mine = p[: len(raw), j]
-            mean = mine.mean(axis=0)
-            k = int(mean.argmax())
-            spans = [(0, len(raw))]
-            if mean[k] < 0.9 and len(raw) > 30:
-                spans = _split(np.log(mine + 1e-4), np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32))
-            for a, b in spans:
+            for a, b in _split(np.log(mine + 1e-4), np.flatnonzero(np.frombuffer(raw, dtype=np.uint8) == 32)):
                 m = mine[a:b].mean(axis=0)
                 k = int(m.argmax())
-                runs[owner[i]].append((k, float(m[k]), len(_LETTER.findall(raw[a:b].decode("utf-8", "ignore")))))
+                runs[owner[i]].append((k, float(m[k]), _letters(raw[a:b])))
     return runs
 
 
+def _letters(raw: bytes) -> int:
+    """Letters of a part, which holds nothing but letters and blanks."""
+    text = raw.decode("utf-8", "ignore")
+    return len(text) - text.count(" ")
+
+
 def languages_of(parts: list[str], runs: dict[str, list[tuple[int, float, int]]]) -> list[tuple[str, float]]:
     """(language, confidence) of a text from the runs of its parts, the main language first.
 
@@ -247,5 +289,5 @@ def label_cases(found: DataFrame) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
-    texts = labelled_texts(spark, root).where("text is not null")
+    texts = Scratch(spark, "languages").save(labelled_texts(spark, root).where("text is not null"), "texts")
     return label_cases(detect(texts, fit(training_rows(texts)))).select("tbl", "record_id", "lang")
