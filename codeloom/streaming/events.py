@@ -14,11 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 
-def debounce(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
+def debounce(events: DataFrame, idle_ms: int | None = None) -> DataFrame:
     """Events(session, path, at, hash) whose hash differs from the last one seen for the session and path; A-B-A fires again.
 
     The state of a key is its last hash alone. Rows of one key in a batch are taken in order of
-    time; a key that is idle longer than idle_ms is forgotten.
+    time; with idle_ms a key that is idle for longer is forgotten.
     """
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -33,10 +33,11 @@ def debounce(events: DataFrame, idle_ms: int = 86_400_000) -> DataFrame:
             keep.append(not seen or h != last)
             last, seen = h, True
         state.update((last,))
-        state.setTimeoutDuration(idle_ms)
+        if idle_ms:
+            state.setTimeoutDuration(idle_ms)
         yield rows[keep][["session", "path", "at", "hash"]]
 
-    return events.groupBy("session", "path").applyInPandasWithState(step, "session long, path string, at timestamp, hash string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout)
+    return events.groupBy("session", "path").applyInPandasWithState(step, "session long, path string, at timestamp, hash string", "hash string", "append", GroupStateTimeout.ProcessingTimeTimeout if idle_ms else GroupStateTimeout.NoTimeout)
 
 
 def session_totals(events: DataFrame) -> DataFrame:
