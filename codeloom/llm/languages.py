@@ -25,9 +25,9 @@ from codeloom.runtime import Scratch
 CODES = ["en", "de", "fr", "es", "pt", "ru", "uk", "zh"]
 NO_LANGUAGE = "zxx"
 #: Bounds of the training sample: rows per language, parts of texts per language, bytes of a part, epochs before and after the noise is removed.
-ROWS, PARTS, PART_BYTES, EPOCHS = 400, 640, 96, (5, 8)
+ROWS, PARTS, PART_BYTES, EPOCHS = 500, 640, 96, (4, 9)
 CHUNK_BYTES = 480  # longer parts are labelled piece by piece
-LETTERS, SURE, SWITCH = 8, 0.9, 20.0  # letters and confidence of a part in another language; log odds of a switch inside a part
+LETTERS, SURE, SWITCH = 8, 0.96, 20.0  # letters and confidence of a part in another language; log odds of a switch inside a part
 
 # Codes and English names of the languages.
 _NAMES = {
