@@ -183,3 +183,8 @@ def conversations(rows: DataFrame, session_rows: int = SESSION_ROWS) -> DataFram
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     return conversations(message_rows(spark.read.parquet(f"{root}/transcript.parquet"))).select("session_id", "pos", "uuid")
+
+
+def p3_conversations(spark: SparkSession, root: str) -> DataFrame:
+    """The kept conversations with the speaker of each message."""
+    return conversations(message_rows(spark.read.parquet(f"{root}/transcript.parquet")))

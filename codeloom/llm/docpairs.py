@@ -161,3 +161,8 @@ def documented_functions(files: DataFrame) -> DataFrame:
 
 def p2_found(spark: SparkSession, root: str) -> DataFrame:
     return documented_functions(spark.read.parquet(f"{root}/source_files.parquet")).select("fn_id").distinct()
+
+
+def p2_pairs(spark: SparkSession, root: str) -> DataFrame:
+    """Code and documentation of every documented function."""
+    return documented_functions(spark.read.parquet(f"{root}/source_files.parquet"))

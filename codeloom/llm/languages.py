@@ -288,6 +288,49 @@ def label_cases(found: DataFrame) -> DataFrame:
     return cases.select("tbl", "record_id", F.explode("langs").alias("x")).select("tbl", "record_id", F.col("x.lang").alias("lang"), F.col("x.confidence").alias("confidence"))
 
 
-def p4_found(spark: SparkSession, root: str) -> DataFrame:
+def segments(texts: DataFrame, weights: dict[str, np.ndarray]) -> DataFrame:
+    """One row per part of each text in one language: the columns of texts but text, pos, lang, confidence and part.
+
+    Neighbouring parts in the same language are one; a part that isn't sure of its language
+    (see languages_of) has its text's main one. Texts of code only have a single zxx row.
+    """
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in texts.drop("text").schema.fields) + ", pos int, lang string, confidence double, part string"
+    sent = texts.sparkSession.sparkContext.broadcast(weights)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        net = ByteGRU.from_state(sent.value)
+        for batch in batches:
+            cut = [text_parts(t) if isinstance(t, str) else [] for t in batch["text"]]
+            every = list(dict.fromkeys(p for parts in cut for p in parts))
+            runs = dict(zip(every, label_parts(net, every)))
+            head, rows = batch.drop(columns=["text"]), []
+            for values, text, parts in zip(head.itertuples(index=False, name=None), batch["text"], cut):
+                if not isinstance(text, str) or not text.strip():
+                    continue
+                found = [a for a, _ in languages_of(parts, runs)]
+                merged: list[list] = [] if parts else [[NO_LANGUAGE, 1.0, 1, ""]]
+                for p in parts:
+                    k, conf, _ = max(runs[p], key=lambda r: r[2])
+                    code = CODES[k] if CODES[k] in found else found[0]
+                    if merged and merged[-1][0] == code:
+                        merged[-1] = [code, merged[-1][1] + conf, merged[-1][2] + 1, merged[-1][3] + " " + p]
+                    else:
+                        merged.append([code, conf, 1, p])
+                rows += [(*values, i, code, conf / n, part) for i, (code, conf, n, part) in enumerate(merged)]
+            yield pd.DataFrame(rows, columns=[*head.columns, "pos", "lang", "confidence", "part"])
+
+    return texts.mapInPandas(run, schema)
+
+
+def _prepared(spark: SparkSession, root: str) -> tuple[DataFrame, dict[str, np.ndarray]]:
     texts = Scratch(spark, "languages").save(labelled_texts(spark, root).where("text is not null"), "texts")
-    return label_cases(detect(texts, fit(training_rows(texts)))).select("tbl", "record_id", "lang")
+    return texts, fit(training_rows(texts))
+
+
+def p4_segments(spark: SparkSession, root: str) -> DataFrame:
+    """Every text's parts with language and confidence."""
+    return segments(*_prepared(spark, root)).drop("label", "part")
+
+
+def p4_found(spark: SparkSession, root: str) -> DataFrame:
+    return label_cases(detect(*_prepared(spark, root))).select("tbl", "record_id", "lang")

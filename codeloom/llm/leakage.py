@@ -224,3 +224,8 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
 def p8_found(spark: SparkSession, root: str) -> DataFrame:
     got = leaked_items(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/eval_items.parquet"))
     return got.where("kind = 'copy'").select("doc_id", "item_id").distinct()
+
+
+def p8_leaks(spark: SparkSession, root: str) -> DataFrame:
+    """Copies and re-parameterised items with the length and edits of their passage."""
+    return leaked_items(spark.read.parquet(f"{root}/documents.parquet"), spark.read.parquet(f"{root}/eval_items.parquet"))

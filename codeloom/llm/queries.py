@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 from codeloom.llm.components import p1_found
-from codeloom.llm.conversations import p3_found
-from codeloom.llm.docpairs import p2_found
-from codeloom.llm.languages import p4_found
-from codeloom.llm.leakage import p8_found
+from codeloom.llm.conversations import p3_conversations, p3_found
+from codeloom.llm.docpairs import p2_found, p2_pairs
+from codeloom.llm.languages import p4_found, p4_segments
+from codeloom.llm.leakage import p8_found, p8_leaks
 from codeloom.llm.mixing import p9_mix, p9_shares
 from codeloom.llm.neighbours import p5_found
 from codeloom.llm.stuffing import p10_found
 
-QUERIES = {"p1_found": p1_found, "p2_found": p2_found, "p3_found": p3_found, "p4_found": p4_found, "p5_found": p5_found, "p8_found": p8_found, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found}
+QUERIES = {
+    "p1_found": p1_found, "p2_found": p2_found, "p2_pairs": p2_pairs, "p3_found": p3_found, "p3_conversations": p3_conversations, "p4_found": p4_found, "p4_segments": p4_segments,
+    "p5_found": p5_found, "p8_found": p8_found, "p8_leaks": p8_leaks, "p9_mix": p9_mix, "p9_shares": p9_shares, "p10_found": p10_found,
+}
 
+#: SQL with the same rows, where SQL can express the whole-table result.
 ORACLES: dict[str, str] = {}
