@@ -27,6 +27,7 @@ EDITS = 10  # one word in so many may be replaced, dropped or added
 #: Words of a window. A passage of n >= 15 words with n // 10 edits has an unbroken run of at
 #: least 7 words, and its windows of 6 number at least 3: no leak can escape the join.
 WINDOW, SHARED = 6, 3
+PLACE = 128  # words of a block by which places of hits are kept, so that long documents are aligned piece by piece
 #: Windows of test items in one broadcast (about 16 bytes each); more items are met in blocks.
 BLOCK_WINDOWS = 1_000_000
 
@@ -179,16 +180,30 @@ def reparameterised(doc: list[str], item: list[str]) -> bool:
     return length >= PASSAGE and changed * EDITS > length
 
 
+def stretches(places: list[int], item_words: int) -> list[tuple[int, int]]:
+    """Word ranges (from, to) around sorted blocks of PLACE words with hits; blocks further apart than the item is long fall into different ranges."""
+    out: list[list[int]] = []
+    for p in places:
+        lo, hi = p * PLACE - item_words, (p + 1) * PLACE + WINDOW + item_words
+        if out and lo <= out[-1][1]:
+            out[-1][1] = hi
+        else:
+            out.append([max(0, lo), hi])
+    return [(a, b) for a, b in out]
+
+
 def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
         rows = []
-        for doc, item, dwords, iwords, lo, hi in zip(batch["doc_id"], batch["item_id"], batch["dwords"], batch["iwords"], batch["lo"], batch["hi"]):
-            part = list(dwords[max(0, lo - len(iwords)) : hi + WINDOW + len(iwords)])
+        for doc, item, dwords, iwords, places in zip(batch["doc_id"], batch["item_id"], batch["dwords"], batch["iwords"], batch["places"]):
             iwords = list(iwords)
-            length, edits = shared_passage(part, iwords)
-            kind = "copy" if length else "reparameterised" if reparameterised(part, iwords) else None
-            if kind:
-                rows.append((doc, item, length, edits, kind))
+            best, changed = (0, 0), False
+            for lo, hi in stretches([int(p) for p in places], len(iwords)):
+                part = list(dwords[lo:hi])
+                best = max(best, shared_passage(part, iwords))
+                changed = changed or (not best[0] and reparameterised(part, iwords))
+            if best[0] or changed:
+                rows.append((doc, item, *best, "copy" if best[0] else "reparameterised"))
         yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "kind"])
 
 
@@ -214,7 +229,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         known = np.unique(np.array([r.h for r in windows.select("h").distinct().collect()], dtype=np.int64))
         probed = tmp.save(texts.mapInPandas(_probe(known), "doc_id long, dwords array<string>, hs array<long>, ps array<int>"), "probed")
         hits = probed.select("doc_id", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
-        pairs = hits.join(F.broadcast(windows), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.min("p").alias("lo"), F.max("p").alias("hi")).where(F.col("n") >= SHARED)
+        pairs = hits.join(F.broadcast(windows), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.array_sort(F.collect_set(F.floor(F.col("p") / PLACE))).alias("places")).where(F.col("n") >= SHARED)
         cands = tmp.save(pairs, "pairs").join(probed.select("doc_id", "dwords"), "doc_id").join(F.broadcast(some.select("item_id", "iwords")), "item_id")
         rows = cands.mapInPandas(_verify, "doc_id long, item_id int, words int, edits int, kind string")
         found = rows if found is None else found.unionByName(rows)

@@ -46,11 +46,11 @@ def repetition_rates(counts: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, available_tokens, rate) for every source of targets.
 
     The size aimed at is that of all counted documents. rate = share of it over what the source
-    has, at most max_repeats; 0 for sources without tokens.
+    has, at most max_repeats; 0 for sources without tokens; targets without a source are left out.
     """
     have = counts.groupBy("source").agg(F.sum("tokens").alias("available_tokens"))
     size = have.agg(F.sum("available_tokens").alias("size"))
-    rows = targets.select(F.trim("source").alias("source"), "target_share", "max_repeats").join(have, "source", "left").crossJoin(size)
+    rows = targets.select(F.trim("source").alias("source"), "target_share", "max_repeats").where("source <> ''").join(have, "source", "left").crossJoin(size)
     wish = F.coalesce(F.try_divide(F.col("target_share") * F.col("size"), F.col("available_tokens")), F.lit(0.0))
     return rows.select("source", "target_share", "max_repeats", F.coalesce("available_tokens", F.lit(0)).alias("available_tokens"), F.least(wish, F.col("max_repeats").cast("double")).alias("rate"))
 

@@ -98,6 +98,15 @@ def test_leaks_with_edits_layout_and_marks(spark):
     assert {r.doc_id for r in got.where("kind = 'copy'").collect()} == {1, 2, 4, 5, 9, 10}
 
 
+def test_long_documents_are_aligned_piece_by_piece(spark):
+    item = "Report when old keepers halves 24 crates of rebate before week 11 and both crews weighs every noble ticket near the bridge"
+    filler = "the keepers of the bridge and the crates of the week " * 40_000
+    docs = [(1, item + " " + filler + item), (2, filler)]
+    got = K.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id int, text string"))
+    assert [(r.doc_id, r.words) for r in got.where("kind = 'copy'").collect()] == [(1, len(item.split()))]
+    assert K.stretches([0, 1, 50], 20) == [(0, 282), (6380, 6554)]
+
+
 def test_reparameterised_items_are_told_apart():
     item = "a train of 12 wagons leaves at 9 and meets 12 carts after 40 minutes on the way".split()
     other = [{"12": "15", "9": "8", "40": "55"}.get(w, w) for w in item]
