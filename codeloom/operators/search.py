@@ -26,7 +26,7 @@ def intent_search(functions: DataFrame, callers: DataFrame, intent: str, least:
     The query's tokens are literals of the plan; the top `most` are taken without a full sort.
     """
     q = F.array_distinct(T.tokenize(F.lit(intent)))
-    rows = functions.join(callers, "fn_id", "left").fillna(0, ["callers"]).withColumn("q", q).where(F.size("q") > 0)
+    rows = functions.select("fn_id", "fn_name", "params", "return_type", "docstring", "intent").join(callers, "fn_id", "left").fillna(0, ["callers"]).withColumn("q", q).where(F.size("q") > 0)
     share = lambda c: F.size(F.array_intersect("q", c)) / F.size("q")
     raw = share(T.name_stems(F.col("fn_name"))) * 0.5 + share(T.function_tokens(F.col("fn_name"), F.col("params"), F.col("return_type"), F.col("docstring"))) * 0.3 + share(F.array_distinct(T.tokenize(F.col("intent")))) * 0.4
     score = F.when(F.col("callers") >= 3, raw * 1.1).otherwise(raw)
