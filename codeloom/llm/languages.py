@@ -51,7 +51,8 @@ _BLANKS = re.compile(r"[\W\d_]+")
 def label_code(c: Column) -> Column:
     """The language a label names in any usual spelling; null if it names none of the known ones."""
     table = F.create_map(*[F.lit(x) for kv in LABELS.items() for x in kv])
-    return table[F.regexp_extract(F.lower(F.trim(c)), r"([a-z]+)", 1)]
+    words = F.regexp_extract_all(F.lower(c), F.lit(r"([a-z]+)"), F.lit(1))
+    return F.get(F.filter(F.transform(words, lambda w: table[w]), lambda x: x.isNotNull()), F.lit(0))
 
 
 def is_missing(c: Column) -> Column:

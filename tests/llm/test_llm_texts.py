@@ -81,9 +81,9 @@ def test_held_out_accuracy(spark, data):
 
 def test_code_is_no_language_and_labels_in_any_spelling(spark):
     assert L.text_parts("{4: 0x482086} @@ web/stock_plot.py") == [] and L.languages_of([], {}) == [("zxx", 1.0)]
-    df = spark.createDataFrame([("en-US", "en"), ("Ukrainian", "uk"), ("ZH_cn", "zh"), ("Brazilian", None), ("  ", None), (None, None)], "x string, want string")
+    df = spark.createDataFrame([("en-US", "en"), ("Ukrainian", "uk"), ("ZH_cn", "zh"), ("Brazilian", None), ("Brazilian Portuguese", "pt"), ("Chinese (Simplified)", "zh"), ("n/a", None), ("  ", None), (None, None)], "x string, want string")
     assert all(r.got == r.want for r in df.select("want", L.label_code(df.x).alias("got")).collect())
-    assert [r.m for r in df.select(L.is_missing(df.x).alias("m")).collect()] == [False, False, False, False, True, True]
+    assert [r.m for r in df.select(L.is_missing(df.x).alias("m")).collect()] == [False, False, False, False, False, False, True, True, True]
 
 
 def test_leaks_with_edits_layout_and_marks(spark):
