@@ -35,14 +35,17 @@ class Scratch:
     """Written intermediate tables of one operator run, below the shared folder.
 
     `save` writes a DataFrame as parquet and reads it back, which cuts its lineage and lets
-    a lost executor's work be read again instead of recomputed. `drop` removes tables that
-    no later plan reads.
+    a lost executor's work be read again instead of recomputed. Results may still read these
+    tables, so they stay until clear_scratch is called.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        if not hasattr(spark.sparkContext, "_codeloom_scratch"):
+            spark.sparkContext._codeloom_scratch = []
+        spark.sparkContext._codeloom_scratch.append(self.root)
 
     def path(self, name: str = "t") -> str:
         self._n += 1
@@ -53,11 +56,12 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
         return self.spark.read.schema(df.schema).parquet(where)
 
-    def drop(self, df_or_path) -> None:
-        """Delete a saved table (given as DataFrame or path)."""
-        where = df_or_path if isinstance(df_or_path, str) else df_or_path.inputFiles()[0].rsplit("/", 1)[0] if df_or_path.inputFiles() else None
-        if not where:
-            return
-        jvm = self.spark._jvm
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete the scratch tables that this session wrote, once no result that reads them is needed."""
+    roots = getattr(spark.sparkContext, "_codeloom_scratch", [])
+    jvm = spark.sparkContext._jvm
+    for where in roots:
         p = jvm.org.apache.hadoop.fs.Path(where)
-        p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
+        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+    roots.clear()

@@ -100,3 +100,16 @@ def test_insights_merge_alike_texts(spark):
     rows = [("t", "the price is rounded twice here", "1", 2), ("t", "the price is rounded twice there", "2", 3), ("t", "something else", "3", 1), ("u", "the price is rounded twice here", "4", 1), (None, "x", "5", 1), ("t", None, "6", 1)]
     got = {(r.target, r.occurrences, r.turns, r.priority) for r in N.merge_insights(spark.createDataFrame(rows, "target string, description string, id string, turns int")).collect()}
     assert got == {("t", 2, 5, "medium"), ("t", 1, 1, "low"), ("u", 1, 1, "low")}
+
+
+def test_scratch_tables_can_be_cleared(spark):
+    import os
+
+    from codeloom.runtime import Scratch, clear_scratch
+
+    tmp = Scratch(spark, "t")
+    assert tmp.save(spark.range(5)).count() == 5
+    where = tmp.root.removeprefix("file://").removeprefix("file:")
+    assert os.path.isdir(where)
+    clear_scratch(spark)
+    assert not os.path.exists(where)
