@@ -141,3 +141,12 @@ def test_stuffed_pages(spark):
     got = {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
     assert got == {1, 2, 8, 11} - ({8} if len(links.split()) <= len(prose.split()) else set())
     assert S.stuffed_pages(spark.createDataFrame([], "doc_id long, text string")).count() == 0
+
+
+def test_pages_of_tags_alone_are_judged(spark):
+    names = "order pallet reserve batch resolve sensor course intake score payout widget harvest build route policy session rebate fare lesson meter".split()
+    pick = np.random.default_rng(5)
+    tags = lambda n, mark, sep: sep.join(mark + names[i] for i in pick.integers(len(names), size=n))
+    prose = "The scheduler sorts the open invoices after the lock is taken so that the report stays stable. Nobody on the team owns the price cache. "
+    docs = [(1, tags(90, "#", " ")), (2, tags(60, "#", " ")), (3, prose + tags(90, "#", " ")), (4, tags(80, "", " - ")), (5, prose * 4 + tags(20, "#", " ")), (6, tags(80, "", ". "))]
+    assert {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1, 2, 3, 4, 6}
