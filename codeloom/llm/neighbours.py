@@ -7,8 +7,8 @@ candidates of all tables are reranked by exact cosine, and vectors whose neighbo
 to be far visit further buckets.
 
 Exact copies are folded into one representative first, so a group of copies costs nothing,
-and buckets holding too many members are cut by finer hash functions, then into blocks, so no
-task holds an unbounded group and nothing is dropped.
+and buckets holding too many members are cut into blocks, each block of members meeting each
+block of visitors, so no task holds an unbounded group and no pair of a bucket is dropped.
 """
 
 from __future__ import annotations
@@ -30,7 +30,6 @@ from codeloom.runtime import Scratch
 WIDTH = 1.0  # slot width w on unit vectors
 TABLES = 4
 OCCUPANCY = 24  # members aimed at in an average bucket; sets the number of hash functions
-FINE = 4  # finer functions have slots this many times narrower
 MEMBERS, QUERIES = 4096, 16384  # rows of a bucket in one task; more are cut into blocks
 SEED = 20240229
 
@@ -71,7 +70,6 @@ def _codes(slots: np.ndarray) -> np.ndarray:
 def _hasher(dim: int, m: int, probes: int, tables: int, width: float):
     rng = np.random.default_rng(SEED)
     coarse = [(rng.normal(size=(dim, m)), rng.uniform(size=m)) for _ in range(tables)]
-    fine = [(rng.normal(size=(dim, m)), rng.uniform(size=m)) for _ in range(tables)]
     sets = _templates(m, probes)
 
     def visit(x: np.ndarray, ab, w: float) -> np.ndarray:
@@ -96,7 +94,7 @@ def _hasher(dim: int, m: int, probes: int, tables: int, width: float):
             x = np.frombuffer(b"".join(batch["raw"]), dtype=np.float32).reshape(len(batch), dim).astype(np.float64)
             x /= np.linalg.norm(x, axis=1, keepdims=True)
             for t in range(tables):
-                yield pd.DataFrame({"rid": batch["rid"], "raw": batch["raw"], "t": np.full(len(batch), t, dtype=np.int32), "codes": list(visit(x, coarse[t], width)), "fines": list(visit(x, fine[t], width / FINE))})
+                yield pd.DataFrame({"rid": batch["rid"], "raw": batch["raw"], "t": np.full(len(batch), t, dtype=np.int32), "codes": list(visit(x, coarse[t], width))})
 
     return run
 
@@ -171,23 +169,16 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _search(reps: DataFrame, queries: DataFrame, k: int, dim: int, m: int, probes: int, tables: int, width: float, tmp: Scratch, all_rows: bool) -> DataFrame:
-    schema = "rid long, raw binary, t int, codes array<long>, fines array<long>"
-    own = reps.mapInPandas(_hasher(dim, m, 1, tables, width), schema).select("rid", "raw", "t", F.col("codes")[0].alias("code"), F.col("fines")[0].alias("fine"))
+    schema = "rid long, raw binary, t int, codes array<long>"
+    own = reps.mapInPandas(_hasher(dim, m, 1, tables, width), schema).select("rid", "raw", F.xxhash64("t", F.col("codes")[0]).alias("bucket"), F.lit(True).alias("member"))
     own = tmp.save(own, "own")
     asked = reps if all_rows else reps.join(queries, "rid", "left_semi")
-    visits = tmp.save(asked.mapInPandas(_hasher(dim, m, probes, tables, width), schema), "visits")
-    # buckets over the limit; at most tables * n / limit, and the limit rises so that this stays below 20 000
-    total = max(own.count(), 1)
-    limit = max(MEMBERS, total // 20_000)
-    crowded = own.groupBy("t", "code").count().where(F.col("count") > limit).select("t", "code", F.lit(True).alias("crowded"))
-    crowded = F.broadcast(tmp.save(crowded, "crowded"))
-    plain = F.lit(0).cast("long")
-    holds = own.join(crowded, ["t", "code"], "left").select("rid", "raw", "t", "code", F.when(F.col("crowded"), F.col("fine")).otherwise(plain).alias("fine"), F.lit(True).alias("member"))
-    ask = visits.select("rid", "raw", "t", F.explode("codes").alias("code"), "fines").join(crowded, ["t", "code"], "left")
-    ask = ask.select("rid", "raw", "t", "code", F.explode(F.when(F.col("crowded"), F.col("fines")).otherwise(F.array(plain))).alias("fine"), F.lit(False).alias("member"))
-    ask = ask.join(holds.select("t", "code", "fine").distinct(), ["t", "code", "fine"], "left_semi")
-    rows = tmp.save(holds.unionByName(ask).withColumn("bucket", F.xxhash64("t", "code", "fine")).select("rid", "raw", "bucket", "member"), "rows")
-    # what finer functions can't separate is met block by block
+    ask = asked.mapInPandas(_hasher(dim, m, probes, tables, width), schema).select("rid", "raw", "t", F.explode("codes").alias("code"))
+    ask = ask.select("rid", "raw", F.xxhash64("t", "code").alias("bucket"), F.lit(False).alias("member"))
+    ask = ask.join(own.select("bucket").distinct(), "bucket", "left_semi").select("rid", "raw", "bucket", "member")
+    rows = tmp.save(own.unionByName(ask), "rows")
+    # buckets over the limit are met block by block; the limit rises so that they are at most some 20 000 by their members
+    limit = max(MEMBERS, own.count() // 20_000)
     big = rows.groupBy("bucket").agg(F.count_if("member").alias("nm"), F.count_if(~F.col("member")).alias("nq")).where((F.col("nm") > limit) | (F.col("nq") > 4 * limit))
     big = F.broadcast(tmp.save(big.select("bucket", F.ceil(F.col("nm") / limit).cast("int").alias("mb"), F.ceil(F.col("nq") / (4 * limit)).cast("int").alias("qb")), "big"))
     cut = rows.join(big, "bucket", "left").withColumns({"mb": F.coalesce("mb", F.lit(1)), "qb": F.coalesce("qb", F.lit(1))})

@@ -6,6 +6,7 @@ import random
 import numpy as np
 import pytest
 
+from codeloom.llm import neighbours
 from codeloom.llm.components import connected_groups, match_links
 from codeloom.llm.conversations import conversations, kahn_order, message_rows
 from codeloom.llm.neighbours import nearest_vectors, neighbour_pairs, usable_vectors
@@ -97,6 +98,16 @@ def test_neighbours_recall_with_copies(spark):
     assert len(got & want) / len(want) >= 0.95 and len(got & want) / len(got) >= 0.95
 
 
+def test_neighbours_in_a_crowded_bucket(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "MEMBERS", 100)
+    rng = np.random.default_rng(3)
+    x = (rng.normal(size=16) / 4 + 0.06 * rng.normal(size=(700, 16))).astype(np.float32)
+    ids = [f"v{i:04d}" for i in range(len(x))]
+    got = neighbour_pairs(nearest_vectors(spark.createDataFrame(list(zip(ids, x.tolist())), "id string, vec array<float>"), dim=16)).collect()
+    got, want = {(r.id_a, r.id_b) for r in got}, brute_pairs(ids, x.astype(float))
+    assert len(got & want) / len(want) >= 0.999
+
+
 def test_unusable_vectors_and_tiny_tables(spark):
     rows = [("a", "h", [1.0, 0.0], 1), ("a", "h", [0.0, 1.0], 2), ("b", "h", [0.0, 0.0], 1), ("c", "h", None, 1), ("d", "h", [1.0], 1), ("e", "h", [float("nan"), 1.0], 1), ("f", "h", [0.0, 2.0], 1), (None, "h", [1.0, 1.0], 1), ("g", "h", [float("inf"), 1.0], 1)]
     ok = usable_vectors(spark.createDataFrame(rows, "id string, hash string, vec array<float>, built_at int"), 2)
