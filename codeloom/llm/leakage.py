@@ -2,7 +2,7 @@
 
 Method: numbers, names and units become typed placeholders; windows of the resulting template
 words are hash-joined between the test items and the corpus; for every document and item with
-enough shared windows the words are aligned, and the slots behind the placeholders are held
+enough shared windows the words are aligned around each run they share, and the slots behind the placeholders are held
 against each other: a passage whose slots agree is a copy, one whose template agrees under a
 consistent change of slots is a re-parameterised question.
 """
@@ -10,6 +10,7 @@ consistent change of slots is a re-parameterised question.
 from __future__ import annotations
 
 import html
+import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
@@ -147,23 +148,62 @@ def _probe(known: np.ndarray):
     return run
 
 
+def _reach(item: list[str], doc: list[str], most: int) -> list[int]:
+    """For 0 to `most` edits the words of item, from its start, that an alignment with the start of doc covers up to a match."""
+    far = most + 1
+    reach = [0] * far
+    row = {j: j for j in range(min(most, len(doc)) + 1)}  # edits by words of doc, at the words of item so far
+    for i in range(1, len(item) + 1):
+        last, row = row, {}
+        for j in range(max(0, i - most), min(len(doc), i + most) + 1):
+            if j and item[i - 1] == doc[j - 1]:
+                d = last.get(j - 1, far)
+                if d < far:
+                    reach[d] = i
+            else:
+                d = 1 + min(last.get(j - 1, far), last.get(j, far), row.get(j - 1, far))
+            if d < far:
+                row[j] = d
+        if not row:
+            break
+    return list(itertools.accumulate(reach, max))
+
+
 def shared_passage(doc: list[str], item: list[str]) -> tuple[int, int]:
-    """(words of the item, edits) of its longest passage in doc with no more than one edit in EDITS words; (0, 0) if none reaches PASSAGE."""
-    blocks = [b for b in SequenceMatcher(None, item, doc, autojunk=False).get_matching_blocks() if b.size]
+    """(words of the item, edits) of its longest passage in doc with no more than one edit in EDITS words; (0, 0) if none reaches PASSAGE.
+
+    Every unbroken run of WINDOW words, which no passage lacks, is extended to both sides from its first and its last window.
+    """
+    most = len(item) // EDITS
+    at: dict[tuple[str, ...], list[int]] = {}
+    for a in range(len(item) - WINDOW + 1):
+        at.setdefault(tuple(item[a : a + WINDOW]), []).append(a)
     best = (0, 0)
-    for i, first in enumerate(blocks):
-        edits = 0
-        for j in range(i, len(blocks)):
-            b = blocks[j]
-            if j > i:
-                a = blocks[j - 1]
-                edits += max(b.a - a.a - a.size, b.b - a.b - a.size)
-            length = b.a + b.size - first.a
-            if length >= PASSAGE and edits <= length // EDITS and length > best[0]:
-                best = (length, edits)
+    for b in range(len(doc) - WINDOW + 1):
+        for a in at.get(tuple(doc[b : b + WINDOW]), ()):
+            if a and b and item[a - 1] == doc[b - 1]:
+                continue  # within a run that was met before
+            size = WINDOW
+            while a + size < len(item) and b + size < len(doc) and item[a + size] == doc[b + size]:
+                size += 1
+            if size == len(item) >= PASSAGE:
+                return size, 0
+            for c in {0, size - WINDOW}:  # words repeated at the end of a run may as well belong to what follows an edit
+                x, y = a + c, b + c
+                left = _reach(item[:x][::-1], doc[max(0, y - x - most) : y][::-1], most)
+                right = _reach(item[x + WINDOW :], doc[y + WINDOW : y + len(item) - x + most], most)
+                for i, j in itertools.product(range(most + 1), repeat=2):
+                    length = left[i] + WINDOW + right[j]
+                    if length >= PASSAGE and i + j <= length // EDITS:
+                        best = max(best, (length, i + j), key=_rank)
     return best
 
 
+def _rank(passage: tuple[int, int]) -> tuple[int, int]:
+    """Longer passages first, then those with fewer edits."""
+    return passage[0], -passage[1]
+
+
 def reparameterised(doc: list[str], item: list[str]) -> bool:
     """True if a passage has the item's template and its slots were changed consistently: equal slots stay equal."""
     as_template = lambda ws: ["\x01n" if w.isdigit() else w for w in ws]
@@ -198,9 +238,9 @@ def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for doc, item, dwords, iwords, places in zip(batch["doc_id"], batch["item_id"], batch["dwords"], batch["iwords"], batch["places"]):
             iwords = list(iwords)
             best, changed = (0, 0), False
-            for lo, hi in stretches([int(p) for p in places], len(iwords)):
+            for lo, hi in stretches([int(p) for p in places], len(iwords) + len(iwords) // EDITS):
                 part = list(dwords[lo:hi])
-                best = max(best, shared_passage(part, iwords))
+                best = max(best, shared_passage(part, iwords), key=_rank)
                 changed = changed or (not best[0] and reparameterised(part, iwords))
             if best[0] or changed:
                 rows.append((doc, item, *best, "copy" if best[0] else "reparameterised"))

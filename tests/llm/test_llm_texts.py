@@ -150,3 +150,12 @@ def test_pages_of_tags_alone_are_judged(spark):
     prose = "The scheduler sorts the open invoices after the lock is taken so that the report stays stable. Nobody on the team owns the price cache. "
     docs = [(1, tags(90, "#", " ")), (2, tags(60, "#", " ")), (3, prose + tags(90, "#", " ")), (4, tags(80, "", " - ")), (5, prose * 4 + tags(20, "#", " ")), (6, tags(80, "", ". "))]
     assert {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {1, 2, 3, 4, 6}
+
+
+def test_edited_passage_beside_a_longer_fragment(spark):
+    item = [f"w{chr(97 + i // 26)}{chr(97 + i % 26)}" for i in range(40)]
+    other = [f"x{chr(97 + i)}" for i in range(10)]
+    leak = item[4:11] + ["y"] + item[12:19]
+    docs = [(1, item[21:35] + other + leak), (2, leak + other + item[21:35]), (3, item[21:35] + other + item[4:11] + ["y", "y"] + item[13:19]), (4, item[5:19] + item[30:40])]
+    got = K.leaked_items(spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string"))
+    assert {(r.doc_id, r.words, r.edits) for r in got.where("kind = 'copy'").collect()} == {(1, 15, 1), (2, 15, 1)}
