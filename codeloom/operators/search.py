@@ -5,6 +5,8 @@ Null and empty texts have no tokens and match nothing; empty tables give empty r
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +20,7 @@ CHANGE = [
 ]
 # Verdict thresholds of a vector search.
 HARD, FLOOR, GAP = 0.55, 0.45, 0.05
+ROWS, QUERIES = 8192, 1024  # vectors and queries of a block
 
 
 def intent_search(functions: DataFrame, callers: DataFrame, intent: str, least: float = 0.2, most: int = 5) -> DataFrame:
@@ -67,8 +70,39 @@ def vector_topk(vectors: DataFrame, query: DataFrame, k: int = 5) -> DataFrame:
     return hits.orderBy(F.desc("score"), "vec_id").limit(k)
 
 
-def vector_verdict(top: DataFrame) -> DataFrame:
-    """One row: verdict and confidence of a top-k result by its best score and the gap to the last."""
-    s = top.agg(F.max("score").alias("best"), F.min("score").alias("last"))
+def _meet(k: int):
+    def run(block: pd.DataFrame) -> pd.DataFrame:
+        rows, asked = block[block["member"]], block[~block["member"]]
+        if not len(rows) or not len(asked):
+            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
+        score = np.floor(np.vstack(asked["embedding"]) @ np.vstack(rows["embedding"]).T * 10_000 + 0.5) / 10_000
+        ids, q = rows["vec_id"].to_numpy(), asked["vec_id"].to_numpy()
+        score[q[:, None] == ids[None, :]] = -np.inf
+        best = np.lexsort((np.broadcast_to(ids, score.shape), -score), axis=1)[:, :k]
+        out = pd.DataFrame({"query_id": np.repeat(q, best.shape[1]), "vec_id": ids[best].ravel(), "score": np.take_along_axis(score, best, axis=1).ravel()})
+        return out[out["query_id"] != out["vec_id"]]
+
+    return run
+
+
+def vector_topk_each(vectors: DataFrame, queries: DataFrame, k: int = 5) -> DataFrame:
+    """(query_id, vec_id, score): for every row of queries(vec_id, embedding) the k other rows of vectors with the largest inner product, ties by vec_id.
+
+    Blocks of queries meet blocks of vectors, so no task holds either whole. Rows without id or vector take no part.
+    """
+    usable = lambda d: d.where("vec_id is not null and embedding is not null").select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
+    rows, asked = usable(vectors), usable(queries)
+    a, b = max(1, -(-rows.count() // ROWS)), max(1, -(-asked.count() // QUERIES))
+    mine = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    blocks = rows.select("*", F.lit(True).alias("member"), mine(a).alias("a"), every(b).alias("b")).unionByName(asked.select("*", F.lit(False).alias("member"), every(a).alias("a"), mine(b).alias("b")))
+    found = blocks.groupBy("a", "b").applyInPandas(_meet(k), "query_id long, vec_id long, score double")
+    top = found.groupBy("query_id").agg(F.slice(F.array_sort(F.collect_list(F.struct(F.negative("score").alias("d"), "vec_id"))), 1, k).alias("t")).select("query_id", F.explode("t").alias("x"))
+    return top.select("query_id", F.col("x.vec_id").alias("vec_id"), F.negative("x.d").alias("score"))
+
+
+def vector_verdict(top: DataFrame, *keys: str) -> DataFrame:
+    """One row (per keys): verdict and confidence of a top-k result by its best score and the gap to the last."""
+    s = top.groupBy(*keys).agg(F.max("score").alias("best"), F.min("score").alias("last"))
     ok = (F.col("best") >= HARD) | ((F.col("best") >= FLOOR) & (F.col("best") - F.col("last") >= GAP))
-    return s.select(F.when(ok, "OK").otherwise("NO_CLEAR_MATCH").alias("verdict"), F.when(F.col("best") >= HARD, "high").when(ok, "medium").otherwise("low").alias("confidence"), "best")
+    return s.select(*keys, F.when(ok, "OK").otherwise("NO_CLEAR_MATCH").alias("verdict"), F.when(F.col("best") >= HARD, "high").when(ok, "medium").otherwise("low").alias("confidence"), "best")

@@ -92,6 +92,24 @@ def vector_verdict(g):
     return S.vector_verdict(_top(g))
 
 
+TOPK_EACH = "WITH q AS (SELECT vec_id AS query_id, embedding::double[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, floor(list_dot_product(embedding::double[], q) * 10000 + 0.5) / 10000 AS score FROM embeddings, q WHERE vec_id <> query_id), top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5) "
+
+
+def _top_each(g):
+    v = table(g.spark, g.root, "embeddings")
+    return S.vector_topk_each(v, v.where("vec_id % 20 = 0"))
+
+
+@plan(TOPK_EACH + "SELECT query_id, vec_id, score FROM top", "")
+def vector_topk_all(g):
+    return _top_each(g)
+
+
+@plan(TOPK_EACH + "SELECT query_id, CASE WHEN best >= 0.55 OR (best >= 0.45 AND best - last >= 0.05) THEN 'OK' ELSE 'NO_CLEAR_MATCH' END AS verdict, CASE WHEN best >= 0.55 THEN 'high' WHEN best >= 0.45 AND best - last >= 0.05 THEN 'medium' ELSE 'low' END AS confidence, best FROM (SELECT query_id, max(score) AS best, min(score) AS last FROM top GROUP BY 1)", "")
+def vector_verdict_all(g):
+    return S.vector_verdict(_top_each(g), "query_id")
+
+
 def _versions(g, ids):
     f = table(g.spark, g.root, "graph_functions").where(F.col("snapshot_id").isin(ids))
     return g.functions_of(f, "snapshot_id")

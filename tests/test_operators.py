@@ -113,3 +113,18 @@ def test_scratch_tables_can_be_cleared(spark):
     assert os.path.isdir(where)
     clear_scratch(spark)
     assert not os.path.exists(where)
+
+
+def test_every_query_vector_is_searched_in_blocks(spark, monkeypatch):
+    from codeloom.operators import search
+
+    monkeypatch.setattr(search, "ROWS", 30)
+    monkeypatch.setattr(search, "QUERIES", 3)
+    rows = [(i, [float((i * j) % 7) for j in range(1, 5)]) for i in range(200)] + [(None, [1.0] * 4), (500, None)]
+    v = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    top = search.vector_topk_each(v, v.where("vec_id % 20 = 0"))
+    got = {(r.query_id, r.vec_id, r.score) for r in top.collect()}
+    dot = lambda x, y: sum(a * b for a, b in zip(x, y))
+    want = {(q, i, s) for q, x in rows[:200:20] for s, i in sorted(((dot(x, y), i) for i, y in rows[:200] if i != q), key=lambda t: (-t[0], t[1]))[:5]}
+    assert got == want and len(got) == 50
+    assert search.vector_verdict(top, "query_id").count() == 10
