@@ -13,23 +13,23 @@ from pyspark.sql import functions as F
 from codeloom.functions import text as T
 
 
-def signature_diff(before: DataFrame, after: DataFrame, callers: DataFrame) -> DataFrame:
-    """(fn_id, change, note, callers): functions added, removed or with another signature; a signature that only grows is additive."""
-    old = before.select("fn_id", T.signature(F.col("params"), F.col("return_type")).alias("old"))
-    new = after.select("fn_id", T.signature(F.col("params"), F.col("return_type")).alias("new"))
-    j = old.join(new, "fn_id", "full").where(F.col("old").isNull() | F.col("new").isNull() | (F.col("old") != F.col("new")))
+def signature_diff(before: DataFrame, after: DataFrame, callers: DataFrame, *keys: str) -> DataFrame:
+    """(fn_id, change, note, callers), within further keys: functions added, removed or with another signature; a signature that only grows is additive."""
+    old = before.select(*keys, "fn_id", T.signature(F.col("params"), F.col("return_type")).alias("old"))
+    new = after.select(*keys, "fn_id", T.signature(F.col("params"), F.col("return_type")).alias("new"))
+    j = old.join(new, [*keys, "fn_id"], "full").where(F.col("old").isNull() | F.col("new").isNull() | (F.col("old") != F.col("new")))
     head = F.split_part("old", F.lit(")"), F.lit(1))
     note = F.when(F.col("old").isNotNull() & F.col("new").isNotNull(), F.when(F.col("new").startswith(head), "additive").otherwise("breaking"))
     change = F.when(F.col("old").isNull(), "added").when(F.col("new").isNull(), "removed").otherwise("changed")
-    return j.join(callers, "fn_id", "left").select("fn_id", change.alias("change"), note.alias("note"), F.coalesce("callers", F.lit(0)).alias("callers"))
+    return j.join(callers, [*keys, "fn_id"], "left").select(*keys, "fn_id", change.alias("change"), note.alias("note"), F.coalesce("callers", F.lit(0)).alias("callers"))
 
 
-def value_diff(before: DataFrame, after: DataFrame, key: str, values: str) -> DataFrame:
-    """(key, added, removed): array values gained and lost by the keys of both sides, as sorted text."""
+def value_diff(before: DataFrame, after: DataFrame, key: str, values: str, *keys: str) -> DataFrame:
+    """(key, added, removed), within further keys: array values gained and lost by the keys of both sides, as sorted text."""
     clean = lambda c: F.coalesce(c, F.array().cast("array<string>"))
-    j = before.select(key, clean(F.col(values)).alias("b")).join(after.select(key, clean(F.col(values)).alias("a")), key)
+    j = before.select(*keys, key, clean(F.col(values)).alias("b")).join(after.select(*keys, key, clean(F.col(values)).alias("a")), [*keys, key])
     text = lambda x, y: F.array_join(F.array_sort(F.array_except(x, y)), "|")
-    return j.select(key, text("a", "b").alias("added"), text("b", "a").alias("removed")).where("added <> '' or removed <> ''")
+    return j.select(*keys, key, text("a", "b").alias("added"), text("b", "a").alias("removed")).where("added <> '' or removed <> ''")
 
 
 def upsert(base: DataFrame, changes: DataFrame, key: str) -> DataFrame:
@@ -61,8 +61,9 @@ def snapshot_history(functions: DataFrame, edges: DataFrame, files: DataFrame, k
     return rows.withColumn("age", F.row_number().over(W.orderBy(F.desc("snapshot_id")))).where(F.col("age") <= keep).drop("age")
 
 
-def debt_delta(before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: change of summed complexity, longest function after, functions gained."""
-    b = before.agg(F.coalesce(F.sum("complexity"), F.lit(0)).alias("c0"), F.count(F.lit(1)).alias("n0"))
-    a = after.agg(F.coalesce(F.sum("complexity"), F.lit(0)).alias("c1"), F.max("line_count").alias("max_function_lines"), F.count(F.lit(1)).alias("n1"))
-    return a.crossJoin(b).select((F.col("c1") - F.col("c0")).alias("complexity_delta"), "max_function_lines", (F.col("n1") - F.col("n0")).alias("functions_delta"))
+def debt_delta(before: DataFrame, after: DataFrame, *keys: str) -> DataFrame:
+    """One row (per keys): change of summed complexity, longest function after, functions gained."""
+    b = before.groupBy(*keys).agg(F.coalesce(F.sum("complexity"), F.lit(0)).alias("c0"), F.count(F.lit(1)).alias("n0"))
+    a = after.groupBy(*keys).agg(F.coalesce(F.sum("complexity"), F.lit(0)).alias("c1"), F.max("line_count").alias("max_function_lines"), F.count(F.lit(1)).alias("n1"))
+    j = a.join(b, list(keys), "full").fillna(0, ["c0", "c1", "n0", "n1"]) if keys else a.crossJoin(b)
+    return j.select(*keys, (F.col("c1") - F.col("c0")).alias("complexity_delta"), "max_function_lines", (F.col("n1") - F.col("n0")).alias("functions_delta"))

@@ -86,6 +86,13 @@ def delivery_calendar(files: DataFrame) -> DataFrame:
     return seen.select("project", "snapshot_id", F.lag("snapshot_id").over(w).alias("prev_id"), F.lead("snapshot_id").over(w).alias("next_id"))
 
 
+def transitions(states: DataFrame, calendar: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """states(project, snapshot_id, ...) before and after each transition between a project's delivered snapshots; snapshot_id is the later one of both sides."""
+    dated = states.withColumn("project", F.trim("project")).withColumn("snapshot_id", F.col("snapshot_id").cast("int")).join(calendar, ["project", "snapshot_id"])
+    before = dated.where("next_id is not null").withColumn("snapshot_id", F.col("next_id"))
+    return before.drop("prev_id", "next_id"), dated.where("prev_id is not null").drop("prev_id", "next_id")
+
+
 def snapshot_changes(states: DataFrame, calendar: DataFrame) -> DataFrame:
     """(entity, snapshot_id, key_a, key_b, change_kind) between consecutive delivered snapshots.
 

@@ -10,17 +10,17 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 
-def changed_files(stored: DataFrame, current: DataFrame) -> DataFrame:
-    """(path, status) from (path, source_hash) on both sides: new, changed, removed or same; a missing stored hash counts as changed."""
-    j = stored.select("path", F.col("source_hash").alias("old"), F.lit(True).alias("had")).join(current.select("path", F.col("source_hash").alias("now"), F.lit(True).alias("has")), "path", "full")
+def changed_files(stored: DataFrame, current: DataFrame, *keys: str) -> DataFrame:
+    """(path, status), within further keys, from (path, source_hash) on both sides: new, changed, removed or same; a missing stored hash counts as changed."""
+    j = stored.select(*keys, "path", F.col("source_hash").alias("old"), F.lit(True).alias("had")).join(current.select(*keys, "path", F.col("source_hash").alias("now"), F.lit(True).alias("has")), [*keys, "path"], "full")
     status = F.when(F.col("had").isNull(), "new").when(F.col("has").isNull(), "removed").when(F.col("old") == F.col("now"), "same").otherwise("changed")
-    return j.select("path", status.alias("status"))
+    return j.select(*keys, "path", status.alias("status"))
 
 
-def update_rows(stored: DataFrame, fresh: DataFrame, files: DataFrame, file_col: str = "file") -> DataFrame:
+def update_rows(stored: DataFrame, fresh: DataFrame, files: DataFrame, file_col: str = "file", keys: tuple[str, ...] = ()) -> DataFrame:
     """Stored rows with those of changed, removed and new files replaced by the fresh ones: one anti-join and one semi-join by file."""
-    touched = files.where("status <> 'same'").select(F.col("path").alias(file_col))
-    return stored.join(touched, file_col, "left_anti").unionByName(fresh.join(touched, file_col, "left_semi"))
+    touched = files.where("status <> 'same'").select(*keys, F.col("path").alias(file_col))
+    return stored.join(touched, [*keys, file_col], "left_anti").unionByName(fresh.join(touched, [*keys, file_col], "left_semi"))
 
 
 def overlapping_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
@@ -28,15 +28,18 @@ def overlapping_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
     return functions.join(lines, (functions["file"] == lines["file"]) & lines["line"].between(functions["line_start"], functions["line_end"]), "left_semi").select("fn_id", "file")
 
 
-def audit_units(units: DataFrame, files: DataFrame, most: int = 30) -> DataFrame:
-    """(id, kind, reason) of units that changed files(path) touch: by source file, else by a path standing in their text; at most `most`, function units first."""
-    paths = files.select("path").distinct()
-    by_file = units.select("id", "kind", F.explode("source_files").alias("path")).join(paths, "path", "left_semi").select("id", "kind", F.lit("file").alias("reason")).distinct()
+def audit_units(units: DataFrame, files: DataFrame, most: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:
+    """(id, kind, reason), per keys of files, of units that changed files(path) touch: by source file, else by a path standing in their text; at most `most`, function units first."""
+    paths = files.select(*keys, "path").distinct()
+    by_file = units.select("id", "kind", F.explode("source_files").alias("path")).join(paths, "path").select(*keys, "id", "kind", F.lit("file").alias("reason")).distinct()
     words = units.select("id", "kind", F.explode(F.array_distinct(F.regexp_extract_all("description", F.lit(r"([\w-]+(?:/[\w.-]+)+)"), F.lit(1)))).alias("w"))
-    short = paths.select(F.expr("substring(path, instr(path, '/') + 1)").alias("w"))
-    by_text = words.join(short, "w", "left_semi").select("id", "kind", F.lit("text").alias("reason")).distinct()
-    both = by_file.unionByName(by_text.join(by_file.select("id"), "id", "left_anti"))
-    return both.orderBy(F.when(F.col("kind") == "function_unit", 0).otherwise(1), F.when(F.col("reason") == "file", 0).otherwise(1), "id").limit(most)
+    short = paths.select(*keys, F.expr("substring(path, instr(path, '/') + 1)").alias("w"))
+    by_text = words.join(short, "w").select(*keys, "id", "kind", F.lit("text").alias("reason")).distinct()
+    both = by_file.unionByName(by_text.join(by_file.select(*keys, "id"), [*keys, "id"], "left_anti")).select(*keys, "id", "kind", "reason")
+    order = [F.when(F.col("kind") == "function_unit", 0).otherwise(1), F.when(F.col("reason") == "file", 0).otherwise(1), F.col("id")]
+    if not keys:
+        return both.orderBy(*order).limit(most)
+    return both.withColumn("n", F.row_number().over(W.partitionBy(*keys).orderBy(*order))).where(F.col("n") <= most).drop("n")
 
 
 def popular_files(imports: DataFrame, least: int = 3) -> DataFrame:

@@ -6,7 +6,9 @@ from pyspark.sql import functions as F
 
 from codeloom.functions.keys import plain_key
 from codeloom.operators import graph as G
+from codeloom.operators import incremental as I
 from codeloom.operators import upkeep as U
+from codeloom.operators.snapshots import delivery_calendar, transitions
 from codeloom.plans.graph_plans import TOP
 from codeloom.plans.more_plans import _SESS, _entries, _units
 from codeloom.plans.views import BASE, Graph, sql_key
@@ -69,6 +71,57 @@ def audit_packet(g):
     return U.audit_units(_units(g), U.changed_files(_files_at(g, 4), _files_at(g, 5)).where("status = 'changed'"))
 
 
+# The same differences between each delivered snapshot of a project and its previous one; snapshot_id is the later.
+EACH = ("project", "snapshot_id")
+
+
+def _both(g, rows):
+    return transitions(rows, delivery_calendar(table(g.spark, g.root, "graph_files")))
+
+
+def _fns_each(g):
+    f = table(g.spark, g.root, "graph_functions").withColumn("owner", F.trim("project"))
+    return _both(g, g.functions_of(f, "owner", "snapshot_id").drop("project").withColumnRenamed("owner", "project").where("fn_id is not null"))
+
+
+def _files_each(g):
+    f = table(g.spark, g.root, "graph_files").select(F.trim("project").alias("project"), "snapshot_id", plain_key(F.col("path")).alias("path"), F.struct("source_hash", "function_ids").alias("r"), "loaded_at")
+    return _both(g, f.where("path is not null").groupBy("project", "snapshot_id", "path").agg(F.max_by("r", "loaded_at").alias("r")).select("project", "snapshot_id", "path", "r.*"))
+
+
+@plan(None)
+def signature_diff_all(g):
+    e = table(g.spark, g.root, "graph_call_edges")
+    calls = e.groupBy(F.trim("project").alias("project"), F.col("snapshot_id").cast("int").alias("snapshot_id"), plain_key(F.col("target_fn")).alias("fn_id")).agg(F.count(F.lit(1)).alias("callers"))
+    return I.signature_diff(*_fns_each(g), calls, *EACH)
+
+
+@plan(None)
+def value_diff_all(g):
+    return I.value_diff(*_files_each(g), "path", "function_ids", *EACH)
+
+
+@plan(None)
+def debt_delta_all(g):
+    return I.debt_delta(*_fns_each(g), *EACH)
+
+
+@plan(None)
+def changed_files_all(g):
+    return U.changed_files(*_files_each(g), *EACH)
+
+
+@plan(None)
+def incremental_update_all(g):
+    stored, fresh = (d.select(*EACH, "fn_id", "file", "ast_hash") for d in _fns_each(g))
+    return U.update_rows(stored, fresh, U.changed_files(*_files_each(g), *EACH), keys=EACH)
+
+
+@plan(None)
+def audit_packet_all(g):
+    return U.audit_units(_units(g), U.changed_files(*_files_each(g), *EACH).where("status = 'changed'"), keys=("snapshot_id",))
+
+
 @plan("SELECT target_file AS path, count(DISTINCT source_file) AS importers FROM im GROUP BY 1 HAVING count(DISTINCT source_file) >= 1")
 def popular_files(g):
     return U.popular_files(g.imports(), 1)

@@ -71,3 +71,20 @@ def test_null_number_and_neighbouring_columns_do_not_cancel(spark, tmp_path):
     got = snapshot_changes(graph_states(spark, str(tmp_path)), cal).select("key_a", "change_kind").collect()
     assert [tuple(r) for r in got] == [("p/x.py::f", "changed")]
     assert graph_states(spark, str(tmp_path)).where(F.col("content").isNull()).count() == 0
+
+
+def test_differences_take_the_previous_delivered_snapshot(spark, data):
+    from codeloom.plans.catalogue import QUERIES
+
+    moved = {tuple(r) for r in QUERIES["p6_found"](spark, data).where("change_kind in ('added', 'removed')").select("entity", "snapshot_id", "key_a", "change_kind").collect()}
+    f = {("functions", r.snapshot_id, r.fn_id, r.change) for r in QUERIES["signature_diff_all"](spark, data).where("change <> 'changed'").collect()}
+    p = {("files", r.snapshot_id, r.path, {"new": "added"}.get(r.status, r.status)) for r in QUERIES["changed_files_all"](spark, data).where("status in ('new', 'removed')").collect()}
+    assert f | p == {r for r in moved if r[0] != "call_edges"} and len({r[1] for r in f}) > 1
+    gained = {}
+    for _, s, _, kind in f:
+        gained[s] = gained.get(s, 0) + (1 if kind == "added" else -1)
+    got = {r.snapshot_id: r.d for r in QUERIES["debt_delta_all"](spark, data).groupBy("snapshot_id").agg({"functions_delta": "sum"}).withColumnRenamed("sum(functions_delta)", "d").collect()}
+    assert {s: d for s, d in got.items() if d} == {s: d for s, d in gained.items() if d}
+    assert all({"snapshot_id"} <= set(QUERIES[n](spark, data).columns) for n in ("value_diff_all", "incremental_update_all", "audit_packet_all"))
+    assert QUERIES["audit_packet_all"](spark, data).groupBy("snapshot_id").count().where("count > 30").isEmpty() and QUERIES["value_diff_all"](spark, data).select("snapshot_id").distinct().count() > 1
+    assert QUERIES["incremental_update_all"](spark, data).groupBy("project", "snapshot_id", "fn_id").count().where("count > 1").isEmpty()
