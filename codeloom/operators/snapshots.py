@@ -117,14 +117,14 @@ def snapshot_changes(states: DataFrame, calendar: DataFrame) -> DataFrame:
         F.array(F.struct(F.col("snapshot_id").alias("s"), F.lit(1).alias("n"), F.col("prev_id").isNotNull().alias("ok")), F.struct(F.col("next_id").alias("s"), F.lit(-1).alias("n"), F.col("next_id").isNotNull().alias("ok"))),
         lambda x: x["ok"],
     )
-    signed = dated.select("entity", "key_a", "key_b", "content", F.explode(sides).alias("x")).select("entity", F.col("x.s").alias("snapshot_id"), "key_a", "key_b", "content", F.col("x.n").alias("n"))
-    at = ["entity", "snapshot_id", "key_a", "key_b"]
+    signed = dated.select("entity", "project", "key_a", "key_b", "content", F.explode(sides).alias("x")).select("entity", "project", F.col("x.s").alias("snapshot_id"), "key_a", "key_b", "content", F.col("x.n").alias("n"))
+    at = ["entity", "project", "snapshot_id", "key_a", "key_b"]
     rest = signed.groupBy(*at, "content").agg(F.sum("n").alias("n")).where("n <> 0")
     rest = tmp.save(rest, "residue")
     new = rest.where("n > 0").select(*at, F.lit(1).alias("now"))
     old = rest.where("n < 0").select(*at, F.lit(1).alias("before"))
     kind = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")
-    return new.join(old, at, "full").select(*at, kind.alias("change_kind"))
+    return new.join(old, at, "full").select("entity", "snapshot_id", "key_a", "key_b", kind.alias("change_kind"))
 
 
 def p6_found(spark: SparkSession, root: str) -> DataFrame:

@@ -88,3 +88,10 @@ def test_differences_take_the_previous_delivered_snapshot(spark, data):
     assert all({"snapshot_id"} <= set(QUERIES[n](spark, data).columns) for n in ("value_diff_all", "incremental_update_all", "audit_packet_all"))
     assert QUERIES["audit_packet_all"](spark, data).groupBy("snapshot_id").count().where("count > 30").isEmpty() and QUERIES["value_diff_all"](spark, data).select("snapshot_id").distinct().count() > 1
     assert QUERIES["incremental_update_all"](spark, data).groupBy("project", "snapshot_id", "fn_id").count().where("count > 1").isEmpty()
+
+
+def test_one_key_in_two_projects(spark):
+    rows = [("f", "p", 1, "a", "", t(1), 1), ("f", "p", 2, "b", "", t(1), 1), ("f", "q", 1, "b", "", t(1), 1), ("f", "q", 2, "a", "", t(1), 1)]
+    cal = delivery_calendar(spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), ("q", 2)], "project string, snapshot_id int"))
+    got = [tuple(r) for r in snapshot_changes(spark.createDataFrame(rows, STATE), cal).collect()]
+    assert sorted(got) == [("f", 2, "a", "", "added"), ("f", 2, "a", "", "removed"), ("f", 2, "b", "", "added"), ("f", 2, "b", "", "removed")]
