@@ -159,3 +159,16 @@ def test_edited_passage_beside_a_longer_fragment(spark):
     docs = [(1, item[21:35] + other + leak), (2, leak + other + item[21:35]), (3, item[21:35] + other + item[4:11] + ["y", "y"] + item[13:19]), (4, item[5:19] + item[30:40])]
     got = K.leaked_items(spark.createDataFrame([(d, " ".join(ws)) for d, ws in docs], "doc_id long, text string"), spark.createDataFrame([(1, " ".join(item))], "item_id int, text string"))
     assert {(r.doc_id, r.words, r.edits) for r in got.where("kind = 'copy'").collect()} == {(1, 15, 1), (2, 15, 1)}
+
+
+def test_salad_without_separators_and_bare_domains(spark):
+    pick = np.random.default_rng(7)
+    names, acts, ends = "order pallet batch sensor course score widget harvest build route policy session".split(), "sorts checks keeps merges counts clears".split(), "before the page is drawn,after the lock is taken,once for each store,when the day ends".split(",")
+    say = lambda: f"The {pick.choice(names)} loader {pick.choice(acts)} every open {pick.choice(names)} of the shared table {pick.choice(ends)} "
+    prose = [" ".join(say() for _ in range(12)) for _ in range(160)]
+    words = " ".join(prose).split()
+    salad = " ".join(pick.permutation(words)[:400])
+    domains = " ".join(f"site{chr(97 + i // 26)}{chr(97 + i % 26)}.example.com" for i in range(200))
+    stuffed = "See https://a.example/x for this. " + "cheap price cache cheap price index " * 20
+    docs = list(enumerate(prose)) + [(900, salad), (901, domains), (902, prose[0] + salad), (903, prose[0] + prose[1] + salad[: len(prose[0])]), (904, stuffed)]
+    assert {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {900, 901, 902, 904}
