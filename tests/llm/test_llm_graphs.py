@@ -67,8 +67,8 @@ def test_conversations_kept_and_dropped(spark):
     ]
     df = message_rows(spark.createDataFrame(rows, T))
     want = {("s", 0, "a"), ("s", 1, "b"), ("s", 2, "d"), ("s", 3, "e")}
-    assert {(r.session_id, r.pos, r.uuid) for r in conversations(df).collect()} == want
-    assert {(r.session_id, r.pos, r.uuid) for r in conversations(df, session_rows=1).collect()} == want
+    assert {(r.session_id, r.time_pos, r.uuid) for r in conversations(df).collect()} == want
+    assert {(r.session_id, r.time_pos, r.uuid) for r in conversations(df, session_rows=1).collect()} == want
     assert conversations(df.limit(0)).count() == 0
 
 
@@ -78,6 +78,25 @@ def test_kahn_reports_cycles_and_orphans():
     assert kahn_order(["b", "a"], ["a", None], [5, 5])[0] == [1, 0]
 
 
+def test_kahn_keeps_replies_behind_what_they_answer():
+    order, by_time, breaks, _, _ = kahn_order(["a", "b", "c"], [None, "a", "b"], [5, 3, 9])
+    assert order == [0, 1, 2] and by_time == [1, 0, 2] and breaks == [False, True, False]
+
+
+def test_large_sessions_have_the_same_order(spark):
+    rnd = random.Random(4)
+    rows = []
+    for k in range(40):
+        n = rnd.randrange(2, 14)
+        for i in range(n):
+            parent = None if i == 0 else f"u{rnd.randrange(i)}" if rnd.random() < 0.97 else rnd.choice(["zz", f"u{n - 1}", None])
+            ts = None if rnd.random() < 0.3 else f"2026-01-01T00:00:0{rnd.randrange(3)}Z"
+            rows.append(say(f"s{k:02d}", "user" if i % 2 == 0 else "assistant", f"u{i}", parent, ts, text=" " if rnd.random() < 0.1 else "hi"))
+    df = message_rows(spark.createDataFrame(rows, T)).cache()
+    small, large = ({tuple(r) for r in conversations(df, n).collect()} for n in (1000, 1))
+    assert small == large and len({r[0] for r in small}) > 8 and any(r[5] for r in small)
+
+
 def brute_pairs(ids, x, k=5):
     x = x / np.linalg.norm(x, axis=1, keepdims=True)
     s = np.round(x @ x.T, 9)
