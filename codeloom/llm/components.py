@@ -9,11 +9,13 @@ number of a group is its smallest id by code points.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+import functools
+
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import plain_key
-from codeloom.operators.skew import hot_keys, lookup_join
+from codeloom.operators.skew import HOT_PARTS, hot_keys, lookup_join
 from codeloom.runtime import Scratch
 
 #: Breadth-first rounds before what is reached so far is contracted into one vertex instead.
@@ -47,80 +49,112 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
 
     names = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")).sort("id")
     nodes = tmp.save(names.select("id", F.monotonically_increasing_id().alias("v"), "deg"), "nodes")
-    top = nodes.orderBy(F.desc("deg"), "v").limit(1).collect()
+    # the vertices of highest degree, those among them that hold more than 1/200 of the links, and the number of links
+    ends = F.broadcast(nodes.agg((F.sum("deg") / 2).alias("m")))
+    top = nodes.orderBy(F.desc("deg"), "v").limit(HOT_PARTS).crossJoin(ends).collect()
     if not top:
         return nodes.select("id", F.col("id").alias("group_id"))
-    busy = nodes.orderBy(F.desc("deg"), "v").limit(200).crossJoin(F.broadcast(pairs.agg(F.count(F.lit(1)).alias("m")))).where("deg * 200 > m").select("id").collect()
-    hot = [r.id for r in busy]
+    hot = [r.id for r in top if r.deg * HOT_PARTS > r.m]
+    hot_v = [r.v for r in top if r.deg * HOT_PARTS > r.m]
     number = nodes.select("id", "v")
     e = lookup_join(pairs, number.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a", hot)
     e = lookup_join(e, number.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b", hot)
     edges = tmp.save(e.select(F.least("va", "vb").alias("s"), F.greatest("va", "vb").alias("t")), "edges")
-    both = tmp.save(edges.select("s", "t").unionByName(edges.select(F.col("t").alias("s"), F.col("s").alias("t"))), "both")
 
-    # The component of the busiest vertex, ring by ring; each ring is a written table.
+    # The component of the busiest vertex, ring by ring. Links that led out of a ring are used
+    # up; once they are half of what is read each round, they are left out of it.
     root, rings, ended = top[0].v, [], False
-    reached = spark.range(1).select(F.lit(root).cast("long").alias("v"))
-    ring = tmp.save(reached, "ring")
+    open_links, n_open, n_used = edges.unionByName(edges.select(F.col("t").alias("s"), F.col("s").alias("t"))), 2 * top[0].m, 0
+    ring = tmp.save(spark.range(1).select(F.lit(root).cast("long").alias("v")), "ring")
     rings.append(ring)
     for _ in range(max_bfs_rounds):
-        step = both.join(ring.withColumnRenamed("v", "s"), "s", "left_semi").select(F.col("t").alias("v")).distinct()
+        used, k = _counted(tmp, lookup_join(open_links, ring.withColumnRenamed("v", "s"), "s", hot_v).select(F.col("t").alias("v")), "used")
+        n_used += k
         seen = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])  # a neighbour of ring k lies in ring k-1, k or k+1
-        ring = tmp.save(step.join(seen, "v", "left_anti"), "ring")
-        if ring.isEmpty():
+        ring, n = _counted(tmp, used.distinct().join(seen, "v", "left_anti"), "ring")
+        if not n:
             ended = True
             break
+        if 2 * n_used >= n_open:
+            mark = _union(rings).select(F.col("v").alias("s"), F.lit(True).alias("out"))
+            open_links = tmp.save(lookup_join(open_links, mark, "s", hot_v, "left").where("out is null").drop("out"), "links")
+            n_open, n_used = n_open - n_used, 0
         rings.append(ring)
-    giant = rings[0]
-    for r in rings[1:]:
-        giant = giant.unionByName(r)
+    giant = _union(rings)
     least = giant.agg(F.min("v").alias("m")).first().m
-    if ended:
-        rest = edges.join(giant.withColumnRenamed("v", "s"), "s", "left_anti")
+    if ended:  # what leads out of the giant leads into it, so the links left lie outside, each in both directions
+        mark = giant.select(F.col("v").alias("s"), F.lit(True).alias("out"))
+        rest = lookup_join(open_links.where("s < t"), mark, "s", hot_v, "left").where("out is null").drop("out")
     else:  # a long tail hangs on: what is reached becomes its smallest vertex
         mark = giant.select("v", F.lit(least).alias("g"))
-        rest = edges.join(mark.withColumnRenamed("v", "s").withColumnRenamed("g", "gs"), "s", "left").join(mark.withColumnRenamed("v", "t").withColumnRenamed("g", "gt"), "t", "left")
+        rest = lookup_join(edges, mark.withColumnRenamed("v", "s").withColumnRenamed("g", "gs"), "s", hot_v, "left")
+        rest = lookup_join(rest, mark.withColumnRenamed("v", "t").withColumnRenamed("g", "gt"), "t", hot_v, "left")
         rest = rest.select(F.coalesce("gs", "s").alias("x"), F.coalesce("gt", "t").alias("y")).where("x <> y").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t")).distinct()
 
-    small = _propagate(tmp, tmp.save(rest, "rest"))
-    labels = giant.select("v", F.lit(least).alias("g"))
-    if not ended:
-        labels = labels.join(small.select(F.col("v").alias("g"), F.col("g").alias("h")), "g", "left").select("v", F.coalesce("h", "g").alias("g"))
-    merged = small if ended else small.join(giant, "v", "left_anti")
-    labels = tmp.save(labels.unionByName(merged), "labels")
+    small = _propagate(tmp, rest)
+    if not ended:  # the giant has one label, which the tail may have lowered
+        low = small.where(F.col("v") == least).select("g").first()
+        small, least = small.join(giant, "v", "left_anti"), low.g if low else least
+    labels = tmp.save(giant.select("v", F.lit(least).cast("long").alias("g")).unionByName(small), "labels")
     named = labels.join(number, "v").withColumnRenamed("g", "gv")
     owner = number.withColumnRenamed("v", "gv").withColumnRenamed("id", "group_id")
     return lookup_join(named, owner, "gv", hot_keys(labels.withColumnRenamed("g", "gv"), "gv")).select("id", "group_id")
 
 
-def _propagate(tmp: Scratch, edges: DataFrame) -> DataFrame:
-    """(v, g) of the vertices of edges(s, t) by minimum propagation.
+def _union(parts: list[DataFrame]) -> DataFrame:
+    return functools.reduce(DataFrame.unionByName, parts)
+
+
+def _counted(tmp: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
+    """df written, and its rows counted on the way; only whether the count is zero has to be exact if a task is repeated."""
+    seen = Observation()
+    out = tmp.save(df.observe(seen, F.count(F.lit(1)).alias("n")), name)
+    return out.select(*df.columns), seen.get["n"]
+
+
+def _hot(df: DataFrame, *keys: str) -> list[list]:
+    """hot_keys for several columns at once."""
+    total = df.agg(F.count(F.lit(1)).alias("_all"))
+    per = None
+    for i, k in enumerate(keys):
+        counts = df.groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(HOT_PARTS).withColumn("i", F.lit(i))
+        per = counts if per is None else per.unionByName(counts)
+    got = per.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_PARTS > F.col("_all")).select("i", "k").collect()
+    return [[r.k for r in got if r.i == i] for i in range(len(keys))]
+
+
+def _propagate(tmp: Scratch, links: DataFrame) -> DataFrame:
+    """(v, g) of the vertices of links(s < t) by minimum propagation.
 
     Each round every vertex takes the smallest number among itself and its neighbours, the
     chains of these choices are shortened by pointer doubling, and the edges are contracted to
     the vertices they end in. At least half the vertices with edges disappear in a round, so
-    the rounds are logarithmic in the number of vertices, whatever the diameter.
+    the rounds are logarithmic in the number of vertices, whatever the diameter. Vertices that
+    many others point to are looked up by broadcast.
     """
     result = None
-    while not edges.isEmpty():
+    edges, left = _counted(tmp, links, "rest")
+    while left:
         near = edges.select(F.explode(F.array(F.struct(F.col("s").alias("v"), F.col("s").alias("p")), F.struct(F.col("t").alias("v"), F.col("s").alias("p")))).alias("x")).select("x.*")
         # s < t: the smallest neighbour below t is among its s; a vertex that is only an s keeps itself
         parent = tmp.save(near.groupBy("v").agg(F.min("p").alias("p")), "parent")
-        while True:
+        moved = 1
+        while moved:
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            nxt = tmp.save(parent.join(up, "p").select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).alias("moved")), "jump")
-            moved = nxt.where("moved").isEmpty()
+            nxt = lookup_join(parent, up, "p", _hot(parent, "p")[0]).select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).cast("int").alias("moved"))
+            seen = Observation()
+            nxt = tmp.save(nxt.observe(seen, F.sum("moved").alias("n")), "jump")
+            moved = seen.get["n"]
             parent = nxt.select("v", "p")
-            if moved:
-                break
-        hot = hot_keys(edges, "s")
-        new = lookup_join(edges, parent.select(F.col("v").alias("s"), F.col("p").alias("x")), "s", hot)
-        new = lookup_join(new, parent.select(F.col("v").alias("t"), F.col("p").alias("y")), "t", hot_keys(edges, "t"))
-        edges = tmp.save(new.where("x <> y").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t")).distinct(), "contracted")
+        hot_s, hot_t = _hot(edges, "s", "t")
+        new = lookup_join(edges, parent.select(F.col("v").alias("s"), F.col("p").alias("x")), "s", hot_s)
+        new = lookup_join(new, parent.select(F.col("v").alias("t"), F.col("p").alias("y")), "t", hot_t)
+        edges, left = _counted(tmp, new.where("x <> y").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t")).distinct(), "contracted")
         if result is None:
             result = parent.select("v", F.col("p").alias("g"))
         else:
-            result = tmp.save(result.join(parent.select(F.col("v").alias("g"), F.col("p").alias("h")), "g", "left").select("v", F.coalesce("h", "g").alias("g")), "result")
+            to = parent.select(F.col("v").alias("g"), F.col("p").alias("h"))
+            result = tmp.save(lookup_join(result, to, "g", _hot(result, "g")[0], "left").select("v", F.coalesce("h", "g").alias("g")), "result")
     if result is None:
         return edges.select(F.col("s").alias("v"), F.col("s").alias("g"))
     return result
