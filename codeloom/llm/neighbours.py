@@ -6,9 +6,11 @@ order of their estimated success (expected squared distance to the slot boundari
 candidates of all tables are reranked by exact cosine, and vectors whose neighbours turn out
 to be far visit further buckets.
 
-Exact copies are folded into one representative first, so a group of copies costs nothing,
-and buckets holding too many members are cut into blocks, each block of members meeting each
-block of visitors, so no task holds an unbounded group and no pair of a bucket is dropped.
+Exact copies are folded into one representative first, so a group of copies costs nothing.
+Buckets are large and visited few times, since a vector that travels to a bucket costs more
+than a hundred inner products there; those holding too many members are cut into blocks of
+fixed size, each block of members meeting each block of visitors, so no task holds an
+unbounded group and no pair of a bucket is dropped.
 """
 
 from __future__ import annotations
@@ -24,13 +26,14 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions.keys import plain_key
-from codeloom.operators.skew import hot_keys, lookup_join
+from codeloom.operators.skew import HOT_PARTS, hot_keys, lookup_join
 from codeloom.runtime import Scratch
 
 WIDTH = 1.0  # slot width w on unit vectors
-TABLES = 4
-OCCUPANCY = 24  # members aimed at in an average bucket; sets the number of hash functions
-MEMBERS, QUERIES = 4096, 16384  # rows of a bucket in one task; more are cut into blocks
+TABLES = 3
+OCCUPANCY = 256  # members aimed at in an average bucket; sets the number of hash functions
+MORE = 4  # times as many probes for vectors whose neighbours are far
+MEMBERS, VISITORS = 4096, 16384  # members and visitors of a bucket in one block
 SEED = 20240229
 
 
@@ -89,34 +92,61 @@ def _hasher(dim: int, m: int, probes: int, tables: int, width: float):
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            if not len(batch):
-                continue
-            x = np.frombuffer(b"".join(batch["raw"]), dtype=np.float32).reshape(len(batch), dim).astype(np.float64)
-            x /= np.linalg.norm(x, axis=1, keepdims=True)
-            for t in range(tables):
-                yield pd.DataFrame({"rid": batch["rid"], "raw": batch["raw"], "t": np.full(len(batch), t, dtype=np.int32), "codes": list(visit(x, coarse[t], width))})
+            if len(batch):
+                x = _unit(batch["raw"], dim)
+                codes = np.concatenate([visit(x, ab, width) ^ np.int64(t * 0x9E3779B97F4A7C1) for t, ab in enumerate(coarse)], axis=1)
+                yield pd.DataFrame({"rid": batch["rid"], "raw": batch["raw"], "codes": list(codes)})
 
     return run
 
 
+def _unit(raw: pd.Series, dim: int) -> np.ndarray:
+    x = np.frombuffer(b"".join(raw), dtype=np.float32).reshape(len(raw), dim).astype(np.float64)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def _rerank(dim: int, k: int):
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        x = np.frombuffer(b"".join(group["raw"]), dtype=np.float32).reshape(len(group), dim).astype(np.float64)
-        x /= np.linalg.norm(x, axis=1, keepdims=True)
-        rid, member = group["rid"].to_numpy(), group["member"].to_numpy()
-        mi, qi = np.flatnonzero(member), np.flatnonzero(~member)
+    """The k best members of each visitor, cell by cell of rows sorted by cell; a cell that a batch cuts off waits for the next."""
+
+    def meet(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
+        x = _unit(rows["raw"], dim)
+        rid, member = rows["rid"].to_numpy(), rows["member"].to_numpy()
         out = []
-        if len(mi) and len(qi):
+        for a, b in zip(starts, starts[1:]):
+            mi, qi = a + np.flatnonzero(member[a:b]), a + np.flatnonzero(~member[a:b])
+            if not len(mi) or not len(qi):
+                continue
             for s in range(0, len(qi), 1024):
                 q = qi[s : s + 1024]
                 sim = x[q] @ x[mi].T
                 sim[rid[q][:, None] == rid[mi][None, :]] = -9
                 n = min(k, len(mi))
-                best = np.argpartition(-sim, n - 1, axis=1)[:, :n]
-                val = np.take_along_axis(sim, best, axis=1)
+                best = np.argpartition(sim, len(mi) - n, axis=1)[:, len(mi) - n :]
+                val = np.take_along_axis(sim, best, axis=1).ravel()
                 keep = val > -5
-                out.append(pd.DataFrame({"rid": np.repeat(rid[q], n)[keep.ravel()], "nid": rid[mi][best].ravel()[keep.ravel()], "cos": np.round(val.ravel()[keep.ravel()], 9)}))
-        return pd.concat(out) if out else pd.DataFrame({"rid": np.array([], dtype=np.int64), "nid": np.array([], dtype=np.int64), "cos": np.array([], dtype=np.float64)})
+                out.append((np.repeat(rid[q], n)[keep], rid[mi][best].ravel()[keep], np.round(val[keep], 9)))
+        if out:
+            r, c, v = (np.concatenate(z) for z in zip(*out))
+            yield pd.DataFrame({"rid": r, "nid": c, "cos": v})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        kept: list[pd.DataFrame] = []
+        for batch in batches:
+            if not len(batch):
+                continue
+            cell = batch["cell"].to_numpy()
+            if kept and kept[-1]["cell"].iloc[-1] == cell[0] == cell[-1]:
+                kept.append(batch)
+                continue
+            rows = pd.concat([*kept, batch], ignore_index=True) if kept else batch
+            cell = rows["cell"].to_numpy()
+            starts = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist()]
+            if len(starts) > 1:
+                yield from meet(rows.iloc[: starts[-1]], starts)
+            kept = [rows.iloc[starts[-1] :]]
+        if kept:
+            rows = pd.concat(kept, ignore_index=True)
+            yield from meet(rows, [0, len(rows)])
 
     return run
 
@@ -151,7 +181,7 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int |
     sure = found.groupBy("rid").agg(F.count(F.lit(1)).alias("c"), F.min("cos").alias("least")).where((F.col("c") >= k) & (F.col("least") >= far))
     unsure = tmp.save(reps.select("rid").join(sure, "rid", "left_anti"), "unsure")
     if not unsure.isEmpty():
-        more = _search(reps.select("rid", "raw"), unsure, k, dim, m, first * 12, tables, width, tmp, False)
+        more = _search(reps.select("rid", "raw"), unsure, k, dim, m, first * MORE, tables, width, tmp, False)
         found = tmp.save(_best(found.unionByName(more), k), "found2")
     # back from representatives to rows: copies of the neighbours and of the vector itself
     wide = found.join(few.withColumnRenamed("rid", "nid"), "nid").select("rid", F.struct(F.negative("cos").alias("d"), "copies").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("xs"))
@@ -169,25 +199,25 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
 
 
 def _search(reps: DataFrame, queries: DataFrame, k: int, dim: int, m: int, probes: int, tables: int, width: float, tmp: Scratch, all_rows: bool) -> DataFrame:
-    schema = "rid long, raw binary, t int, codes array<long>"
-    own = reps.mapInPandas(_hasher(dim, m, 1, tables, width), schema).select("rid", "raw", F.xxhash64("t", F.col("codes")[0]).alias("bucket"), F.lit(True).alias("member"))
-    own = tmp.save(own, "own")
-    asked = reps if all_rows else reps.join(queries, "rid", "left_semi")
-    ask = asked.mapInPandas(_hasher(dim, m, probes, tables, width), schema).select("rid", "raw", "t", F.explode("codes").alias("code"))
-    ask = ask.select("rid", "raw", F.xxhash64("t", "code").alias("bucket"), F.lit(False).alias("member"))
-    ask = ask.join(own.select("bucket").distinct(), "bucket", "left_semi").select("rid", "raw", "bucket", "member")
-    rows = tmp.save(own.unionByName(ask), "rows")
-    # buckets over the limit are met block by block; the limit rises so that they are at most some 20 000 by their members
-    limit = max(MEMBERS, own.count() // 20_000)
-    big = rows.groupBy("bucket").agg(F.count_if("member").alias("nm"), F.count_if(~F.col("member")).alias("nq")).where((F.col("nm") > limit) | (F.col("nq") > 4 * limit))
-    big = F.broadcast(tmp.save(big.select("bucket", F.ceil(F.col("nm") / limit).cast("int").alias("mb"), F.ceil(F.col("nq") / (4 * limit)).cast("int").alias("qb")), "big"))
-    cut = rows.join(big, "bucket", "left").withColumns({"mb": F.coalesce("mb", F.lit(1)), "qb": F.coalesce("qb", F.lit(1))})
+    schema = "rid long, raw binary, codes array<long>"
+    probes = len(_templates(m, probes))  # few hash functions have fewer perturbations
+    # codes: for each table the own bucket, then the perturbed ones
+    hashed = tmp.save(reps.mapInPandas(_hasher(dim, m, probes, tables, width), schema), "hashed")
+    own = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get("codes", t * F.lit(probes)))
+    asked = hashed if all_rows else hashed.join(queries, "rid", "left_semi")
+    rows = hashed.select("rid", "raw", F.lit(True).alias("member"), F.explode(own).alias("bucket")).unionByName(asked.select("rid", "raw", F.lit(False).alias("member"), F.explode("codes").alias("bucket")))
+    # buckets over the limits are met block by block; hot ones among them, fewer than HOT_PARTS, are told to every task
+    sizes = rows.groupBy("bucket").agg(F.count_if("member").alias("nm"), F.count_if(~F.col("member")).alias("nq")).where((F.col("nm") > MEMBERS) | (F.col("nq") > VISITORS))
+    big = tmp.save(sizes.select("bucket", F.ceil(F.col("nm") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("nq") / VISITORS).cast("int").alias("qb"), (F.col("nm") + F.col("nq")).alias("n")), "big")
+    total = hashed.count() * tables * (1 + probes)
+    hot = [r.bucket for r in big.where(F.col("n") * HOT_PARTS > total).orderBy(F.desc("n")).limit(HOT_PARTS).select("bucket").collect()]
+    cut = lookup_join(rows, big.drop("n"), "bucket", hot, "left").withColumns({"mb": F.greatest(F.coalesce("mb", F.lit(1)), F.lit(1)), "qb": F.greatest(F.coalesce("qb", F.lit(1)), F.lit(1))})
     mine = F.pmod(F.xxhash64("rid"), F.when(F.col("member"), F.col("mb")).otherwise(F.col("qb"))).cast("int")
-    other = F.when(F.col("member"), F.col("qb")).otherwise(F.col("mb"))
-    cut = cut.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), other - 1)))
-    block = F.when(F.col("member"), F.struct(F.col("mine").alias("a"), F.col("other").alias("b"))).otherwise(F.struct(F.col("other").alias("a"), F.col("mine").alias("b")))
-    near = cut.select("rid", "raw", "member", "bucket", block.alias("block")).groupBy("bucket", "block").applyInPandas(_rerank(dim, k), "rid long, nid long, cos double")
-    return _best(near, k)
+    other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("qb")).otherwise(F.col("mb")) - 1))
+    cut = cut.select("rid", "raw", "member", "bucket", mine.alias("mine"), other.alias("other"))
+    cell = F.xxhash64("bucket", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")))
+    cells = cut.select("rid", "raw", "member", cell.alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    return _best(cells.mapInPandas(_rerank(dim, k), "rid long, nid long, cos double"), k)
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:
