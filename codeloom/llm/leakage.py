@@ -1,10 +1,15 @@
 """Evaluation texts leaking into a corpus.
 
-Method: numbers, names and units become typed placeholders; windows of the resulting template
-words are hash-joined between the test items and the corpus; for every document and item with
-enough shared windows the words are aligned around each run they share, and the slots behind the placeholders are held
-against each other: a passage whose slots agree is a copy, one whose template agrees under a
-consistent change of slots is a re-parameterised question.
+Method: numbers, names, units and identifiers become typed placeholders; windows of the
+resulting template words are hash-joined between the test items and the corpus; for every
+document and item with enough shared windows the words are aligned in a band around each run
+they share, and the slots behind the placeholders are held against each other: a passage whose
+slots agree is a copy, one whose template agrees under a consistent change of slots is a
+re-parameterised question.
+
+Case tells nothing about a copy, so a name is what the items themselves write with a capital
+within a sentence, in any case it has in the corpus; for other names a text is also looked up
+with its own capitalised words as names.
 """
 
 from __future__ import annotations
@@ -14,7 +19,6 @@ import itertools
 import re
 import unicodedata
 from collections.abc import Iterator
-from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
@@ -29,7 +33,7 @@ EDITS = 10  # one word in so many may be replaced, dropped or added
 #: least 7 words, and its windows of 6 number at least 3: no leak can escape the join.
 WINDOW, SHARED = 6, 3
 PLACE = 128  # words of a block by which places of hits are kept, so that long documents are aligned piece by piece
-#: Windows of test items in one broadcast (about 16 bytes each); more items are met in blocks.
+#: Words, so windows, of test items in one broadcast (about 16 bytes each, their names as much again); more items are met in blocks.
 BLOCK_WINDOWS = 1_000_000
 
 # Words of measure that count as units after a number.
@@ -78,22 +82,66 @@ def template_of(token: str) -> str:
     return "\x01u" if word in UNITS else word
 
 
+NAME = "\x01p"
+
+
+def is_capital(token: str) -> bool:
+    """True for a word written like a name: one capital, then small letters."""
+    core = token.strip("*`'\"()[]{}.,;:!?#>«»“”„")
+    return len(core) > 1 and core[0].isupper() and core[1:].islower() and core.isalpha()
+
+
+def ends_sentence(token: str) -> bool:
+    return token.rstrip("*`'\")]}»”")[-1:] in (".", "!", "?", ":", "。")
+
+
+def mid_capitals(tokens: list[str]) -> list[bool]:
+    """For each token whether it is written like a name within a sentence."""
+    return [i > 0 and is_capital(t) and not ends_sentence(tokens[i - 1]) for i, t in enumerate(tokens)]
+
+
+def templates(tokens: list[str], names: set[str]) -> list[str]:
+    """The template words of tokens, names being those of the items and words written like one."""
+    out = []
+    for t, cap in zip(tokens, mid_capitals(tokens)):
+        x = template_of(t)
+        out.append(NAME if x[:1] != "\x01" and (cap or x in names) else x)
+    return out
+
+
 class _Codes(dict):
-    """Token to (hash of its template word), 0 where nothing is left of it."""
+    """Token to (hash of its template word, known names replaced), 0 where nothing is left of it."""
+
+    def __init__(self, names: set[str]):
+        super().__init__()
+        self.names = names
 
     def __missing__(self, token: str) -> int:
         t = template_of(token)
-        code = 0
-        for ch in t.encode():
-            code = ((code ^ ch) * 1099511628211 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
-        if t and not code:
-            code = 1
+        code = _code(NAME if t in self.names else t)
         if len(self) > 500_000:
             self.clear()
         self[token] = code
         return code
 
 
+class _Shapes(dict):
+    """Token to 1 if it is written like a name and can become one, plus 2 if a sentence ends with it."""
+
+    def __missing__(self, token: str) -> int:
+        if len(self) > 500_000:
+            self.clear()
+        self[token] = v = (is_capital(token) and template_of(token)[:1] != "\x01") + 2 * ends_sentence(token)
+        return v
+
+
+def _code(t: str) -> int:
+    code = 0
+    for ch in t.encode():
+        code = ((code ^ ch) * 1099511628211 + 0x9E3779B97F4A7C15) & 0xFFFFFFFFFFFFFFFF
+    return code or int(bool(t))
+
+
 def _windows(codes: np.ndarray) -> np.ndarray:
     """Hashes of all runs of WINDOW codes."""
     n = len(codes) - WINDOW + 1
@@ -106,44 +154,72 @@ def _windows(codes: np.ndarray) -> np.ndarray:
     return h.view(np.int64)
 
 
-def _fold(text: str | None, cache: _Codes) -> tuple[list[str], np.ndarray]:
-    """Tokens that are words, and their template codes."""
-    if not text:
-        return [], np.empty(0, dtype=np.uint64)
-    tokens = plain_text(text).split()
-    codes = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
-    return tokens, codes
+def _tokens(text: str | None) -> list[str]:
+    """The tokens of a text that hold a word."""
+    return [t for t in plain_text(text).split() if word_of(t)] if text else []
 
 
-def _item_rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    cache = _Codes()
+def _item_tokens(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = []
-        for item, text in zip(batch["item_id"], batch["text"]):
-            tokens, codes = _fold(text, cache)
-            words = [word_of(t) for t, c in zip(tokens, codes) if c]
-            rows.append((item, words, _windows(codes[codes != 0]).tolist()))
-        yield pd.DataFrame(rows, columns=["item_id", "iwords", "hs"])
+        yield pd.DataFrame([(i, _tokens(t)) for i, t in zip(batch["item_id"], batch["text"])], columns=["item_id", "itokens"])
+
 
+def _item_names(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Words of items by whether they are written like a name within a sentence."""
+    for batch in batches:
+        seen = {(word_of(t), cap) for tokens in batch["itokens"] for t, cap, first in zip(tokens, mid_capitals(list(tokens)), range(len(tokens))) if cap or (first and t[:1].islower())}
+        yield pd.DataFrame(sorted(seen), columns=["word", "name"])
 
-def _probe(known: np.ndarray):
-    """Documents with at least SHARED windows among the sorted hashes `known`: their words, windows and places."""
 
+def _item_windows(names: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        cache = _Codes()
+        cache = _Codes(names)
+        for batch in batches:
+            rows = []
+            for item, tokens in zip(batch["item_id"], batch["itokens"]):
+                codes = np.fromiter((cache[t] for t in tokens), dtype=np.uint64, count=len(tokens))
+                rows.append((item, list(tokens), _windows(codes).tolist()))
+            yield pd.DataFrame(rows, columns=["item_id", "itokens", "hs"])
+
+    return run
+
+
+def _probe(sent):
+    """Documents with at least SHARED windows among the sorted hashes of sent (hashes, names): their tokens, windows and places."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        known, names = sent.value
+        cache, shapes, name = _Codes(names), _Shapes(), np.uint64(_code(NAME))
+
+        def met(h: np.ndarray) -> np.ndarray:
+            at = np.searchsorted(known, h)
+            at[at == len(known)] = 0
+            return np.flatnonzero(known[at] == h)
+
         for batch in batches:
             rows = []
             for doc, text in zip(batch["doc_id"], batch["text"]):
-                tokens, codes = _fold(text, cache)
-                h = _windows(codes[codes != 0])
-                if len(h) < SHARED or not len(known):
+                tokens = plain_text(text).split() if text else []
+                codes = np.fromiter(map(cache.__getitem__, tokens), dtype=np.uint64, count=len(tokens))
+                real = codes != 0
+                if np.count_nonzero(real) < PASSAGE - 1 or not len(known):
                     continue
-                at = np.searchsorted(known, h)
-                at[at == len(known)] = 0
-                hit = np.flatnonzero(known[at] == h)
-                if len(hit) >= SHARED:
-                    rows.append((doc, [word_of(t) for t, c in zip(tokens, codes) if c], h[hit].tolist(), hit.tolist()))
-            yield pd.DataFrame(rows, columns=["doc_id", "dwords", "hs", "ps"])
+                shape = np.fromiter(map(shapes.__getitem__, tokens), dtype=np.int8, count=len(tokens))[real]
+                codes = codes[real]
+                h = _windows(codes)
+                hit = met(h)
+                hs, ps = h[hit], hit
+                like = (shape & 1).astype(bool)
+                like[0] = False
+                like[1:] &= ~(shape[:-1] >= 2)
+                if like.any():  # once more with the text's own names as names
+                    other = _windows(np.where(like, name, codes))
+                    more = met(other)
+                    more = more[other[more] != h[more]]
+                    hs, ps = np.concatenate([hs, other[more]]), np.concatenate([ps, more])
+                if len(hs) >= SHARED:
+                    rows.append((doc, [t for t, r in zip(tokens, real) if r], hs.tolist(), ps.tolist()))
+            yield pd.DataFrame(rows, columns=["doc_id", "dtokens", "hs", "ps"])
 
     return run
 
@@ -204,20 +280,76 @@ def _rank(passage: tuple[int, int]) -> tuple[int, int]:
     return passage[0], -passage[1]
 
 
-def reparameterised(doc: list[str], item: list[str]) -> bool:
-    """True if a passage has the item's template and its slots were changed consistently: equal slots stay equal."""
-    as_template = lambda ws: ["\x01n" if w.isdigit() else w for w in ws]
-    slots: dict[str, str] = {}
-    length = changed = 0
-    for b in SequenceMatcher(None, as_template(item), as_template(doc), autojunk=False).get_matching_blocks():
-        for k in range(b.size if b.size >= WINDOW else 0):
-            x, y = item[b.a + k], doc[b.b + k]
-            length += 1
-            if x.isdigit():
-                if slots.setdefault(x, y) != y:
-                    return False
-                changed += x != y
-    return length >= PASSAGE and changed * EDITS > length
+def _walk(item: list[str], doc: list[str], most: int) -> tuple[list[tuple[int, tuple[int, int]]], dict]:
+    """_reach with the cell that each reach ends in, and for every cell of the band the one before it."""
+    far = most + 1
+    cost, back = {(0, j): j for j in range(min(most, len(doc)) + 1)}, {(0, j): (0, j - 1) for j in range(1, min(most, len(doc)) + 1)}
+    reach: list[tuple[int, tuple[int, int]]] = [(0, (0, 0))] * far
+    for i in range(1, len(item) + 1):
+        for j in range(max(0, i - most), min(len(doc), i + most) + 1):
+            same = j > 0 and item[i - 1] == doc[j - 1]
+            ways = [(cost.get((i - 1, j - 1), far) + (not same), (i - 1, j - 1)), (cost.get((i - 1, j), far) + 1, (i - 1, j)), (cost.get((i, j - 1), far) + 1, (i, j - 1))]
+            d, before = ways[0] if same else min(ways)
+            if d < far:
+                cost[i, j], back[i, j] = d, before
+                if same and i > reach[d][0]:
+                    reach[d] = (i, (i, j))
+    for d in range(1, far):
+        reach[d] = max(reach[d], reach[d - 1])
+    return reach, back
+
+
+def _matches(cell: tuple[int, int], back: dict, item: list[str], doc: list[str]) -> list[tuple[int, int]]:
+    out = []
+    while cell in back:
+        before = back[cell]
+        if before == (cell[0] - 1, cell[1] - 1) and item[cell[0] - 1] == doc[cell[1] - 1]:
+            out.append((cell[0] - 1, cell[1] - 1))
+        cell = before
+    return out
+
+
+def reparameterised(doc_tokens: list[str], item_tokens: list[str], names: set[str] = frozenset()) -> bool:
+    """True if a passage has the item's template and its slots (numbers, names, units, identifiers) were changed consistently: equal slots stay equal.
+
+    The templates are aligned in a band around every run of WINDOW template words they share,
+    with at most one edit in EDITS. The passage needs PASSAGE words, half of them outside slots, and more
+    changed slots than a copy may have edits.
+    """
+    item, doc = templates(item_tokens, names), templates(doc_tokens, names)
+    iwords, dwords = [word_of(t) for t in item_tokens], [word_of(t) for t in doc_tokens]
+    most = len(item) // EDITS
+    at: dict[tuple[str, ...], list[int]] = {}
+    for a in range(len(item) - WINDOW + 1):
+        at.setdefault(tuple(item[a : a + WINDOW]), []).append(a)
+    for b in range(len(doc) - WINDOW + 1):
+        for a in at.get(tuple(doc[b : b + WINDOW]), ()):
+            if a and b and item[a - 1] == doc[b - 1]:
+                continue  # within a run that was met before
+            size = WINDOW
+            while a + size < len(item) and b + size < len(doc) and item[a + size] == doc[b + size]:
+                size += 1
+            before = (item[:a][::-1], doc[max(0, b - a - most) : b][::-1])
+            after = (item[a + size :], doc[b + size : b + len(item) - a + most])
+            left, lback = _walk(*before, most)
+            right, rback = _walk(*after, most)
+            fits = [(left[i][0] + size + right[j][0], -i - j, i, j) for i, j in itertools.product(range(most + 1), repeat=2)]
+            fits = [f for f in fits if f[0] >= PASSAGE and -f[1] <= f[0] // EDITS]
+            if not fits:
+                continue
+            length, _, i, j = max(fits)
+            pairs = [(a - 1 - x, b - 1 - y) for x, y in _matches(left[i][1], lback, *before)] + [(a + k, b + k) for k in range(size)] + [(a + size + x, b + size + y) for x, y in _matches(right[j][1], rback, *after)]
+            slots: dict[tuple[str, str], str] = {}
+            changed = consistent = plain = 0
+            for x, y in pairs:
+                if item[x][0] != "\x01":
+                    plain += 1
+                    continue
+                consistent += slots.setdefault((item[x], iwords[x]), dwords[y]) == dwords[y]
+                changed += iwords[x] != dwords[y]
+            if consistent == len(pairs) - plain and plain >= PASSAGE // 2 and changed * EDITS > length:
+                return True
+    return False
 
 
 def stretches(places: list[int], item_words: int) -> list[tuple[int, int]]:
@@ -232,19 +364,27 @@ def stretches(places: list[int], item_words: int) -> list[tuple[int, int]]:
     return [(a, b) for a, b in out]
 
 
-def _verify(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for batch in batches:
-        rows = []
-        for doc, item, dwords, iwords, places in zip(batch["doc_id"], batch["item_id"], batch["dwords"], batch["iwords"], batch["places"]):
-            iwords = list(iwords)
-            best, changed = (0, 0), False
-            for lo, hi in stretches([int(p) for p in places], len(iwords) + len(iwords) // EDITS):
-                part = list(dwords[lo:hi])
-                best = max(best, shared_passage(part, iwords), key=_rank)
-                changed = changed or (not best[0] and reparameterised(part, iwords))
-            if best[0] or changed:
-                rows.append((doc, item, *best, "copy" if best[0] else "reparameterised"))
-        yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "kind"])
+def _verify(sent):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = sent.value[1]
+        for batch in batches:
+            rows, last, dwords = [], None, []
+            for doc, item, dtokens, itokens, places in zip(batch["doc_id"], batch["item_id"], batch["dtokens"], batch["itokens"], batch["places"]):
+                if last is not dtokens:
+                    last, dwords = dtokens, [word_of(t) for t in dtokens]
+                itokens = list(itokens)
+                iwords = [word_of(t) for t in itokens]
+                best, changed = (0, 0), False
+                ranges = stretches([int(p) for p in places], len(iwords) + len(iwords) // EDITS)
+                for lo, hi in ranges:
+                    best = max(best, shared_passage(dwords[lo:hi], iwords), key=_rank)
+                if not best[0]:
+                    changed = any(reparameterised(list(dtokens[lo:hi]), itokens, names) for lo, hi in ranges)
+                if best[0] or changed:
+                    rows.append((doc, item, *best, "copy" if best[0] else "reparameterised"))
+            yield pd.DataFrame(rows, columns=["doc_id", "item_id", "words", "edits", "kind"])
+
+    return run
 
 
 def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
@@ -256,22 +396,26 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
     """
     spark: SparkSession = docs.sparkSession
     tmp = Scratch(spark, "leakage")
-    item_rows = items.where("item_id is not null").select("item_id", "text").mapInPandas(_item_rows, "item_id int, iwords array<string>, hs array<long>")
+    item_rows = items.where("item_id is not null").select("item_id", "text").mapInPandas(_item_tokens, "item_id int, itokens array<string>")
     item_rows = tmp.save(item_rows, "items")
-    sizes = item_rows.agg(F.sum(F.size("hs")).alias("n")).first().n or 0
+    sizes = item_rows.agg(F.sum(F.size("itokens")).alias("n")).first().n or 0
     blocks = max(1, -(-sizes // BLOCK_WINDOWS))
     part = F.pmod(F.xxhash64("item_id"), F.lit(blocks))
     texts = docs.where("doc_id is not null and text is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     found = None
-    for b in range(blocks):  # one block unless the items have over BLOCK_WINDOWS windows
+    for b in range(blocks):  # one block unless the items have over BLOCK_WINDOWS words
         some = item_rows.where(part == b)
+        written = some.mapInPandas(_item_names, "word string, name boolean").groupBy("word").agg(F.min("name").alias("name")).where("name")
+        names = {r.word for r in written.select("word").collect()}
+        some = tmp.save(some.mapInPandas(_item_windows(names), "item_id int, itokens array<string>, hs array<long>"), "windows")
         windows = some.select("item_id", F.posexplode("hs").alias("ip", "h"))
         known = np.unique(np.array([r.h for r in windows.select("h").distinct().collect()], dtype=np.int64))
-        probed = tmp.save(texts.mapInPandas(_probe(known), "doc_id long, dwords array<string>, hs array<long>, ps array<int>"), "probed")
-        hits = probed.select("doc_id", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.col("x.ps").alias("p"))
-        pairs = hits.join(F.broadcast(windows), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.array_sort(F.collect_set(F.floor(F.col("p") / PLACE))).alias("places")).where(F.col("n") >= SHARED)
-        cands = tmp.save(pairs, "pairs").join(probed.select("doc_id", "dwords"), "doc_id").join(F.broadcast(some.select("item_id", "iwords")), "item_id")
-        rows = cands.mapInPandas(_verify, "doc_id long, item_id int, words int, edits int, kind string")
+        sent = spark.sparkContext.broadcast((known, names))
+        probed = tmp.save(texts.mapInPandas(_probe(sent), "doc_id long, dtokens array<string>, hs array<long>, ps array<int>"), "probed")
+        hits = probed.select("doc_id", F.explode(F.arrays_zip("hs", "ps")).alias("x")).select("doc_id", F.col("x.hs").alias("h"), F.floor(F.col("x.ps") / PLACE).alias("place")).distinct()
+        pairs = hits.join(F.broadcast(windows), "h").groupBy("doc_id", "item_id").agg(F.countDistinct("ip").alias("n"), F.array_sort(F.collect_set("place")).alias("places")).where(F.col("n") >= SHARED)
+        cands = tmp.save(pairs, "pairs").join(probed.select("doc_id", "dtokens"), "doc_id").join(F.broadcast(some.select("item_id", "itokens")), "item_id")
+        rows = cands.mapInPandas(_verify(sent), "doc_id long, item_id int, words int, edits int, kind string")
         found = rows if found is None else found.unionByName(rows)
     return found.distinct()
 
