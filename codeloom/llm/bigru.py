@@ -16,6 +16,7 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
 class ByteGRU:
     """Weights of both directions and the output layer; float32 throughout."""
 
+    VERSION = 2  # of the arithmetic below; kept weights of another one aren't used
     NAMES = ("xf", "uf", "xb", "ub", "w", "b")
 
     def __init__(self, classes: int, hidden: int = 20, seed: int = 7):
@@ -130,7 +131,7 @@ class ByteGRU:
         return y
 
     def gradients(self, ids, mask, labels):
-        """(mean loss, gradients) with one class per sequence as the label of all its positions."""
+        """(mean loss, gradients) by labels (B,), one class for all positions of a sequence, or (T, B), one for each."""
         p, h = self.p, self.hidden
         hf, sf = self._run(ids, mask, p["xf"], p["uf"], True)
         hb, sb = self._run(ids[::-1], mask[::-1], p["xb"], p["ub"], True)
@@ -140,7 +141,7 @@ class ByteGRU:
         y = np.exp(y)
         y /= y.sum(axis=2, keepdims=True)
         weight = mask / np.maximum(mask.sum(axis=0), 1)[None, :] / ids.shape[1]  # every sequence counts the same
-        at = (np.arange(ids.shape[0])[:, None], np.arange(ids.shape[1])[None, :], labels[None, :])
+        at = (np.arange(ids.shape[0])[:, None], np.arange(ids.shape[1])[None, :], labels if labels.ndim == 2 else labels[None, :])
         loss = float(-(np.log(y[at] + 1e-9) * weight).sum())
         d = y
         d[at] -= 1
@@ -151,8 +152,8 @@ class ByteGRU:
         g["xb"], g["ub"] = self._back(ids[::-1], mask[::-1], p["xb"], p["ub"], sb, dboth[::-1, :, h:])
         return loss, g
 
-    def train(self, texts: list[bytes], labels: np.ndarray, epochs: int, batch: int = 128, rate: float = 0.02, seed: int = 3) -> list[float]:
-        """Adam over batches of texts of similar length; the mean loss of each epoch."""
+    def train(self, texts: list[bytes], labels: np.ndarray | list[np.ndarray], epochs: int, batch: int = 128, rate: float = 0.02, seed: int = 3) -> list[float]:
+        """Adam over batches of texts of similar length, labelled as a whole or (a list of arrays) byte by byte; the mean loss of each epoch."""
         rng = np.random.default_rng(seed)
         m = {k: np.zeros_like(v) for k, v in self.p.items()}
         v2 = {k: np.zeros_like(v) for k, v in self.p.items()}
@@ -165,7 +166,13 @@ class ByteGRU:
             total = 0.0
             for g in groups:
                 ids, mask = pack([texts[i] for i in g])
-                loss, grad = self.gradients(ids, mask, labels[g])
+                if isinstance(labels, list):
+                    y = np.zeros(ids.shape, dtype=np.int64)
+                    for j, i in enumerate(g):
+                        y[: len(labels[i]), j] = labels[i]
+                else:
+                    y = labels[g]
+                loss, grad = self.gradients(ids, mask, y)
                 step += 1
                 norm = np.sqrt(sum(float((x * x).sum()) for x in grad.values()))
                 scale = min(1.0, 1.0 / (norm + 1e-9))

@@ -80,7 +80,7 @@ def test_held_out_accuracy(spark, data):
 
 
 def test_code_is_no_language_and_labels_in_any_spelling(spark):
-    assert L.text_parts("{4: 0x482086} @@ web/stock_plot.py") == [] and L.languages_of([], {}) == [("zxx", 1.0)]
+    assert L.text_parts("{4: 0x482086} @@ web/stock_plot.py") == [] and L.languages_of([], {}) == [("zxx", 1.0, 1.0)]
     df = spark.createDataFrame([("en-US", "en"), ("Ukrainian", "uk"), ("ZH_cn", "zh"), ("Brazilian", None), ("Brazilian Portuguese", "pt"), ("Chinese (Simplified)", "zh"), ("n/a", None), ("  ", None), (None, None)], "x string, want string")
     assert all(r.got == r.want for r in df.select("want", L.label_code(df.x).alias("got")).collect())
     assert [r.m for r in df.select(L.is_missing(df.x).alias("m")).collect()] == [False, False, False, False, False, False, True, True, True]
@@ -172,3 +172,31 @@ def test_salad_without_separators_and_bare_domains(spark):
     stuffed = "See https://a.example/x for this. " + "cheap price cache cheap price index " * 20
     docs = list(enumerate(prose)) + [(900, salad), (901, domains), (902, prose[0] + salad), (903, prose[0] + prose[1] + salad[: len(prose[0])]), (904, stuffed)]
     assert {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {900, 901, 902, 904}
+
+
+def test_switches_within_a_sentence_are_segments(spark, data):
+    texts = L.labelled_texts(spark, os.path.dirname(data) + "/sf0.01").where("text is not null").cache()
+    weights = L.fitted(spark, L.training_rows(texts))
+    assert all((weights[k] == v).all() for k, v in L.fitted(spark, L.training_rows(texts)).items())
+    keys = ["tbl", "record_id", "lang"]
+    found = L.label_cases(L.detect(texts, weights)).select(*keys)
+    segs = L.segments(texts, weights)
+    assert found.join(segs.select(*keys), keys, "left_anti").count() == 0
+    rows = segs.join(texts.select("tbl", "record_id", "text"), ["tbl", "record_id"]).collect()
+    assert all(0 <= r.start_at < r.end_at <= len(r.text) and 0 < r.confidence <= 1.0001 and 0 <= r.share <= 1 for r in rows)
+    one = "Die Nachtaufgabe sortiert alle offenen Rechnungen, (the loader keeps every open invoice of the table) nachdem die Sperre gesetzt ist."
+    mixed = spark.createDataFrame([("t", "a", one, None)], "tbl string, record_id string, text string, label string")
+    got = {(r.lang, one[r.start_at : r.end_at]) for r in L.segments(mixed, weights).collect()}
+    assert {x[0] for x in got} == {"de", "en"} and any(lang == "en" and "keeps every open invoice" in t and len(t) < 70 for lang, t in got)
+
+
+def test_reparameterised_items_by_numbers_names_and_units(spark):
+    item = "Each morning Harper loads 12 crates within 40 minutes before Boston opens so that Harper meets 12 drivers near the old harbour"
+    swap = lambda m: " ".join(m.get(w, w) for w in item.split())
+    docs = [
+        (1, swap({"12": "15", "40": "55", "Harper": "Quinn", "Boston": "Lisbon", "minutes": "hours"})),  # one change for each slot
+        (2, " ".join({3: "Quinn", 15: "Blake"}.get(i, {"12": "15", "40": "55", "Boston": "Lisbon"}.get(w, w)) for i, w in enumerate(item.split())).replace("Harper", "Quinn", 1).replace("Harper", "Blake", 1)),  # one name, two replacements
+        (3, item.lower()), (4, item.upper()), (5, "Intro of another kind. " + swap({"12": "7", "40": "9", "Boston": "Dublin"}) + " End."), (6, "12 15 18 21 24 27 30 33 36 39 42 45 48 51 54 57 60"),
+    ]
+    got = K.leaked_items(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame([(1, item)], "item_id int, text string"))
+    assert {(r.doc_id, r.kind) for r in got.collect()} == {(1, "reparameterised"), (3, "copy"), (4, "copy"), (5, "reparameterised")}
