@@ -31,6 +31,7 @@ MIXED = 3  # texts for each mixture of two that is trained on as well
 CHUNK_BYTES = 480  # longer parts are labelled piece by piece
 WINDOW = 20  # bytes in a row that tell of a switch
 LETTERS, SURE, SWITCH = 8, 0.96, 20.0  # letters and confidence of a part in another language; log odds of a switch inside a part
+CLAUSE, CLAUSE_LETTERS = 0.88, 30  # confidence and letters that do as well for a run between switches, whose ends the switch blurs
 
 # Codes and English names of the languages.
 _NAMES = {
@@ -280,16 +281,18 @@ def languages_of(parts: list[str], runs: dict[str, list[tuple[int, float, int, i
 
     confidence is the mean posterior of the language over the letters labelled with it, share
     their part of all letters. A second language needs a run with LETTERS letters (2 in
-    Chinese) labelled with SURE confidence. Texts without any letters outside code are zxx.
+    Chinese) labelled with SURE confidence; within a part that changes
+    language CLAUSE_LETTERS with CLAUSE do as well. Texts without any letters outside code are zxx.
     """
     weight = np.zeros(len(CODES))
     letters = np.zeros(len(CODES))
     sure = np.zeros(len(CODES))
     for part in parts:
+        several = len({r[0] for r in runs[part]}) > 1
         for k, conf, n, _, _ in runs[part]:
             weight[k] += n * conf
             letters[k] += n
-            if conf >= SURE and n >= (2 if CODES[k] == "zh" else LETTERS):
+            if (conf >= SURE and n >= (2 if CODES[k] == "zh" else LETTERS)) or (several and conf >= CLAUSE and n >= CLAUSE_LETTERS):
                 sure[k] += n
     if not weight.any():
         return [(NO_LANGUAGE, 1.0, 1.0)]
