@@ -18,6 +18,8 @@ from codeloom.functions.keys import plain_key
 from codeloom.operators.skew import HOT_PARTS, hot_keys, lookup_join
 from codeloom.runtime import Scratch
 
+#: Rows of a looked-up table that may be broadcast (two numbers each; ids up to a few hundred bytes); larger ones are joined by shuffle, their hot keys apart.
+BROADCAST_ROWS, BROADCAST_IDS = 400_000, 100_000
 #: Breadth-first rounds before what is reached so far is contracted into one vertex instead.
 MAX_BFS_ROUNDS = 24
 
@@ -48,7 +50,8 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
     pairs = tmp.save(links.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "pairs")
 
     names = pairs.select(F.explode(F.array("a", "b")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("deg")).sort("id")
-    nodes = tmp.save(names.select("id", F.monotonically_increasing_id().alias("v"), "deg"), "nodes")
+    nodes, n_nodes = _counted(tmp, names.select("id", F.monotonically_increasing_id().alias("v"), "deg"), "nodes")
+    ids_fit = n_nodes <= BROADCAST_IDS
     # the vertices of highest degree, those among them that hold more than 1/200 of the links, and the number of links
     ends = F.broadcast(nodes.agg((F.sum("deg") / 2).alias("m")))
     top = nodes.orderBy(F.desc("deg"), "v").limit(HOT_PARTS).crossJoin(ends).collect()
@@ -57,18 +60,18 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
     hot = [r.id for r in top if r.deg * HOT_PARTS > r.m]
     hot_v = [r.v for r in top if r.deg * HOT_PARTS > r.m]
     number = nodes.select("id", "v")
-    e = lookup_join(pairs, number.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a", hot)
-    e = lookup_join(e, number.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b", hot)
+    e = _look(pairs, number.withColumnRenamed("id", "a").withColumnRenamed("v", "va"), "a", ids_fit, lambda: hot)
+    e = _look(e, number.withColumnRenamed("id", "b").withColumnRenamed("v", "vb"), "b", ids_fit, lambda: hot)
     edges = tmp.save(e.select(F.least("va", "vb").alias("s"), F.greatest("va", "vb").alias("t")), "edges")
 
     # The component of the busiest vertex, ring by ring. Links that led out of a ring are used
     # up; once they are half of what is read each round, they are left out of it.
     root, rings, ended = top[0].v, [], False
     open_links, n_open, n_used = edges.unionByName(edges.select(F.col("t").alias("s"), F.col("s").alias("t"))), 2 * top[0].m, 0
-    ring = tmp.save(spark.range(1).select(F.lit(root).cast("long").alias("v")), "ring")
+    ring, n, n_giant = spark.range(1).select(F.lit(root).cast("long").alias("v")), 1, 1
     rings.append(ring)
     for _ in range(max_bfs_rounds):
-        used, k = _counted(tmp, lookup_join(open_links, ring.withColumnRenamed("v", "s"), "s", hot_v).select(F.col("t").alias("v")), "used")
+        used, k = _counted(tmp, _look(open_links, ring.withColumnRenamed("v", "s"), "s", n <= BROADCAST_ROWS, lambda: hot_v).select(F.col("t").alias("v")), "used")
         n_used += k
         seen = rings[-1] if len(rings) == 1 else rings[-1].unionByName(rings[-2])  # a neighbour of ring k lies in ring k-1, k or k+1
         ring, n = _counted(tmp, used.distinct().join(seen, "v", "left_anti"), "ring")
@@ -77,18 +80,19 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
             break
         if 2 * n_used >= n_open:
             mark = _union(rings).select(F.col("v").alias("s"), F.lit(True).alias("out"))
-            open_links = tmp.save(lookup_join(open_links, mark, "s", hot_v, "left").where("out is null").drop("out"), "links")
+            open_links = tmp.save(_look(open_links, mark, "s", n_giant <= BROADCAST_ROWS, lambda: hot_v, "left").where("out is null").drop("out"), "links")
             n_open, n_used = n_open - n_used, 0
         rings.append(ring)
-    giant = _union(rings)
+        n_giant += n
+    giant, fits = _union(rings), n_giant <= BROADCAST_ROWS
     least = giant.agg(F.min("v").alias("m")).first().m
     if ended:  # what leads out of the giant leads into it, so the links left lie outside, each in both directions
         mark = giant.select(F.col("v").alias("s"), F.lit(True).alias("out"))
-        rest = lookup_join(open_links.where("s < t"), mark, "s", hot_v, "left").where("out is null").drop("out")
+        rest = _look(open_links.where("s < t"), mark, "s", fits, lambda: hot_v, "left").where("out is null").drop("out")
     else:  # a long tail hangs on: what is reached becomes its smallest vertex
         mark = giant.select("v", F.lit(least).alias("g"))
-        rest = lookup_join(edges, mark.withColumnRenamed("v", "s").withColumnRenamed("g", "gs"), "s", hot_v, "left")
-        rest = lookup_join(rest, mark.withColumnRenamed("v", "t").withColumnRenamed("g", "gt"), "t", hot_v, "left")
+        rest = _look(edges, mark.withColumnRenamed("v", "s").withColumnRenamed("g", "gs"), "s", fits, lambda: hot_v, "left")
+        rest = _look(rest, mark.withColumnRenamed("v", "t").withColumnRenamed("g", "gt"), "t", fits, lambda: hot_v, "left")
         rest = rest.select(F.coalesce("gs", "s").alias("x"), F.coalesce("gt", "t").alias("y")).where("x <> y").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t")).distinct()
 
     small = _propagate(tmp, rest)
@@ -96,9 +100,14 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
         low = small.where(F.col("v") == least).select("g").first()
         small, least = small.join(giant, "v", "left_anti"), low.g if low else least
     labels = tmp.save(giant.select("v", F.lit(least).cast("long").alias("g")).unionByName(small), "labels")
-    named = labels.join(number, "v").withColumnRenamed("g", "gv")
+    named = _look(labels, number, "v", ids_fit, lambda: []).withColumnRenamed("g", "gv")
     owner = number.withColumnRenamed("v", "gv").withColumnRenamed("id", "group_id")
-    return lookup_join(named, owner, "gv", hot_keys(labels.withColumnRenamed("g", "gv"), "gv")).select("id", "group_id")
+    return _look(named, owner, "gv", ids_fit, lambda: hot_keys(labels, "g")).select("id", "group_id")
+
+
+def _look(left: DataFrame, right: DataFrame, key: str, fits: bool, hot, how: str = "inner") -> DataFrame:
+    """left join right, which has one row per key: by broadcast if its counted rows fit, else by shuffle with the hot keys that hot() names apart."""
+    return left.join(F.broadcast(right), key, how) if fits else lookup_join(left, right, key, hot(), how)
 
 
 def _union(parts: list[DataFrame]) -> DataFrame:
@@ -112,17 +121,6 @@ def _counted(tmp: Scratch, df: DataFrame, name: str) -> tuple[DataFrame, int]:
     return out.select(*df.columns), seen.get["n"]
 
 
-def _hot(df: DataFrame, *keys: str) -> list[list]:
-    """hot_keys for several columns at once."""
-    total = df.agg(F.count(F.lit(1)).alias("_all"))
-    per = None
-    for i, k in enumerate(keys):
-        counts = df.groupBy(F.col(k).alias("k")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n")).limit(HOT_PARTS).withColumn("i", F.lit(i))
-        per = counts if per is None else per.unionByName(counts)
-    got = per.crossJoin(F.broadcast(total)).where(F.col("n") * HOT_PARTS > F.col("_all")).select("i", "k").collect()
-    return [[r.k for r in got if r.i == i] for i in range(len(keys))]
-
-
 def _propagate(tmp: Scratch, links: DataFrame) -> DataFrame:
     """(v, g) of the vertices of links(s < t) by minimum propagation.
 
@@ -137,24 +135,23 @@ def _propagate(tmp: Scratch, links: DataFrame) -> DataFrame:
     while left:
         near = edges.select(F.explode(F.array(F.struct(F.col("s").alias("v"), F.col("s").alias("p")), F.struct(F.col("t").alias("v"), F.col("s").alias("p")))).alias("x")).select("x.*")
         # s < t: the smallest neighbour below t is among its s; a vertex that is only an s keeps itself
-        parent = tmp.save(near.groupBy("v").agg(F.min("p").alias("p")), "parent")
-        moved = 1
+        parent, n = _counted(tmp, near.groupBy("v").agg(F.min("p").alias("p")), "parent")
+        fits, moved = n <= BROADCAST_ROWS, 1
         while moved:
             up = parent.select(F.col("v").alias("p"), F.col("p").alias("q"))
-            nxt = lookup_join(parent, up, "p", _hot(parent, "p")[0]).select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).cast("int").alias("moved"))
+            nxt = _look(parent, up, "p", fits, lambda: hot_keys(parent, "p")).select("v", F.col("q").alias("p"), (F.col("q") != F.col("p")).cast("int").alias("moved"))
             seen = Observation()
             nxt = tmp.save(nxt.observe(seen, F.sum("moved").alias("n")), "jump")
             moved = seen.get["n"]
             parent = nxt.select("v", "p")
-        hot_s, hot_t = _hot(edges, "s", "t")
-        new = lookup_join(edges, parent.select(F.col("v").alias("s"), F.col("p").alias("x")), "s", hot_s)
-        new = lookup_join(new, parent.select(F.col("v").alias("t"), F.col("p").alias("y")), "t", hot_t)
+        new = _look(edges, parent.select(F.col("v").alias("s"), F.col("p").alias("x")), "s", fits, lambda: hot_keys(edges, "s"))
+        new = _look(new, parent.select(F.col("v").alias("t"), F.col("p").alias("y")), "t", fits, lambda: hot_keys(edges, "t"))
         edges, left = _counted(tmp, new.where("x <> y").select(F.least("x", "y").alias("s"), F.greatest("x", "y").alias("t")).distinct(), "contracted")
         if result is None:
             result = parent.select("v", F.col("p").alias("g"))
         else:
             to = parent.select(F.col("v").alias("g"), F.col("p").alias("h"))
-            result = tmp.save(lookup_join(result, to, "g", _hot(result, "g")[0], "left").select("v", F.coalesce("h", "g").alias("g")), "result")
+            result = tmp.save(_look(result, to, "g", fits, lambda: hot_keys(result, "g"), "left").select("v", F.coalesce("h", "g").alias("g")), "result")
     if result is None:
         return edges.select(F.col("s").alias("v"), F.col("s").alias("g"))
     return result
