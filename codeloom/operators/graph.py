@@ -14,6 +14,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.operators.ordering import numbered
+from codeloom.operators.skew import hot_keys, lookup_join
 
 # File names that start a program.
 ENTRY_POINTS = ["app.py", "main.py", "manage.py", "wsgi.py", "asgi.py", "__main__.py", "server.py", "run.py"]
@@ -39,7 +41,7 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 
 def with_callers(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    return functions.select("fn_id", "project", "file", "fn_name", "route").join(callers_degree(edges), "fn_id", "left").fillna(0, ["callers"])
+    return functions.join(callers_degree(edges), "fn_id", "left").fillna(0, ["callers"])
 
 
 def graph_totals(functions: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -77,10 +79,18 @@ def resolve_imports(files: DataFrame, functions: DataFrame) -> DataFrame:
     dotted = F.regexp_replace(F.regexp_replace(F.expr("substring(path, length(project) + 2)"), r"\.[^.]*$", ""), "/", ".")
     stems = files.select("project", dotted.alias("text"), "path").groupBy("project", "text").agg(F.max("path").alias("target_file"))
     modules = raw.where("capture = 'imp.module'").join(stems, ["project", "text"]).select("project", F.col("path").alias("source_file"), "target_file")
-    places = functions.select("project", F.col("fn_name").alias("text"), "file").distinct()
-    names = raw.where("capture = 'imp.name'").join(places, ["project", "text"]).where("file <> path").groupBy("project", "path", "text").agg(F.min("file").alias("target_file"))
-    names = names.select("project", F.col("path").alias("source_file"), "target_file")
-    return modules.unionByName(names).where("source_file <> target_file").distinct()
+    # of any name the two first files suffice: one of them isn't the importing file
+    first = _first_two(functions.select("project", F.col("fn_name").alias("text"), "file"), ["project", "text"], "file")
+    names = raw.where("capture = 'imp.name'").join(first, ["project", "text"])
+    names = names.select("project", F.col("path").alias("source_file"), F.when(F.col("one") != F.col("path"), F.col("one")).otherwise(F.col("two")).alias("target_file"))
+    return modules.unionByName(names.where("target_file is not null")).where("source_file <> target_file").distinct()
+
+
+def _first_two(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """(*keys, one, two): the two smallest different values of each key; partial aggregates, so no key's values are collected."""
+    least = rows.groupBy(*keys).agg(F.min(value).alias("one"))
+    rest = rows.join(least, keys).where(F.col(value) != F.col("one")).groupBy(*keys).agg(F.min(value).alias("two"))
+    return least.join(rest, keys, "left")
 
 
 def zone_map(functions: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
@@ -106,23 +116,60 @@ def mutual_imports(imports: DataFrame) -> DataFrame:
     return both.where("hi and not lo").select("file_a", "file_b")
 
 
-def resolve_calls(edges: DataFrame, functions: DataFrame, files: DataFrame) -> DataFrame:
-    """(source_fn, callee, target_fn, confidence): calls resolved by name in three tiers.
+def named_calls(edges: DataFrame) -> DataFrame:
+    """(project, source_fn, file, callee) of written edges, for another resolution."""
+    return edges.select("project", "source_fn", file_of("source_fn").alias("file"), F.split_part("target_fn", F.lit("::"), F.lit(2)).alias("callee")).distinct()
+
+
+def imported_names(files: DataFrame) -> DataFrame:
+    """(file, callee): the names that files import."""
+    return files.select(F.col("path").alias("file"), F.explode("imports").alias("x")).where("x.capture = 'imp.name'").select("file", F.col("x.text").alias("callee")).distinct()
 
-    A name the file imports and one other file defines (1.0), a function of the same file
-    (0.95), a name unique in the project (0.5); other calls are dropped.
+
+def resolve_calls(calls: DataFrame, functions: DataFrame, imported: DataFrame) -> DataFrame:
+    """(source_fn, callee, target_fn, confidence): calls(project, source_fn, file, callee) resolved by name in three tiers.
+
+    A name that the file imports (imported(file, callee)) and another file defines (1.0), a
+    function of the same file (0.95), a name unique in the project (0.5); other calls are dropped.
     """
-    calls = edges.select("project", "source_fn", file_of("source_fn").alias("file"), F.split_part("target_fn", F.lit("::"), F.lit(2)).alias("callee")).distinct()
-    imported = files.select(F.col("path").alias("file"), F.explode("imports").alias("x")).where("x.capture = 'imp.name'").select("file", F.col("x.text").alias("callee")).distinct()
     named = functions.select("project", "file", F.col("fn_name").alias("callee"), "fn_id").distinct()
-    tier1 = calls.select("project", "file", "callee").distinct().join(imported, ["file", "callee"]).join(named.withColumnRenamed("file", "other"), ["project", "callee"]).where("other <> file").groupBy("file", "callee").agg(F.min("fn_id").alias("t1"))
-    tier2 = named.select("file", "callee", F.col("fn_id").alias("t2"))
-    tier3 = named.groupBy("project", "callee").agg(F.min("fn_id").alias("t3"), F.count(F.lit(1)).alias("n")).where("n = 1").drop("n")
+    first = _first_two(named, ["project", "callee"], "fn_id")  # ids of one name differ by their file
+    other = F.when(file_of("one") != F.col("file"), F.col("one")).otherwise(F.col("two"))
+    tier1 = calls.select("project", "file", "callee").distinct().join(imported, ["file", "callee"]).join(first, ["project", "callee"]).select("file", "callee", other.alias("t1")).where("t1 is not null")
+    tier2 = named.groupBy("file", "callee").agg(F.min("fn_id").alias("t2"))
+    tier3 = first.where("two is null").select("project", "callee", F.col("one").alias("t3"))
     got = calls.join(tier1, ["file", "callee"], "left").join(tier2, ["file", "callee"], "left").join(tier3, ["project", "callee"], "left")
     confidence = F.when(F.col("t1").isNotNull(), 1.0).when(F.col("t2").isNotNull(), 0.95).otherwise(0.5)
     return got.select("source_fn", "callee", F.coalesce("t1", "t2", "t3").alias("target_fn"), confidence.alias("confidence")).where("target_fn is not null")
 
 
+def enclosed_calls(calls: DataFrame, functions: DataFrame) -> DataFrame:
+    """calls(path, line, ...) with the project and source_fn of every function whose lines hold them: an interval join within each file."""
+    spans = functions.select("project", F.col("fn_id").alias("source_fn"), F.col("file").alias("path"), "line_start", "line_end")
+    return calls.join(spans, "path").where("line between line_start and line_end").drop("line_start", "line_end")
+
+
+def edges_from_calls(calls: DataFrame, functions: DataFrame, imports: DataFrame, attributes: DataFrame) -> DataFrame:
+    """(project, source_fn, target_fn, site_file, line, expression, confidence) from calls(path, callee, receiver, line, expression) read from source.
+
+    A call without receiver, or on an imported module, is resolved by name; one on self.attr by
+    the class the attribute was given in __init__; calls on anything else are dropped.
+    functions(fn_id, project, file, fn_name, class_name, line_start, line_end),
+    imports(path, capture, text), attributes as scan.init_attributes.
+    """
+    sites = enclosed_calls(calls, functions)
+    modules = imports.where("capture = 'imp.module'").select("path", F.regexp_extract("text", r"([\w$]+)\W*$", 1).alias("receiver"), F.lit(True).alias("module")).distinct()
+    told = sites.join(modules, ["path", "receiver"], "left")
+    plain = told.where("receiver is null or module").drop("module", "receiver")
+    by_name = resolve_calls(plain.select("project", "source_fn", F.col("path").alias("file"), "callee").distinct(), functions, imports.where("capture = 'imp.name'").select(F.col("path").alias("file"), F.col("text").alias("callee")).distinct())
+    out = plain.join(by_name, ["source_fn", "callee"])
+    own = attribute_targets(attributes, functions).select(F.col("fn_id").alias("source_fn"), F.concat(F.lit("self."), "attr").alias("receiver"), "target_fn", "confidence")
+    by_attr = sites.join(own, ["source_fn", "receiver"]).where(F.split_part("target_fn", F.lit("::"), F.lit(2)) == F.col("callee"))
+    cols = ["project", "source_fn", "target_fn", F.col("path").alias("site_file"), "line", "expression", "confidence"]
+    rows = out.select(*cols).unionByName(by_attr.select(*cols))
+    return rows.groupBy("project", "source_fn", "target_fn", "site_file", "line", "expression").agg(F.max("confidence").alias("confidence"))
+
+
 def upgrade_confidence(edges: DataFrame, imports: DataFrame, files: DataFrame) -> DataFrame:
     """(source_fn, target_fn, confidence, upgraded): calls under 0.9 between files that import each other gain: 0.95 if the name is imported, else at least 0.85."""
     e = edges.select("source_fn", "target_fn", "confidence", file_of("source_fn").alias("source_file"), file_of("target_fn").alias("target_file"), F.split_part("target_fn", F.lit("::"), F.lit(2)).alias("callee"))
@@ -134,12 +181,16 @@ def upgrade_confidence(edges: DataFrame, imports: DataFrame, files: DataFrame) -
     return j.select("source_fn", "target_fn", "confidence", up.alias("upgraded"))
 
 
-def attribute_targets(functions: DataFrame) -> DataFrame:
-    """(fn_id, attr, target_class, target_file): parameters of methods that name a class defined in exactly one file of the project."""
-    homes = functions.where("class_name is not null").groupBy("project", F.col("class_name").alias("target_class")).agg(F.count_distinct("file").alias("n"), F.min("file").alias("target_file")).where("n = 1").drop("n")
-    attrs = functions.where("class_name is not null").select("project", "fn_id", F.explode("params").alias("p")).select("project", "fn_id", F.col("p.name").alias("attr"))
-    attrs = attrs.withColumn("target_class", F.concat(F.upper(F.substring("attr", 1, 1)), F.expr("substring(attr, 2)")))
-    return attrs.join(homes, ["project", "target_class"]).select("fn_id", "attr", "target_class", "target_file").distinct()
+def attribute_targets(attributes: DataFrame, functions: DataFrame) -> DataFrame:
+    """(fn_id, attr, target_class, target_fn, confidence): what a call self.attr.method() within a method resolves to, 0.85 each.
+
+    attributes(path, class_name, attr, target_class, target_file) as scan.init_attributes
+    gives them; functions(fn_id, file, fn_name, class_name). No inheritance and one level only.
+    """
+    callers = functions.where("class_name is not null").select("fn_id", "class_name", F.col("file").alias("path"))
+    targets = functions.select(F.col("class_name").alias("target_class"), F.col("file").alias("target_file"), F.col("fn_id").alias("target_fn"))
+    own = callers.join(attributes, ["path", "class_name"])
+    return own.join(targets, ["target_class", "target_file"]).select("fn_id", "attr", "target_class", "target_fn", F.lit(0.85).alias("confidence")).distinct()
 
 
 def enclosing_functions(edges: DataFrame, functions: DataFrame) -> DataFrame:
@@ -219,16 +270,22 @@ def page(functions: DataFrame, edges: DataFrame, zone: str, files: DataFrame, of
     return rows.select("fn_id", "fn_name", "callers").orderBy("fn_id").offset(offset).limit(limit)
 
 
-def graph_index(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    """(project, pos, fn_id, callers): functions numbered per project by id, and the numbers of their callers in the project in order."""
-    num = functions.select("project", "fn_id", F.row_number().over(W.partitionBy("project").orderBy("fn_id")).alias("pos"))
-    who = edges.select("source_fn", "target_fn").distinct().join(num.select(F.col("fn_id").alias("source_fn"), F.col("pos").alias("p"), F.col("project").alias("sp")), "source_fn").groupBy(F.col("target_fn").alias("fn_id"), F.col("sp").alias("project")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x.cast("string")), ",").alias("callers"))
-    return num.join(who, ["project", "fn_id"], "left").select("project", "pos", "fn_id", F.coalesce("callers", F.lit("")).alias("callers"))
+def graph_index(functions: DataFrame, edges: DataFrame, block: int = 1000) -> DataFrame:
+    """(project, pos, fn_id, block, callers): functions numbered per project by id, and the numbers of their callers in the project in order, one row per block of numbers that holds some.
+
+    A function without callers has one row with empty callers, in block 0.
+    """
+    num = numbered(functions.select("project", "fn_id"), "project", [F.col("fn_id")], "pos")
+    hot = hot_keys(edges, "source_fn")
+    calls = lookup_join(edges.select("source_fn", "target_fn").distinct(), num.select(F.col("fn_id").alias("source_fn"), F.col("pos").alias("p"), F.col("project").alias("sp")), "source_fn", hot)
+    who = calls.groupBy(F.col("target_fn").alias("fn_id"), F.col("sp").alias("project"), F.floor(F.col("p") / block).cast("int").alias("block")).agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda x: x.cast("string")), ",").alias("callers"))
+    return num.join(who, ["project", "fn_id"], "left").select("project", "pos", "fn_id", F.coalesce("block", F.lit(0)).alias("block"), F.coalesce("callers", F.lit("")).alias("callers"))
 
 
 def routes(functions: DataFrame, edges: DataFrame, most: int = 8) -> DataFrame:
     """Functions with a route and the first `most` functions they call, in order."""
-    out = edges.select(F.col("source_fn").alias("fn_id"), "target_fn").distinct().groupBy("fn_id").agg(F.array_join(F.slice(F.array_sort(F.collect_list("target_fn")), 1, most), ",").alias("callees"))
+    calls = edges.select(F.col("source_fn").alias("fn_id"), "target_fn").distinct().withColumn("n", F.row_number().over(W.partitionBy("fn_id").orderBy("target_fn"))).where(F.col("n") <= most)
+    out = calls.groupBy("fn_id").agg(F.array_join(F.array_sort(F.collect_list("target_fn")), ",").alias("callees"))
     return functions.where("route is not null").select("fn_id", "file", "http_method", "route").join(out, "fn_id", "left").select("file", "route", "http_method", "fn_id", F.coalesce("callees", F.lit("")).alias("callees"))
 
 
@@ -288,9 +345,9 @@ def name_prefixes(functions: DataFrame, most: int = 5) -> DataFrame:
 def median_function(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """Per project the function in the upper middle by callers (ties by id)."""
     rows = with_callers(functions, edges).select("project", "fn_id", "callers")
-    w = W.partitionBy("project")
-    r = rows.withColumn("r", F.row_number().over(w.orderBy("callers", "fn_id"))).withColumn("n", F.count(F.lit(1)).over(w))
-    return r.where(F.col("r") == F.floor(F.col("n") / 2) + 1).select("project", "fn_id", "callers")
+    n = rows.groupBy("project").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("middle"))
+    r = numbered(rows, "project", [F.col("callers"), F.col("fn_id")], "r").join(n, "project")
+    return r.where("r = middle").select("project", "fn_id", "callers")
 
 
 def risk_view(functions: DataFrame, reports: DataFrame) -> DataFrame:

@@ -2,7 +2,7 @@
 
 import subprocess
 
-from codeloom.sources import scan, store
+from codeloom.sources import facts, scan, store
 from codeloom.sources.spans import spans
 
 
@@ -28,13 +28,73 @@ def test_scanners(spark):
     assert [(r.attr, r.target_class, r.target_file) for r in scan.init_attributes(files).collect()] == [("r", "Repo", "b.py")]
     assert {(r.value, r.kind) for r in scan.literal_use_kinds(files).collect()} >= {("a", "subscript"), ("b", "comparison"), ("c", "call_arg")}
     assert [(r.fn_name, r.route, r.http_method) for r in scan.decorated_routes(files).collect()] == [("f", "/p", "POST")]
-    f = {r.fn_name: r for r in scan.functions(files).collect()}
-    assert f["f"].complexity == 2 and f["f"].params == "v" and f["__init__"].params == ""
+    f = {r.fn_name: r for r in facts.functions(files).collect()}
+    assert f["f"].complexity == 2 and [p.name for p in f["f"].params] == ["v"] and f["__init__"].params == [] and f["__init__"].class_name == "C"
+    assert [(r.class_name, r.n_attributes, r.n_methods) for r in scan.class_sizes(files, facts.functions(files)).orderBy("class_name").collect()] == [("C", 1, 1), ("Repo", 0, 0)]
+
+
+def shape(code):
+    return facts.shape_hash(facts.code_of(code, "python"), "python")
 
 
 def test_clone_hash_ignores_names_and_comments():
-    assert scan.normal_hash("def f(a):\n    # c\n    return a + 1", "python") == scan.normal_hash("def g(b):\n    return b + 1", "python")
-    assert scan.normal_hash("def f(a): return a", "python") != scan.normal_hash("def f(a): return a + a", "python")
+    assert shape("def f(a):\n    # c\n    return a + 1") == shape('def g(b):\n    """Adds."""\n    return b + 1')
+    assert shape("def f(a): return a") != shape("def f(a): return a + a")
+    assert shape("def f(a): return '# no comment'") != shape("def f(a): return '# another'")
+    assert shape("") is None
+
+
+def fact(text, lang):
+    return facts.facts(text, lang)
+
+
+def params(text, lang):
+    f, ts, _, _ = fact(text, lang).functions[0]
+    return facts.parameters(ts, f.name, lang), facts.return_type(ts, f.name, lang)
+
+
+def test_parameters_and_return_types():
+    assert params("async def f(self, a: dict[str, int], *args, b=3, **kw) -> list[int]:\n    pass", "python") == ([("a", "dict[str, int]", None), ("b", None, "3")], "list[int]")
+    assert params("export async function f(a: number, b?: string, c = 1): Promise<number> { return 1; }", "typescript") == ([("a", "number", None), ("b", "string", None), ("c", None, "1")], "Promise<number>")
+    assert params("func (r *T) M(a, b int, c string) (int, error) { return 1, nil }", "go") == ([("a", "int", None), ("b", "int", None), ("c", "string", None)], "(int, error)")
+    assert params("pub fn f<T>(&self, mut a: Vec<T>, b: &str) -> Option<T> { None }", "rust") == ([("a", "Vec<T>", None), ("b", "&str", None)], "Option<T>")
+    assert params("class A { public static Map<String, Integer> f(final List<String> a, int b) { return null; } }", "java") == ([("a", "List<String>", None), ("b", "int", None)], "Map<String, Integer>")
+    assert params("class A { public int F(ref int a, string b = \"x\") { return a; } }", "csharp") == ([("a", "int", None), ("b", "string", '"x"')], "int")
+
+
+def test_imports_of_each_language():
+    got = lambda text, lang: [(x.capture.split(".")[1], x.text) for x in fact(text, lang).imports]
+    assert got("import os.path, json as j\nfrom a.b import (c,\n    d as e)\ns = 'import no'\n", "python") == [("module", "os.path"), ("module", "json"), ("module", "a.b"), ("name", "c"), ("name", "d")]
+    assert got("import { a, b as c } from './m';\nimport D from \"x\";\nimport 'y';\n", "typescript") == [("module", "./m"), ("name", "a"), ("name", "b"), ("module", "x"), ("name", "D"), ("module", "y")]
+    assert got('package p\nimport (\n "fmt"\n l "log"\n)\nimport "os"\n', "go") == [("module", "fmt"), ("module", "log"), ("module", "os")]
+    assert got("use std::io::{self, Read};\nuse a::b;\n", "rust")[0] == ("module", "std::io") and ("module", "a::b") in got("use a::b;\n", "rust")
+    assert got("import java.util.List;\nclass A {}", "java") == [("module", "java.util.List")]
+    assert got("using System;\nusing X = A.B;\nclass A {}", "csharp") == [("module", "System"), ("module", "A.B")]
+
+
+def test_classes_exports_and_calls():
+    py = "class A(Base, metaclass=M):\n    def f(self):\n        self.r.save(1)\n        json.dumps(f'{g(2)}')\n\ndef g(x): return h(x)\ndef _p(): pass\n"
+    x = fact(py, "python")
+    assert [tuple(c) for c in x.classes] == [("A", "Base", 1, 4)] and [e[0] for e in x.exports] == ["g", "A"]
+    assert [(c.callee, c.receiver, c.expression) for c in x.calls] == [("save", "self.r", "self.r.save(1)"), ("dumps", "json", "json.dumps(f'{g(2)}')"), ("h", None, "h(x)")]
+    assert [f[2] for f in x.functions] == ["A", None, None]
+    go = fact("package p\ntype T struct {\n A int\n}\nfunc F() { g() }\nfunc f() {}\n", "go")
+    assert [c.name for c in go.classes] == ["T"] and [e[0] for e in go.exports] == ["F", "T"] and [c.callee for c in go.calls] == ["g"]
+    assert fact("x", "cobol") == facts.Facts([], [], [], [], []) and fact("", "python").functions == []
+
+
+def test_edges_from_source(spark):
+    from codeloom.operators import graph as G
+
+    text = {
+        "p/a.py": "import util\nfrom b import helper\nclass S:\n    def __init__(self):\n        self.r = Repo()\n    def run(self):\n        self.r.save()\n        other.save()\n        helper(1)\n        util.only()\n        local()\ndef local(): pass\n",
+        "p/b.py": "def helper(x): pass\nclass Repo:\n    def save(self): pass\n", "p/util.py": "def only(): pass\n", "p/c.py": "def helper(x): pass\n",
+    }
+    files = spark.createDataFrame([(p, "p", "python", c) for p, c in text.items()], "path string, project string, prog_lang string, content string")
+    f = facts.functions(files).selectExpr("concat(path, '::', fn_name) fn_id", "'p' project", "path file", "fn_name", "class_name", "line_start", "line_end")
+    e = G.edges_from_calls(facts.calls(files), f, facts.imports(files), scan.init_attributes(files)).collect()
+    assert {(r.source_fn.split("::")[1], r.target_fn, r.confidence) for r in e} == {("run", "p/b.py::save", 0.85), ("run", "p/b.py::helper", 1.0), ("run", "p/util.py::only", 0.5), ("run", "p/a.py::local", 0.95)}
+    assert facts.file_rows(files).count() == 4
 
 
 def test_html(spark):
