@@ -8,6 +8,7 @@ find their owner by interval containment.
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -71,6 +72,10 @@ def _balanced_end(text: str, start: int) -> int:
     return -1
 
 
+#: The beginning of a JSON object, as against a brace in a remark.
+_OPENED = re.compile(r'\{\s*"')
+
+
 def read_payload(payload: str | None):
     """The JSON object in a payload, whatever stands around it (fences, remarks, quoting); None if there is no complete one."""
     if not payload:
@@ -83,7 +88,10 @@ def read_payload(payload: str | None):
         while at >= 0:
             end = _balanced_end(text, at)
             if end < 0:
-                return None
+                if _OPENED.match(text, at):
+                    return None  # an object that was cut off: what is complete within it is no record
+                at = text.find("{", at + 1)  # a brace of the remark around the record
+                continue
             try:
                 value = json.loads(text[at:end])
                 break

@@ -41,3 +41,11 @@ def test_intervals_nest_or_are_apart(value):
     for a in spans:
         for b in spans:
             assert a == b or a[1] < b[0] or b[1] < a[0] or (a[0] < b[0] and b[1] < a[1]) or (b[0] < a[0] and a[1] < b[1])
+
+
+def test_a_brace_in_a_remark_hides_no_record():
+    from codeloom.operators.nested import read_payload
+
+    assert read_payload('note { x: {"id":"a::b","params":[{"name":"p"}]}')["id"] == "a::b"
+    assert read_payload('{"id": "a::b", "params": [{"name": "p"}, {"na') is None
+    assert read_payload("no object { at all") is None
