@@ -2,20 +2,27 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.operators.ordering import running_sum
+
 # Values too common to couple anything.
 GENERIC = ["0", "1", "0.0", "1.0", "-1", "True", "False", "None", "null", "", "id", "name", "type", "value", "key"]
 
+# Fixed value: what a bare number looks like.
+BARE_NUMBER = r"^-?\d+(\.\d+)?$|^-?\.\d+$"
+
 
 def artifact_hits(units: DataFrame) -> DataFrame:
     """(unit_id, file, kind, value): usable artifact values of units by their first file; lists count as sorted text, bare numbers and generic values don't count."""
     a = units.where(F.size("source_files") > 0).select(F.col("id").alias("unit_id"), F.col("source_files")[0].alias("file"), F.explode("hardcoded_artifacts").alias("a"))
     value = F.coalesce("a.value", F.array_join(F.array_sort("a.value_list"), ","))
     rows = a.select("unit_id", "file", F.col("a.kind").alias("kind"), value.alias("value"), F.coalesce("a.surface", F.lit("")).alias("surface"))
-    bare = F.col("value").rlike(r"^-?\d+(\.\d+)?$|^-?\.\d+$") & (F.col("surface") == "")
+    bare = F.col("value").rlike(BARE_NUMBER) & (F.col("surface") == "")
     return rows.where(F.col("value").isNotNull() & ~F.col("value").isin(GENERIC) & ~bare).drop("surface")
 
 
@@ -46,15 +53,17 @@ def value_consumers(uses: DataFrame) -> DataFrame:
 
 
 def literal_occurrences(docs: DataFrame, values: list[str], most: int = 50) -> DataFrame:
-    """(value, doc_id, line, hits): lines of documents that hold a value as a whole word, the first `most` per value by document and line."""
+    """(value, doc_id, line, hits): lines of documents that hold a value as a whole word (no letter, digit or underscore beside it), the first `most` per value by document and line.
+
+    Values are taken literally, whatever marks they hold; no values or only empty ones give no rows.
+    """
     lines = docs.select("doc_id", F.posexplode(F.split("text", r"\r?\n")).alias("line", "content"))
-    pattern = "|".join(values)
-    words = lines.where(F.col("content").rlike(pattern)).select("doc_id", "line", F.explode(F.regexp_extract_all("content", F.lit(r"\b(" + pattern + r")\b"), F.lit(1))).alias("value"))
+    quoted = "|".join(re.escape(v) for v in sorted(set(values), key=lambda v: (-len(v), v)) if v) or "(?!)"
+    words = lines.select("doc_id", "line", F.explode(F.regexp_extract_all("content", F.lit(r"(?<![A-Za-z0-9_])(" + quoted + r")(?![A-Za-z0-9_])"), F.lit(1))).alias("value"))
     n = words.groupBy("value", "doc_id", "line").agg(F.count(F.lit(1)).alias("hits"))
     return n.withColumn("r", F.row_number().over(W.partitionBy("value").orderBy("doc_id", "line"))).where(F.col("r") <= most).drop("r")
 
 
 def budgeted_prefix(rows: DataFrame, key: str, order: list[str], size: str, budget: int) -> DataFrame:
     """The first rows of each key, in order, whose sizes add up to no more than the budget."""
-    w = W.partitionBy(key).orderBy(*order).rowsBetween(W.unboundedPreceding, W.currentRow)
-    return rows.withColumn("used", F.sum(size).over(w)).where(F.col("used") <= budget)
+    return running_sum(rows, key, [F.col(c) for c in order], size, "used").where(F.col("used") <= budget)

@@ -18,6 +18,12 @@ from codeloom.functions.keys import blank_to_null, plain_session, utc_millis
 
 #: Fixed value: the parts of a message that are read.
 MESSAGE = "model string, stop_reason string, usage struct<input_tokens:long,cache_read_input_tokens:long,cache_creation_input_tokens:long,output_tokens:long>"
+#: Fixed value: what the message of an automatic commit holds.
+AUTO_COMMIT = "auto-commit"
+# What test runs print.
+FAILED, PASSED, RUNNER = r"(?i)(\d+)\s+failed|FAILED|FAIL\b|error\b", r"(\d+)\s+passed", r"(?i)test session starts|\b(pytest|jest)\b"
+#: Seconds of the buckets of interval joins.
+HOUR_S, DAY_S = 3600, 86_400
 _BLOCKS = "array<struct<type:string,text:string,name:string,input:struct<file_path:string,command:string>>>"
 
 
@@ -52,7 +58,7 @@ def rollup(rows: DataFrame) -> DataFrame:
     """Per session: first and last time, entries, turns by class, files modified and created, corrections, last test result, how it ended."""
     user_text = F.when(F.col("kind") == "user", F.coalesce(F.when(~F.col("content").startswith("["), F.col("content")), F.array_join(F.transform(F.filter(F.from_json("content", _BLOCKS), lambda b: b["type"] == "text"), lambda b: b["text"]), " ")))
     out = F.when(F.col("kind") == "user", F.get_json_object("tool_use_result", "$.stdout"))
-    tested = F.when(out.rlike(r"(?i)(\d+)\s+failed|FAILED|FAIL\b|error\b") & out.rlike(r"(\d+)\s+passed|(?i)test session starts|\b(pytest|jest)\b"), False).when(out.rlike(r"(\d+)\s+passed"), True)
+    tested = F.when(out.rlike(FAILED) & (out.rlike(PASSED) | out.rlike(RUNNER)), False).when(out.rlike(PASSED), True)
     e = rows.withColumns({"said": user_text, "tested": tested})
     base = e.groupBy("session_id").agg(
         F.min("t").alias("started_at"), F.max("t").alias("completed_at"), F.count(F.lit(1)).alias("entries"),
@@ -69,44 +75,76 @@ def rollup(rows: DataFrame) -> DataFrame:
     return base.join(calls, "session_id", "left").fillna(0, counts).withColumn("session_end", end).drop("stop")
 
 
+#: What each finding adds to a session's score of 0.5, which is held in 0..1.
+SCORE_RULES = {
+    "committed": 0.2, "reverted": -0.3, "tests_passed": 0.15, "tests_failed": -0.25, "unclean_end": -0.2, "corrected": -0.15, "no_more_complexity": 0.15, "complexity_over_10": -0.2,
+    "complexity_over_20": -0.2, "long_function": -0.15, "file_growth": -0.15, "new_files": 0.15, "more_imports": -0.1, "no_more_imports": 0.05,
+}
+#: Ends of a session that the agent didn't choose.
+UNCLEAN_ENDS = ["user_killed", "max_turns", "error"]
+
+
 def score(rows: DataFrame) -> DataFrame:
-    """(session_id, score, label, tests) from rows(session_id, committed, tests_passed, session_end, corrections, files_created, complexity_delta).
+    """(session_id, score, label, commit, tests, ended, corrections, debt): SCORE_RULES over rows(session_id, status, tests_passed, session_end, corrections, files_created, complexity_delta, max_function_lines, biggest_file_growth, import_edges_delta).
 
-    A table of additions to 0.5, held in 0..1; missing test results are reported as no_data.
+    status is committed, reverted or uncommitted. Missing counts are 0; missing test results,
+    ends and debt figures are told apart from bad ones as no_data.
     """
-    add = lambda cond, v: F.when(F.coalesce(cond, F.lit(False)), v).otherwise(0.0)
-    c = F.col("complexity_delta")
-    s = F.lit(0.5) + add(F.col("committed"), 0.2) + add(F.col("tests_passed"), 0.15) + add(~F.col("tests_passed"), -0.25)
-    s = s + add(F.col("session_end").isin("user_killed", "max_turns", "error"), -0.2) + add(F.col("corrections") > 1, -0.15)
-    s = s + add(c <= 0, 0.15) + add(c > 10, -0.2) + add(c > 20, -0.2) + add((F.col("files_created") > 0) & (c <= 5), 0.15) + 0.05
+    n = lambda c: F.coalesce(F.col(c), F.lit(0))
+    c = n("complexity_delta")
+    found = {
+        "committed": F.col("status") == "committed", "reverted": F.col("status") == "reverted", "tests_passed": F.col("tests_passed"), "tests_failed": ~F.col("tests_passed"),
+        "unclean_end": F.col("session_end").isin(UNCLEAN_ENDS), "corrected": n("corrections") > 1, "no_more_complexity": c <= 0, "complexity_over_10": c > 10, "complexity_over_20": c > 20,
+        "long_function": n("max_function_lines") > 100, "file_growth": n("biggest_file_growth") > 150, "new_files": (n("files_created") > 0) & (c <= 5), "more_imports": n("import_edges_delta") > 5, "no_more_imports": n("import_edges_delta") <= 0,
+    }
+    s = F.lit(0.5)
+    for name, points in SCORE_RULES.items():
+        s = s + F.when(F.coalesce(found[name], F.lit(False)), points).otherwise(0.0)
     s = T.round_half_up(F.greatest(F.lit(0.0), F.least(F.lit(1.0), s)), 4)
     tests = F.when(F.col("tests_passed").isNull(), "no_data").when(F.col("tests_passed"), "passed").otherwise("failed")
-    return rows.select("session_id", s.alias("score"), T.score_label(s).alias("label"), tests.alias("tests"))
+    commit = F.when(F.col("status") == "uncommitted", "no_commit").otherwise(F.coalesce("status", F.lit("no_data")))
+    debt = F.when((c == 0) & (n("import_edges_delta") == 0), "no_data").otherwise(F.concat_ws("/", c, n("max_function_lines"), n("biggest_file_growth"), n("import_edges_delta")))
+    return rows.select("session_id", s.alias("score"), T.score_label(s).alias("label"), commit.alias("commit"), tests.alias("tests"), F.coalesce("session_end", F.lit("no_data")).alias("ended"), n("corrections").alias("corrections"), debt.alias("debt"))
+
+
+def reverted_commits(commits: DataFrame) -> DataFrame:
+    """(project, commit_id) of commits(project, commit_id, message) whose first seven digits a message of the project names behind the word Revert."""
+    named = commits.select("project", F.explode(F.regexp_extract_all("message", F.lit(r"\b([0-9a-f]{7,40})\b"), F.lit(1))).alias("sha"), "message").where(F.col("message").contains("Revert"))
+    return commits.select("project", "commit_id").join(named.select("project", F.substring("sha", 1, 7).alias("k")).distinct(), (F.substring(commits["commit_id"], 1, 7) == F.col("k")) & (commits["project"] == named["project"]), "left_semi")
 
 
-def bind_in_window(sessions: DataFrame, commits: DataFrame, before_s: int, after_s: int) -> DataFrame:
-    """(session_id, commit_id): each session's last commit from before_s seconds before its start to after_s after its end, in its project.
+def bind_in_window(sessions: DataFrame, commits: DataFrame, before_s: int = 60, after_s: int = 300) -> DataFrame:
+    """(session_id, commit_id): each session's last commit from before_s seconds before its start to after_s after its end, in its project; commits marked `auto` only where there is no other.
 
-    An interval join by hash: sessions are spread over the hours that they and their margins
-    touch, commits fall in one hour each.
+    An interval join by hash: sessions are spread over the hours (long ones: months) that they
+    and their margins touch, commits fall in one of each.
     """
     a, b = F.unix_seconds("started_at") - before_s, F.unix_seconds("completed_at") + after_s
-    s = sessions.select("session_id", "project", a.alias("a"), b.alias("b"), F.explode(F.sequence(F.floor(a / 3600), F.floor(b / 3600))).alias("hour"))
-    c = commits.select("project", "commit_id", F.unix_seconds("at").alias("at")).withColumn("hour", F.floor(F.col("at") / 3600))
-    hit = s.join(c, ["project", "hour"]).where("at between a and b")
-    return hit.groupBy("session_id").agg(F.max(F.struct("at", "commit_id")).alias("m")).select("session_id", "m.commit_id")
+    step = F.when(b - a <= 2 * DAY_S, HOUR_S).otherwise(30 * DAY_S)  # a session with a damaged time spans months, not half a million hours
+    s = sessions.select("session_id", "project", a.alias("a"), b.alias("b"), step.alias("step")).where("a <= b")
+    s = s.withColumn("bucket", F.explode(F.sequence(F.floor(F.col("a") / F.col("step")), F.floor(F.col("b") / F.col("step")))))
+    auto = F.col("auto") if "auto" in commits.columns else F.lit(False)
+    c = commits.select("project", "commit_id", F.unix_seconds("at").alias("at"), auto.alias("auto")).withColumn("step", F.explode(F.array(F.lit(HOUR_S), F.lit(30 * DAY_S)))).withColumn("bucket", F.floor(F.col("at") / F.col("step")))
+    hit = s.join(c, ["project", "step", "bucket"]).where("at between a and b")
+    return hit.groupBy("session_id").agg(F.max(F.struct((~F.col("auto")).alias("by_hand"), "at", "commit_id")).alias("m")).select("session_id", "m.commit_id")
 
 
 def nearest_session(commits: DataFrame, sessions: DataFrame, within_s: int = 1800) -> DataFrame:
     """(commit_id, session_id, gap_s): for each commit the session of its project that starts nearest in time, within the limit; ties by id.
 
-    Both sides fall into buckets of the limit's length, commits into three of them.
+    An as-of join without pairs: both sides fall into buckets of the limit's length, sessions
+    into three of them; in a bucket each commit takes the last start before and the first after it.
     """
-    c = commits.select("project", "commit_id", F.unix_seconds("at").alias("at"))
-    c = c.withColumn("k", F.explode(F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("at") / within_s) + d)))
-    s = sessions.select("project", "session_id", F.unix_seconds("started_at").alias("st")).withColumn("k", F.floor(F.col("st") / within_s))
-    j = c.join(s, ["project", "k"]).select("commit_id", "session_id", F.abs(F.col("at") - F.col("st")).alias("gap_s")).where(F.col("gap_s") < within_s)
-    return j.groupBy("commit_id").agg(F.min(F.struct("gap_s", "session_id")).alias("m")).select("commit_id", "m.session_id", "m.gap_s")
+    s = sessions.select("project", "session_id", F.unix_seconds("started_at").alias("t")).where("t is not null").groupBy("project", "t").agg(F.min("session_id").alias("session_id"))
+    around = F.transform(F.array(F.lit(-1), F.lit(0), F.lit(1)), lambda d: F.floor(F.col("t") / within_s) + d)
+    s = s.select("project", "t", F.struct("t", "session_id").alias("s"), F.lit(None).cast("string").alias("commit_id"), F.explode(around).alias("k"))
+    c = commits.select("project", F.unix_seconds("at").alias("t"), "commit_id").where("t is not null and commit_id is not null").distinct()
+    c = c.select("project", "t", F.lit(None).cast(s.schema["s"].dataType).alias("s"), "commit_id", F.floor(F.col("t") / within_s).alias("k"))
+    w = W.partitionBy("project", "k").orderBy("t")  # equal times are peers, and a range frame holds them all
+    both = s.unionByName(c).select("*", F.last("s", True).over(w.rangeBetween(W.unboundedPreceding, 0)).alias("below"), F.first("s", True).over(w.rangeBetween(0, W.unboundedFollowing)).alias("above"))
+    near = both.where("commit_id is not null").select("commit_id", F.explode(F.array("below", "above")).alias("s"), "t").where("s is not null")
+    near = near.select("commit_id", F.col("s.session_id").alias("session_id"), F.abs(F.col("t") - F.col("s.t")).alias("gap_s")).where(F.col("gap_s") < within_s)
+    return near.groupBy("commit_id").agg(F.min(F.struct("gap_s", "session_id")).alias("m")).select("commit_id", "m.session_id", "m.gap_s")
 
 
 def debounce(events: DataFrame) -> DataFrame:

@@ -23,9 +23,13 @@ def update_rows(stored: DataFrame, fresh: DataFrame, files: DataFrame, file_col:
     return stored.join(touched, [*keys, file_col], "left_anti").unionByName(fresh.join(touched, [*keys, file_col], "left_semi"))
 
 
-def overlapping_functions(functions: DataFrame, lines: DataFrame) -> DataFrame:
-    """Functions whose span holds a changed line of lines(file, line)."""
-    return functions.join(lines, (functions["file"] == lines["file"]) & lines["line"].between(functions["line_start"], functions["line_end"]), "left_semi").select("fn_id", "file")
+def overlapping_functions(functions: DataFrame, lines: DataFrame, *keys: str) -> DataFrame:
+    """(*keys, fn_id, file) of functions whose span holds a changed line of lines(*keys, file, line); an interval join within each file."""
+    l = lines.select(*[F.col(k).alias("_" + k) for k in (*keys, "file")], F.col("line").alias("_line"))
+    on = F.col("line_start") <= F.col("_line")
+    for k in (*keys, "file"):
+        on = on & (F.col(k) == F.col("_" + k))
+    return functions.join(l, on & (F.col("_line") <= F.col("line_end")), "left_semi").select(*keys, "fn_id", "file")
 
 
 def audit_units(units: DataFrame, files: DataFrame, most: int = 30, keys: tuple[str, ...] = ()) -> DataFrame:
@@ -79,12 +83,3 @@ def greedy_budget(sections: Column, budget: int) -> Column:
         return F.struct(F.when(fits, F.concat(acc["names"], F.array(s["name"]))).otherwise(acc["names"]).alias("names"), F.when(fits, acc["used"] + s["tokens"]).otherwise(acc["used"]).alias("used"))
 
     return F.aggregate(sections, start, step)["names"]
-
-
-def template_files(functions: DataFrame, files: DataFrame) -> DataFrame:
-    """(fn_id, template, path, tier): templates of functions matched to files by stem: exact 1, below the function's project 2, else none."""
-    t = functions.where("template is not null").select("fn_id", "project", "template", F.regexp_replace("template", r"\.[^.]*$", "").alias("stem"))
-    stems = files.select("path", F.regexp_replace("path", r"\.[^.]*$", "").alias("s"))
-    exact = t.join(stems, t["stem"] == stems["s"]).select("fn_id", "template", "path", F.lit(1).alias("tier"))
-    below = t.join(stems, F.concat_ws("/", t["project"], t["stem"]) == stems["s"]).select("fn_id", "template", "path", F.lit(2).alias("tier"))
-    return exact.unionByName(below).groupBy("fn_id", "template").agg(F.min(F.struct("tier", "path")).alias("m")).select("fn_id", "template", "m.path", "m.tier")

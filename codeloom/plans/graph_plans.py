@@ -30,7 +30,7 @@ SPLIT = r"list_filter(string_split_regex(lower(regexp_replace(regexp_replace(reg
 
 @plan("SELECT (SELECT count(*) FROM fl) AS n_files, (SELECT count(*) FROM fn) AS n_functions, (SELECT string_agg(DISTINCT prog_lang, ',' ORDER BY prog_lang) FROM fn) AS languages, (SELECT count(*) FROM ed) AS n_edges")
 def graph_totals(g):
-    return G.graph_totals(g.functions(), g.edges(), g.files())
+    return G.graph_totals(g.functions("prog_lang"), g.edges(), g.files("project"))
 
 
 @plan("SELECT target_fn AS fn_id, count(*) AS callers FROM ed GROUP BY 1")
@@ -50,22 +50,22 @@ def degree_centrality(g):
 
 @plan(CALLERS + "SELECT fn_id, file, fn_name, callers FROM wc WHERE callers > 0 ORDER BY callers DESC, fn_id LIMIT 5")
 def hotspots_top5(g):
-    return G.hotspots(g.functions(), g.edges(), 1, 5)
+    return G.hotspots(g.functions("fn_name"), g.edges(), 1, 5)
 
 
 @plan(CALLERS + "SELECT fn_id, file, fn_name, callers FROM wc WHERE callers >= 3")
 def hotspots_min_callers(g):
-    return G.hotspots(g.functions(), g.edges(), 3)
+    return G.hotspots(g.functions("fn_name"), g.edges(), 3)
 
 
 @plan("SELECT fn_id, file, fn_name FROM fn WHERE fn_id IN (SELECT target_fn FROM ed)")
 def locked_functions(g):
-    return G.locked_functions(g.functions(), g.edges())
+    return G.locked_functions(g.functions("fn_name"), g.edges())
 
 
 @plan("SELECT fn_id, file FROM fn WHERE NOT EXISTS (SELECT 1 FROM ed WHERE target_fn = fn_id)")
 def orphan_functions(g):
-    return G.orphan_functions(g.functions(), g.edges())
+    return G.orphan_functions(g.fn_ids(), g.edges())
 
 
 @plan("SELECT project, source_file, target_file FROM im")
@@ -75,12 +75,12 @@ def import_edges_named(g):
 
 @plan(CALLERS + ", z AS (SELECT path AS file, coalesce(zone_name, 'unknown') AS zone FROM fl) SELECT zone, n_files, coalesce(n_functions, 0) AS n_functions, coalesce(n_routes, 0) AS n_routes, coalesce(n_locked, 0) AS n_locked FROM (SELECT zone, count(*) AS n_files FROM z GROUP BY 1) LEFT JOIN (SELECT zone, count(*) AS n_functions, count(route) AS n_routes, count(*) FILTER (callers > 0) AS n_locked FROM wc JOIN z USING (file) GROUP BY 1) USING (zone)")
 def zone_map(g):
-    return G.zone_map(g.functions(), g.edges(), g.files())
+    return G.zone_map(g.functions("route"), g.edges(), g.files("zone_name"))
 
 
 @plan(", z AS (SELECT path, coalesce(zone_name, 'unknown') AS zone FROM fl) SELECT a.zone AS from_zone, b.zone AS to_zone, count(*) AS n FROM im JOIN z a ON a.path = source_file JOIN z b ON b.path = target_file WHERE a.zone <> b.zone GROUP BY 1, 2")
 def zone_imports(g):
-    return G.zone_imports(g.imports(), g.files())
+    return G.zone_imports(g.imports(), g.files("zone_name"))
 
 
 @plan("SELECT a.source_file AS file_a, a.target_file AS file_b FROM im a JOIN im b ON a.source_file = b.target_file AND a.target_file = b.source_file WHERE a.source_file < a.target_file")
@@ -94,24 +94,18 @@ SELECT * FROM (SELECT c.source_fn, c.callee,
  coalesce((SELECT min(f.fn_id) FROM fn f JOIN inames i ON i.callee = f.fn_name WHERE i.file = c.file AND f.fn_name = c.callee AND f.project = c.project AND f.file <> c.file), (SELECT min(f.fn_id) FROM fn f WHERE f.file = c.file AND f.fn_name = c.callee), (SELECT CASE WHEN count(*) = 1 THEN min(f.fn_id) END FROM fn f WHERE f.project = c.project AND f.fn_name = c.callee)) AS target_fn,
  CASE WHEN (SELECT min(f.fn_id) FROM fn f JOIN inames i ON i.callee = f.fn_name WHERE i.file = c.file AND f.fn_name = c.callee AND f.project = c.project AND f.file <> c.file) IS NOT NULL THEN 1.0::double WHEN (SELECT min(f.fn_id) FROM fn f WHERE f.file = c.file AND f.fn_name = c.callee) IS NOT NULL THEN 0.95::double ELSE 0.5::double END AS confidence FROM calls c) WHERE target_fn IS NOT NULL""")
 def call_resolution_cascade(g):
-    return G.resolve_calls(g.edges(), g.functions(), g.files())
+    return G.resolve_calls(G.named_calls(g.edges()), g.functions("fn_name"), G.imported_names(g.files("imports")))
 
 
 @plan(""", e AS (SELECT source_fn, target_fn, split_part(source_fn, '::', 1) AS sf, split_part(target_fn, '::', 1) AS tf, split_part(target_fn, '::', 2) AS callee, max(confidence) AS confidence FROM ed GROUP BY 1, 2)
 SELECT source_fn, target_fn, confidence, CASE WHEN confidence < 0.9 AND EXISTS (SELECT 1 FROM im WHERE source_file = sf AND target_file = tf) THEN CASE WHEN EXISTS (SELECT 1 FROM iraw WHERE path = sf AND capture = 'imp.name' AND text = callee) THEN 0.95 ELSE greatest(confidence, 0.85) END ELSE confidence END AS upgraded FROM e""")
 def confidence_upgrade(g):
-    return G.upgrade_confidence(g.edges(), g.imports(), g.files())
-
-
-@plan(""", homes AS (SELECT project, class_name AS target_class, min(file) AS target_file FROM fn WHERE class_name IS NOT NULL GROUP BY 1, 2 HAVING count(DISTINCT file) = 1)
-SELECT DISTINCT fn_id, attr, target_class, target_file FROM (SELECT project, fn_id, p.name AS attr, upper(substr(p.name, 1, 1)) || substr(p.name, 2) AS target_class FROM (SELECT project, fn_id, unnest(params) AS p FROM fn WHERE class_name IS NOT NULL)) JOIN homes USING (project, target_class)""")
-def self_attr_resolution(g):
-    return G.attribute_targets(g.functions())
+    return G.upgrade_confidence(g.edges(), g.imports(), g.files("imports"))
 
 
 @plan("SELECT s.site_file, s.line, fn.fn_id FROM (SELECT DISTINCT site_file, line FROM ed) s JOIN fn ON fn.file = s.site_file AND s.line BETWEEN fn.line_start AND fn.line_end")
 def call_site_enclosing(g):
-    return G.enclosing_functions(g.edges(), g.functions())
+    return G.enclosing_functions(g.edges(), g.functions("line_start", "line_end"))
 
 
 TOP = CALLERS + ", top AS (SELECT fn_id FROM wc WHERE callers > 0 ORDER BY callers DESC, fn_id LIMIT 5) "
@@ -119,14 +113,14 @@ TOP = CALLERS + ", top AS (SELECT fn_id FROM wc WHERE callers > 0 ORDER BY calle
 
 @plan(TOP + "SELECT DISTINCT top.fn_id AS centre, 'up' AS side, source_fn AS fn_id FROM ed JOIN top ON target_fn = top.fn_id UNION SELECT DISTINCT top.fn_id, 'down', target_fn FROM ed JOIN top ON source_fn = top.fn_id")
 def neighbourhood_1hop(g):
-    return G.neighbourhood(g.edges(), G.hotspots(g.functions(), g.edges(), 1, 5))
+    return G.neighbourhood(g.edges(), G.hotspots(g.functions("fn_name"), g.edges(), 1, 5))
 
 
 @plan(""", roots AS (SELECT project, coalesce(min(path) FILTER (string_split(path, '/')[-1] IN ('app.py', 'main.py', 'manage.py', 'wsgi.py', 'asgi.py', '__main__.py', 'server.py', 'run.py')), min(path)) AS root FROM fl GROUP BY 1),
 walk AS (SELECT root, root AS path, 0 AS depth FROM roots UNION ALL SELECT w.root, i.target_file, w.depth + 1 FROM walk w JOIN im i ON i.source_file = w.path WHERE w.depth < 2)
 SELECT root, path, min(depth)::int AS depth FROM walk GROUP BY 1, 2""")
 def startup_chain_bfs(g):
-    return G.bounded_bfs(g.imports(), G.entry_points(g.files()), 2)
+    return G.bounded_bfs(g.imports(), G.entry_points(g.files("project")), 2)
 
 
 DEBT = """, debt AS (SELECT 'complexity' AS category, CASE WHEN complexity >= 15 THEN 'high' WHEN complexity >= 10 THEN 'medium' END AS severity, fn_id AS target, complexity::bigint AS value FROM fn
@@ -137,13 +131,13 @@ UNION ALL SELECT 'circular_import', 'medium', a.source_file || ' <-> ' || a.targ
 
 @plan(DEBT + "SELECT category, severity, target, value FROM debt WHERE severity IS NOT NULL")
 def debt_items(g):
-    return G.debt_items(g.functions(), g.files(), g.imports())
+    return G.debt_items(g.functions("complexity", "line_count"), g.files("function_ids"), g.imports())
 
 
 @plan(DEBT + "SELECT total, high, medium, high * 3 + medium AS score, floor((high * 3 + medium) * 100.0::double / greatest((SELECT count(*) FROM fn), 1) * 10 + 0.5) / 10 AS density FROM (SELECT count(*) AS total, count(*) FILTER (severity = 'high') AS high, count(*) FILTER (severity = 'medium') AS medium FROM debt WHERE severity IS NOT NULL)")
 def debt_summary(g):
-    f = g.functions()
-    return G.debt_summary(G.debt_items(f, g.files(), g.imports()), f)
+    f = g.functions("complexity", "line_count")
+    return G.debt_summary(G.debt_items(f, g.files("function_ids"), g.imports()), f)
 
 
 @plan(""", e AS (SELECT target_fn, split_part(target_fn, '::', 1) AS file, split_part(source_fn, '::', 1) AS src FROM ed)
@@ -151,7 +145,7 @@ SELECT file, coalesce(importers, 0) AS importers, coalesce(migration_cost, 0) AS
 LEFT JOIN (SELECT target_file AS file, count(DISTINCT source_file) AS importers FROM im GROUP BY 1) USING (file)
 LEFT JOIN (SELECT file, count(*) FILTER (src <> file) AS migration_cost, count(DISTINCT target_fn) AS locked_fns, count(DISTINCT target_fn) FILTER (NOT regexp_matches(lower(src), 'tests?/|test_|conftest\\.py')) AS prod_locked FROM e GROUP BY 1) USING (file)""")
 def files_block(g):
-    return G.files_block(g.functions(), g.edges(), g.imports())
+    return G.files_block(g.fn_ids(), g.edges(), g.imports())
 
 
 @plan("SELECT target_fn AS fn_id, count(*) AS callers, count(DISTINCT split_part(source_fn, '::', 1)) AS caller_files, count(*) FILTER (regexp_matches(lower(split_part(source_fn, '::', 1)), 'tests?/|test_|conftest\\.py')) AS test_callers FROM ed GROUP BY 1")
@@ -161,19 +155,19 @@ def functions_block(g):
 
 @plan(CALLERS + "SELECT fn_id, fn_name, callers FROM wc JOIN fl ON fl.path = wc.file WHERE zone_name = 'core' ORDER BY fn_id LIMIT 20 OFFSET 10")
 def browse_page(g):
-    return G.page(g.functions(), g.edges(), "core", g.files(), 10, 20)
+    return G.page(g.functions("fn_name"), g.edges(), "core", g.files("zone_name"), 10, 20)
 
 
 @plan(""", num AS (SELECT project, fn_id, row_number() OVER (PARTITION BY project ORDER BY fn_id)::int AS pos FROM fn),
-who AS (SELECT t.project, e.target_fn AS fn_id, string_agg(t.pos::varchar, ',' ORDER BY t.pos) AS callers FROM (SELECT DISTINCT source_fn, target_fn FROM ed) e JOIN num t ON t.fn_id = e.source_fn GROUP BY 1, 2)
-SELECT num.project, pos, num.fn_id, coalesce(callers, '') AS callers FROM num LEFT JOIN who ON who.fn_id = num.fn_id AND who.project = num.project""")
+who AS (SELECT t.project, e.target_fn AS fn_id, (t.pos // 1000)::int AS block, string_agg(t.pos::varchar, ',' ORDER BY t.pos) AS callers FROM (SELECT DISTINCT source_fn, target_fn FROM ed) e JOIN num t ON t.fn_id = e.source_fn GROUP BY 1, 2, 3)
+SELECT num.project, pos, num.fn_id, coalesce(block, 0) AS block, coalesce(callers, '') AS callers FROM num LEFT JOIN who ON who.fn_id = num.fn_id AND who.project = num.project""")
 def functions_graph_index(g):
-    return G.graph_index(g.functions(), g.edges())
+    return G.graph_index(g.fn_ids(), g.edges())
 
 
 @plan(", c AS (SELECT source_fn AS fn_id, array_to_string(list_sort(list(target_fn))[1:8], ',') AS callees FROM (SELECT DISTINCT source_fn, target_fn FROM ed) GROUP BY 1) SELECT file, route, http_method, fn_id, coalesce(callees, '') AS callees FROM fn LEFT JOIN c USING (fn_id) WHERE route IS NOT NULL")
 def routes_listing(g):
-    return G.routes(g.functions(), g.edges())
+    return G.routes(g.functions("route", "http_method"), g.edges())
 
 
 @plan(""", deg AS (SELECT fn_id, count(*) AS degree FROM (SELECT source_fn AS fn_id FROM ed UNION ALL SELECT target_fn FROM ed) GROUP BY 1), r AS (SELECT project, fn_id, fn_name, route, coalesce(degree, 0) AS degree FROM fn LEFT JOIN deg USING (fn_id)),
@@ -181,59 +175,64 @@ r1 AS (SELECT project, fn_id, degree, 0 AS tier FROM r WHERE route IS NOT NULL Q
 r2 AS (SELECT project, fn_id, degree, 1 AS tier FROM r WHERE left(fn_name, 1) <> '_' AND degree > 0 AND fn_id NOT IN (SELECT fn_id FROM r1))
 SELECT project, n::int AS n, fn_id, degree FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY tier, degree DESC, fn_id) AS n FROM (SELECT * FROM r1 UNION ALL SELECT * FROM r2)) WHERE n <= 12""")
 def data_flow_targets(g):
-    return G.data_flow_targets(g.functions(), g.edges())
+    return G.data_flow_targets(g.functions("fn_name", "route"), g.edges())
 
 
 @plan(""", tags AS (SELECT DISTINCT fn_id, unnest(secondary_intents) AS tag FROM fn), n AS (SELECT tag, count(*) - 1 AS others FROM tags GROUP BY 1 HAVING count(*) > 1)
 SELECT fn_id, sum(others)::bigint AS n_similar, string_agg(tag, '|' ORDER BY tag) AS tags FROM tags JOIN n USING (tag) GROUP BY 1""")
 def similar_logic(g):
-    return G.similar_logic(g.functions())
+    return G.similar_logic(g.functions("secondary_intents"))
 
 
 @plan("SELECT fn_id, min(fn_id) OVER w AS clone_class, count(*) OVER w - 1 AS n_links FROM fn WHERE ast_hash IS NOT NULL WINDOW w AS (PARTITION BY ast_hash) QUALIFY n_links > 0")
 def exact_clones(g):
-    return G.exact_clones(g.functions())
+    return G.exact_clones(g.functions("ast_hash"))
 
 
 @plan(", s AS (SELECT DISTINCT list_sort(list_distinct(" + SPLIT.format(c="fn_name") + ")) AS ws FROM fn) SELECT array_to_string(a.ws, ' ') AS name_a, array_to_string(b.ws, ' ') AS name_b, floor(len(list_intersect(a.ws, b.ws))::double / len(list_distinct(list_concat(a.ws, b.ws))) * 10000 + 0.5) / 10000 AS jaccard FROM s a JOIN s b ON array_to_string(a.ws, ' ') < array_to_string(b.ws, ' ') WHERE len(list_intersect(a.ws, b.ws))::double / len(list_distinct(list_concat(a.ws, b.ws))) >= 0.7 - 1e-12")
 def near_clones(g):
-    return G.near_clone_names(g.functions())
+    return G.near_clone_names(g.functions("fn_name"))
 
 
 @plan(", w AS (SELECT project, (" + SPLIT.format(c="fn_name") + ")[1] AS word FROM fn), n AS (SELECT project, word, count(*) AS n FROM w WHERE word IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 2) SELECT project, word, n FROM n QUALIFY row_number() OVER (PARTITION BY project ORDER BY n DESC, word) <= 5")
 def name_prefix_patterns(g):
-    return G.name_prefixes(g.functions())
+    return G.name_prefixes(g.functions("fn_name"))
 
 
 @plan("SELECT fn_id, array_to_string(" + SPLIT.format(c="fn_name") + ", ' ') AS words FROM fn")
 def split_identifier_tokens(g):
-    return g.functions().select("fn_id", F.array_join(G.T.split_identifier(F.col("fn_name")), " ").alias("words"))
+    return g.functions("fn_name").select("fn_id", F.array_join(G.T.split_identifier(F.col("fn_name")), " ").alias("words"))
 
 
 @plan(CALLERS + "SELECT project, fn_id, callers FROM (SELECT *, row_number() OVER (PARTITION BY project ORDER BY callers, fn_id) AS r, count(*) OVER (PARTITION BY project) AS n FROM wc) WHERE r = n // 2 + 1")
 def median_scope_fn(g):
-    return G.median_function(g.functions(), g.edges())
+    return G.median_function(g.fn_ids(), g.edges())
 
 
 @plan(f", r AS (SELECT {sql_key('i.fn_id')} AS fn_id, risk_level, risk_score FROM impact_reports i QUALIFY row_number() OVER (PARTITION BY {sql_key('i.fn_id')} ORDER BY generated_at DESC) = 1) SELECT fn.fn_id, risk_level, risk_score FROM fn LEFT JOIN r USING (fn_id)")
 def impact_risk(g):
     from codeloom.functions.keys import plain_key
 
-    return G.risk_view(g.functions(), table(g.spark, g.root, "impact_reports").withColumn("fn_id", plain_key(F.col("fn_id"))))
+    return G.risk_view(g.fn_ids(), table(g.spark, g.root, "impact_reports").withColumn("fn_id", plain_key(F.col("fn_id"))))
 
 
 @plan("SELECT fn_id, '(' || coalesce(array_to_string(list_transform(params, lambda p: p.name || CASE WHEN coalesce(p.type_hint, '') <> '' THEN ': ' || p.type_hint ELSE '' END), ', '), '') || ')' || CASE WHEN return_type IS NOT NULL THEN ' -> ' || return_type ELSE '' END AS signature FROM fn")
 def signatures(g):
-    return g.functions().select("fn_id", G.T.signature(F.col("params"), F.col("return_type")).alias("signature"))
+    return g.functions("params", "return_type").select("fn_id", G.T.signature(F.col("params"), F.col("return_type")).alias("signature"))
 
 
 @plan("SELECT path, CASE WHEN len(string_split(path, '/')) > 2 THEN string_split(path, '/')[2] ELSE regexp_replace(string_split(path, '/')[-1], '\\.[^.]*$', '') END AS zone FROM fl")
 def path_zone(g):
-    return g.files().select("path", G.T.zone_of_path(F.col("path")).alias("zone"))
+    return g.files("project").select("path", G.T.zone_of_path(F.col("path")).alias("zone"))
 
 
-@plan("SELECT source_fn, target_fn, count(*) AS sites, max(confidence) AS confidence FROM ed GROUP BY 1, 2")
+@plan("SELECT source_fn, target_fn, site_file, line, expression, confidence FROM ed")
 def edge_dedup(g):
+    return g.edges().drop("project")
+
+
+@plan("SELECT source_fn, target_fn, count(*) AS sites, max(confidence) AS confidence FROM ed GROUP BY 1, 2")
+def edge_pairs(g):
     return g.edges().groupBy("source_fn", "target_fn").agg(F.count(F.lit(1)).alias("sites"), F.max("confidence").alias("confidence"))
 
 
@@ -241,5 +240,5 @@ def edge_dedup(g):
 def recent_commits_top5(g):
     from pyspark.sql import Window as W
 
-    c = g.files().select("path", F.explode("recent_commits").alias("c")).select("path", "c.sha", "c.author", "c.commit_date")
+    c = g.files("recent_commits").select("path", F.explode("recent_commits").alias("c")).select("path", "c.sha", "c.author", "c.commit_date")
     return c.withColumn("n", F.row_number().over(W.partitionBy("path").orderBy(F.desc("commit_date"), "sha"))).where("n <= 5").drop("n")

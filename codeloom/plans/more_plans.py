@@ -12,7 +12,9 @@ from codeloom.operators import literals as L
 from codeloom.operators import search as S
 from codeloom.operators import sessions as N
 from codeloom.plans.graph_plans import CALLERS, SPLIT
-from codeloom.plans.views import BASE, Graph, sql_key
+from codeloom.operators.snapshots import p6_found, transitions
+from codeloom.plans.problem_sql import P6
+from codeloom.plans.views import BASE, EACH, Graph, sides, sql_key
 from codeloom.runtime import table
 
 QUERIES: dict = {}
@@ -53,7 +55,7 @@ _SIG = _stems(f"list_concat({SPLIT.format(c='fn_name')}, flatten(list_transform(
 s AS (SELECT fn_id, callers, (len(list_intersect(q, {_stems(SPLIT.format(c='fn_name'))}))::double / len(q) * 0.5 + len(list_intersect(q, list_concat({_SIG}, {_tokens_sql('docstring')})))::double / len(q) * 0.3 + len(list_intersect(q, {_tokens_sql('intent')}))::double / len(q) * 0.4) * CASE WHEN callers >= 3 THEN 1.1::double ELSE 1 END AS s FROM wc, q)
 SELECT fn_id, floor(s * 1000 + 0.5) / 1000 AS score, callers FROM s WHERE s >= 0.2 ORDER BY score DESC, fn_id LIMIT 5""")
 def intent_search(g):
-    return S.intent_search(g.functions(), G.callers_degree(g.edges()), INTENT)
+    return S.intent_search(g.functions("fn_name", "params", "return_type", "docstring", "intent"), G.callers_degree(g.edges()), INTENT)
 
 
 _WORDS = _stems("regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')")
@@ -71,25 +73,7 @@ def explicit_targets(g):
 
 @plan(", w AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(text, '[A-Za-z_][A-Za-z0-9_]*')) AS name FROM documents) SELECT doc_id, name FROM w WHERE name IN (SELECT fn_name FROM fn WHERE length(fn_name) >= 4)")
 def dictionary_match(g):
-    return S.dictionary_matches(table(g.spark, g.root, "documents"), g.functions().select(F.col("fn_name").alias("name")))
-
-
-TOPK = "WITH q AS (SELECT embedding::double[] AS q FROM embeddings WHERE vec_id = 0), top AS (SELECT vec_id, floor(list_dot_product(embedding::double[], q) * 10000 + 0.5) / 10000 AS score FROM embeddings, q WHERE vec_id <> 0 ORDER BY score DESC, vec_id LIMIT 5) "
-
-
-def _top(g):
-    v = table(g.spark, g.root, "embeddings")
-    return S.vector_topk(v.where("vec_id <> 0"), v.where("vec_id = 0").select(F.col("embedding").alias("q")))
-
-
-@plan(TOPK + "SELECT vec_id, score FROM top", "")
-def vector_topk(g):
-    return _top(g)
-
-
-@plan(TOPK + "SELECT CASE WHEN best >= 0.55 OR (best >= 0.45 AND best - last >= 0.05) THEN 'OK' ELSE 'NO_CLEAR_MATCH' END AS verdict, CASE WHEN best >= 0.55 THEN 'high' WHEN best >= 0.45 AND best - last >= 0.05 THEN 'medium' ELSE 'low' END AS confidence, best FROM (SELECT max(score) AS best, min(score) AS last FROM top)", "")
-def vector_verdict(g):
-    return S.vector_verdict(_top(g))
+    return S.dictionary_matches(table(g.spark, g.root, "documents"), g.functions("fn_name").select(F.col("fn_name").alias("name")))
 
 
 TOPK_EACH = "WITH q AS (SELECT vec_id AS query_id, embedding::double[] AS q FROM embeddings WHERE vec_id % 20 = 0), s AS (SELECT query_id, vec_id, floor(list_dot_product(embedding::double[], q) * 10000 + 0.5) / 10000 AS score FROM embeddings, q WHERE vec_id <> query_id), top AS (SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= 5) "
@@ -101,53 +85,59 @@ def _top_each(g):
 
 
 @plan(TOPK_EACH + "SELECT query_id, vec_id, score FROM top", "")
-def vector_topk_all(g):
+def vector_topk(g):
     return _top_each(g)
 
 
 @plan(TOPK_EACH + "SELECT query_id, CASE WHEN best >= 0.55 OR (best >= 0.45 AND best - last >= 0.05) THEN 'OK' ELSE 'NO_CLEAR_MATCH' END AS verdict, CASE WHEN best >= 0.55 THEN 'high' WHEN best >= 0.45 AND best - last >= 0.05 THEN 'medium' ELSE 'low' END AS confidence, best FROM (SELECT query_id, max(score) AS best, min(score) AS last FROM top GROUP BY 1)", "")
-def vector_verdict_all(g):
+def vector_verdict(g):
     return S.vector_verdict(_top_each(g), "query_id")
 
 
-def _versions(g, ids):
-    f = table(g.spark, g.root, "graph_functions").where(F.col("snapshot_id").isin(ids))
-    return g.functions_of(f, "snapshot_id")
-
-
-_TWO = f"""WITH f AS (SELECT *, row_number() OVER (PARTITION BY snapshot_id, fn_id ORDER BY loaded_at DESC) AS rn FROM (SELECT snapshot_id, loaded_at, {sql_key('id')} AS fn_id, params, nullif(trim(return_type), '') AS return_type, complexity, line_count FROM graph_functions)),
-sg AS (SELECT snapshot_id, fn_id, '(' || coalesce(array_to_string(list_transform(params, lambda p: p.name || CASE WHEN coalesce(p.type_hint, '') <> '' THEN ': ' || p.type_hint ELSE '' END), ', '), '') || ')' || CASE WHEN return_type IS NOT NULL THEN ' -> ' || return_type ELSE '' END AS s FROM f WHERE rn = 1),
-cl AS (SELECT {sql_key('target_fn')} AS fn_id, count(*) AS callers FROM graph_call_edges WHERE snapshot_id = 5 GROUP BY 1) """
+# Differences between each delivered snapshot of a project and its previous one; snapshot_id is the later.
+STEP = ("project", "snapshot_id")
+_SIGNED = ", '(' || coalesce(array_to_string(list_transform(params, lambda p: p.name || CASE WHEN coalesce(p.type_hint, '') <> '' THEN ': ' || p.type_hint ELSE '' END), ', '), '') || ')' || CASE WHEN return_type IS NOT NULL THEN ' -> ' || return_type ELSE '' END AS s"
 
 
-@plan(_TWO + "SELECT fn_id, CASE WHEN o.s IS NULL THEN 'added' WHEN n.s IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN o.s IS NOT NULL AND n.s IS NOT NULL THEN CASE WHEN starts_with(n.s, split_part(o.s, ')', 1)) THEN 'additive' ELSE 'breaking' END END AS note, coalesce(callers, 0) AS callers FROM (SELECT * FROM sg WHERE snapshot_id = 4) o FULL JOIN (SELECT * FROM sg WHERE snapshot_id = 5) n USING (fn_id) LEFT JOIN cl USING (fn_id) WHERE o.s IS DISTINCT FROM n.s", "")
+@plan(sides("fa") + f""", os AS (SELECT project, snapshot_id, fn_id {_SIGNED} FROM o), ns AS (SELECT project, snapshot_id, fn_id {_SIGNED} FROM n),
+cl AS (SELECT project, snapshot_id, target_fn AS fn_id, count(*) AS callers FROM ea GROUP BY 1, 2, 3)
+SELECT project, snapshot_id, fn_id, CASE WHEN os.s IS NULL THEN 'added' WHEN ns.s IS NULL THEN 'removed' ELSE 'changed' END AS change, CASE WHEN os.s IS NOT NULL AND ns.s IS NOT NULL THEN CASE WHEN starts_with(ns.s, split_part(os.s, ')', 1)) THEN 'additive' ELSE 'breaking' END END AS note, coalesce(callers, 0) AS callers FROM os FULL JOIN ns USING (project, snapshot_id, fn_id) LEFT JOIN cl USING (project, snapshot_id, fn_id) WHERE os.s IS DISTINCT FROM ns.s""", EACH)
 def signature_diff(g):
-    v = _versions(g, [4, 5])
-    calls = table(g.spark, g.root, "graph_call_edges").where("snapshot_id = 5").groupBy(plain_key(F.col("target_fn")).alias("fn_id")).agg(F.count(F.lit(1)).alias("callers"))
-    return I.signature_diff(v.where("snapshot_id = 4"), v.where("snapshot_id = 5"), calls)
+    calls = g.edges_each().groupBy(*STEP, F.col("target_fn").alias("fn_id")).agg(F.count(F.lit(1)).alias("callers"))
+    return I.signature_diff(*transitions(g.functions_each("params", "return_type"), g.calendar()), calls, *STEP)
 
 
-@plan(_TWO + "SELECT n.c - o.c AS complexity_delta, n.m AS max_function_lines, n.k - o.k AS functions_delta FROM (SELECT coalesce(sum(complexity), 0)::bigint AS c, count(*) AS k FROM f WHERE rn = 1 AND snapshot_id = 4) o, (SELECT coalesce(sum(complexity), 0)::bigint AS c, max(line_count) AS m, count(*) AS k FROM f WHERE rn = 1 AND snapshot_id = 5) n", "")
+@plan(sides("fa") + ", a AS (SELECT project, snapshot_id, sum(complexity)::bigint AS c, max(line_count) AS m, count(*) AS k FROM n GROUP BY 1, 2), b AS (SELECT project, snapshot_id, sum(complexity)::bigint AS c, count(*) AS k FROM o GROUP BY 1, 2) SELECT project, snapshot_id, coalesce(a.c, 0) - coalesce(b.c, 0) AS complexity_delta, m AS max_function_lines, coalesce(a.k, 0) - coalesce(b.k, 0) AS functions_delta FROM a FULL JOIN b USING (project, snapshot_id)", EACH)
 def debt_delta(g):
-    v = _versions(g, [4, 5])
-    return I.debt_delta(v.where("snapshot_id = 4"), v.where("snapshot_id = 5"))
+    return I.debt_delta(*transitions(g.functions_each("complexity", "line_count"), g.calendar()), *STEP)
 
 
-_FILES2 = f"WITH p AS (SELECT snapshot_id, {sql_key('path')} AS path, coalesce(function_ids, []) AS ids, row_number() OVER (PARTITION BY snapshot_id, {sql_key('path')} ORDER BY loaded_at DESC) AS rn FROM graph_files), a AS (SELECT path, ids FROM p WHERE rn = 1 AND snapshot_id = 4), b AS (SELECT path, ids FROM p WHERE rn = 1 AND snapshot_id = 5) "
+@plan(sides("pa") + """, j AS (SELECT project, snapshot_id, n.path IS NOT NULL AS has, o.path IS NOT NULL AS had, coalesce(n.lines_of_code, 0) - coalesce(o.lines_of_code, 0) AS grown, coalesce(len(list_distinct(n.imports)), 0) - coalesce(len(list_distinct(o.imports)), 0) AS di FROM n FULL JOIN o USING (project, snapshot_id, path))
+SELECT project, snapshot_id, max(CASE WHEN has THEN greatest(grown, 0) ELSE 0 END) AS biggest_file_growth, sum(di)::bigint AS import_edges_delta, count(*) FILTER (has AND NOT had) AS files_created FROM j GROUP BY 1, 2""", EACH)
+def file_growth(g):
+    return I.file_growth(*transitions(g.files_each("lines_of_code", "imports"), g.calendar()), *STEP)
 
 
-@plan(_FILES2 + "SELECT * FROM (SELECT path, coalesce(array_to_string(list_sort(list_distinct(list_filter(b.ids, lambda x: NOT list_contains(a.ids, x)))), '|'), '') AS added, coalesce(array_to_string(list_sort(list_distinct(list_filter(a.ids, lambda x: NOT list_contains(b.ids, x)))), '|'), '') AS removed FROM a JOIN b USING (path)) WHERE added <> '' OR removed <> ''", "")
+@plan(sides("pa") + "SELECT * FROM (SELECT project, snapshot_id, path, array_to_string(list_sort(list_distinct(list_filter(n.ids, lambda x: NOT list_contains(o.ids, x)))), '|') AS added, array_to_string(list_sort(list_distinct(list_filter(o.ids, lambda x: NOT list_contains(n.ids, x)))), '|') AS removed FROM o JOIN n USING (project, snapshot_id, path)) WHERE added <> '' OR removed <> ''", EACH)
 def value_diff(g):
-    f = table(g.spark, g.root, "graph_files").where("snapshot_id in (4, 5)").select("snapshot_id", plain_key(F.col("path")).alias("path"), "function_ids", "loaded_at")
-    f = f.groupBy("snapshot_id", "path").agg(F.max_by("function_ids", "loaded_at").alias("function_ids"))
-    return I.value_diff(f.where("snapshot_id = 4"), f.where("snapshot_id = 5"), "path", "function_ids")
+    return I.value_diff(*transitions(g.files_each("function_ids"), g.calendar()), "path", "function_ids", *STEP)
 
 
-@plan(f"""WITH f AS (SELECT snapshot_id, count(DISTINCT {sql_key('id')}) AS n_functions, sum(complexity)::bigint AS complexity FROM graph_functions GROUP BY 1), e AS (SELECT snapshot_id, count(*) AS n_edges FROM graph_call_edges GROUP BY 1), p AS (SELECT snapshot_id, count(DISTINCT {sql_key('path')}) AS n_files FROM graph_files GROUP BY 1)
-SELECT *, n_functions - lag(n_functions) OVER w AS d_n_functions, complexity - lag(complexity) OVER w AS d_complexity, n_edges - lag(n_edges) OVER w AS d_n_edges, n_files - lag(n_files) OVER w AS d_n_files FROM f LEFT JOIN e USING (snapshot_id) LEFT JOIN p USING (snapshot_id) WINDOW w AS (ORDER BY snapshot_id)""", "")
+_SUMS = ["n_functions", "complexity", "n_edges", "n_files", "debt_score"]
+
+
+@plan(f""", f AS (SELECT project, snapshot_id, count(*) AS n_functions, sum(complexity)::bigint AS complexity, 3 * (count(*) FILTER (complexity >= 15) + count(*) FILTER (line_count >= 100)) + count(*) FILTER (complexity BETWEEN 10 AND 14) + count(*) FILTER (line_count BETWEEN 50 AND 99) AS d1 FROM fa GROUP BY 1, 2),
+e AS (SELECT project, snapshot_id, count(*) AS n_edges FROM ea GROUP BY 1, 2), p AS (SELECT project, snapshot_id, count(*) AS n_files, 3 * count(*) FILTER (len(ids) >= 30) + count(*) FILTER (len(ids) BETWEEN 15 AND 29) AS d2 FROM pa GROUP BY 1, 2),
+r AS (SELECT project, snapshot_id, coalesce(n_functions, 0) AS n_functions, coalesce(complexity, 0) AS complexity, coalesce(n_edges, 0) AS n_edges, coalesce(n_files, 0) AS n_files, coalesce(d1, 0) + coalesce(d2, 0) AS debt_score FROM cal LEFT JOIN f USING (project, snapshot_id) LEFT JOIN e USING (project, snapshot_id) LEFT JOIN p USING (project, snapshot_id)),
+d AS (SELECT *, {", ".join(f"coalesce({c} - lag({c}) OVER w, 0) AS d_{c}" for c in _SUMS)} FROM r WINDOW w AS (PARTITION BY project ORDER BY snapshot_id))
+SELECT snapshot_id, count(*) AS n_projects, {", ".join(f"sum({c})::bigint AS {c}, sum(d_{c})::bigint AS d_{c}" for c in _SUMS)} FROM d GROUP BY 1""", EACH)
 def snapshot_history(g):
-    t = lambda n: table(g.spark, g.root, n)
-    return I.snapshot_history(t("graph_functions").withColumn("fn_id", plain_key(F.col("id"))), t("graph_call_edges"), t("graph_files").withColumn("path", plain_key(F.col("path"))))
+    return I.snapshot_history(g.functions_each("complexity", "line_count"), g.edges_each(), g.files_each("function_ids"), g.calendar())
+
+
+@plan(f"WITH ch AS ({P6}), k AS (SELECT *, CASE WHEN key_b <> '' THEN key_a || ' -> ' || key_b ELSE key_a END AS key FROM ch) SELECT entity, snapshot_id, change_kind, count(*) AS n, array_to_string(list_sort(list(key))[1:10], '|') AS first_keys FROM k GROUP BY 1, 2, 3", "")
+def history_changes(g):
+    return I.changed_keys(p6_found(g.spark, g.root))
 
 
 _INDEX = f"WITH s AS (SELECT {sql_key('id')} AS id, hash FROM unit_vectors QUALIFY row_number() OVER (PARTITION BY {sql_key('id')} ORDER BY built_at DESC, hash DESC) = 1), c AS (SELECT {sql_key('id')} AS id, source_hash AS hash FROM units QUALIFY row_number() OVER (PARTITION BY {sql_key('id')} ORDER BY updated_at DESC, source_hash DESC) = 1) "
@@ -161,7 +151,7 @@ def embed_incremental(g):
 
 @plan("SELECT fn_id, fn_name, intent FROM (SELECT fn_id, fn_name, upper(intent) AS intent FROM fn WHERE kind = 'method' UNION ALL SELECT fn_id, fn_name, intent FROM fn WHERE kind <> 'method') WHERE fn_id IN (SELECT target_fn FROM ed)")
 def upsert_prune(g):
-    f = g.functions().select("fn_id", "fn_name", "kind", "intent")
+    f = g.functions("fn_name", "kind", "intent")
     base, change = f.select("fn_id", "fn_name", "intent"), f.where("kind = 'method'").select("fn_id", "fn_name", F.upper("intent").alias("intent"))
     return I.prune(I.upsert(base, change, "fn_id"), g.edges().select(F.col("target_fn").alias("fn_id")), "fn_id")
 
@@ -196,24 +186,33 @@ def session_rollup(g):
 
 @plan(None)
 def session_score(g):
-    return N.score(N.rollup(_entries(g)).withColumns({"committed": F.col("files_modified") + F.col("files_created") > 0, "complexity_delta": F.col("files_created") * 2}))
+    """Sessions scored by their commit, tests, end and corrections and by the newest debt figures of their project."""
+    s, c = _sessions_commits(g)
+    bound = N.bind_in_window(s.withColumn("started_at", F.date_trunc("day", "started_at")), c)
+    undone = N.reverted_commits(c).select("commit_id", F.lit("reverted").alias("status")).distinct()
+    status = bound.join(undone, "commit_id", "left").select("session_id", F.coalesce("status", F.lit("committed")).alias("status"))
+    last = lambda d: d.groupBy("project").agg(F.max(F.struct("snapshot_id", *[x for x in d.columns if x not in STEP])).alias("m")).select("project", "m.*").drop("snapshot_id")
+    debt = last(debt_delta(g).drop("functions_delta")).join(last(file_growth(g).drop("files_created")), "project", "full")
+    rows = N.rollup(_entries(g)).join(s.select("session_id", "project"), "session_id", "left").join(status, "session_id", "left").fillna("uncommitted", ["status"]).join(debt, "project", "left")
+    return N.score(rows)
 
 
 def _sessions_commits(g):
     t = table(g.spark, g.root, "transcript").select(N.plain_session(F.col("session_id")).alias("session_id"), N.utc_millis(F.col("ts")).alias("t"), F.element_at(F.split(F.regexp_replace("cwd", r"\\", "/"), "/"), -1).alias("project")).where("session_id is not null")
     s = t.groupBy("session_id").agg(F.max("project").alias("project"), F.min("t").alias("started_at"), F.max("t").alias("completed_at")).where("started_at is not null")
-    c = table(g.spark, g.root, "graph_files").select("project", F.explode("recent_commits").alias("c")).select("project", F.col("c.sha").alias("commit_id"), F.to_timestamp("c.commit_date").alias("at")).distinct()
+    c = table(g.spark, g.root, "graph_files").select("project", F.explode("recent_commits").alias("c")).select("project", F.col("c.sha").alias("commit_id"), F.to_timestamp("c.commit_date").alias("at"), F.col("c.message").alias("message"), F.coalesce(F.col("c.message").contains(N.AUTO_COMMIT), F.lit(False)).alias("auto")).distinct()
     return s, c
 
 
 _BIND = """WITH s AS (SELECT session_id, max(project) AS project, epoch(min(t))::bigint AS st, epoch(max(t))::bigint AS en FROM (SELECT lower(regexp_replace(session_id, '[\\s{}]+', '', 'g')) AS session_id, string_split(replace(cwd, '\\', '/'), '/')[-1] AS project, date_trunc('second', try_cast(ts AS TIMESTAMPTZ)) AS t FROM transcript WHERE session_id IS NOT NULL) GROUP BY 1 HAVING min(t) IS NOT NULL),
-c AS (SELECT DISTINCT project, c.sha AS commit_id, epoch(c.commit_date::timestamp)::bigint AS tc FROM (SELECT project, unnest(recent_commits) AS c FROM graph_files)) """
+c AS (SELECT DISTINCT project, c.sha AS commit_id, epoch(c.commit_date::timestamp)::bigint AS tc, coalesce(contains(c.message, 'auto-commit'), false) AS auto FROM (SELECT project, unnest(recent_commits) AS c FROM graph_files)) """
 
 
-@plan(_BIND + "SELECT session_id, commit_id FROM s JOIN c USING (project) WHERE tc BETWEEN st - 86400 AND en + 86400 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY tc DESC, commit_id DESC) = 1", "")
+# commits carry a day and no time, so a session starts with its day
+@plan(_BIND + "SELECT session_id, commit_id FROM s JOIN c USING (project) WHERE tc BETWEEN st - st % 86400 - 60 AND en + 300 QUALIFY row_number() OVER (PARTITION BY session_id ORDER BY auto, tc DESC, commit_id DESC) = 1", "")
 def session_commit_binding(g):
     s, c = _sessions_commits(g)
-    return N.bind_in_window(s, c, 86400, 86400)
+    return N.bind_in_window(s.withColumn("started_at", F.date_trunc("day", "started_at")), c)
 
 
 @plan(_BIND + "SELECT commit_id, session_id, abs(tc - st) AS gap_s FROM (SELECT DISTINCT * FROM c) c JOIN s USING (project) WHERE abs(tc - st) < 43200 QUALIFY row_number() OVER (PARTITION BY commit_id ORDER BY abs(tc - st), session_id) = 1", "")
@@ -291,7 +290,7 @@ def literal_occurrences(g):
 
 @plan(", s AS (SELECT project, fn_id, line_count, sum(line_count) OVER (PARTITION BY project ORDER BY complexity DESC, fn_id ROWS UNBOUNDED PRECEDING) AS used FROM fn) SELECT project, fn_id, line_count, used::bigint AS used FROM s WHERE used <= 400")
 def token_budget(g):
-    f = g.functions().select("project", "fn_id", "line_count", (-F.col("complexity")).alias("o"))
+    f = g.functions("line_count", "complexity").select("project", "fn_id", "line_count", (-F.col("complexity")).alias("o"))
     return L.budgeted_prefix(f, "project", ["o", "fn_id"], "line_count", 400).drop("o")
 
 
@@ -303,6 +302,6 @@ def cyrillic_ratio(g):
 @plan(f"SELECT u.id, CASE WHEN u.kind IN ('function_unit') THEN CASE WHEN fn.fn_id IS NULL THEN 'orphan' WHEN fn.docstring IS NULL THEN 'undocumented' ELSE 'documented' END ELSE 'other' END AS state FROM (SELECT {sql_key('id')} AS id, kind FROM units QUALIFY row_number() OVER (PARTITION BY trim(id) ORDER BY updated_at DESC, source_hash DESC) = 1) u LEFT JOIN fn ON fn.fn_id = u.id")
 def unit_states(g):
     u = _units(g).select(plain_key(F.col("id")).alias("id"), "kind")
-    f = g.functions().select(F.col("fn_id").alias("id"), F.lit(True).alias("live"), "docstring")
+    f = g.functions("docstring").select(F.col("fn_id").alias("id"), F.lit(True).alias("live"), "docstring")
     state = F.when(F.col("kind") != "function_unit", "other").when(F.col("live").isNull(), "orphan").when(F.col("docstring").isNull(), "undocumented").otherwise("documented")
     return u.join(f, "id", "left").select("id", state.alias("state"))

@@ -25,12 +25,12 @@ def plan(sql: str | None, base: str = BASE):
 
 @plan(CALLERS + "SELECT fn_id, fn_name, callers, callers > 0 AS locked FROM wc JOIN fl ON fl.path = wc.file WHERE zone_name = 'core'")
 def projection_nodes(g):
-    return R.graph_projection(g.functions(), g.edges(), g.files(), "core")[0]
+    return R.graph_projection(g.functions("fn_name"), g.edges(), g.files("zone_name"), "core")[0]
 
 
 @plan(", z AS (SELECT fn_id FROM fn JOIN fl ON fl.path = fn.file WHERE zone_name = 'core') SELECT DISTINCT source_fn, target_fn FROM ed WHERE source_fn IN (SELECT fn_id FROM z) AND target_fn IN (SELECT fn_id FROM z)")
 def projection_links(g):
-    return R.graph_projection(g.functions(), g.edges(), g.files(), "core")[1]
+    return R.graph_projection(g.functions("fn_name"), g.edges(), g.files("zone_name"), "core")[1]
 
 
 @plan("SELECT project, count(DISTINCT session_id) AS sessions, count(*) AS n FROM (SELECT lower(regexp_replace(session_id, '[\\s{}]+', '', 'g')) AS session_id, lower(string_split(replace(cwd, '\\', '/'), '/')[-1]) AS project FROM transcript WHERE session_id IS NOT NULL AND cwd IS NOT NULL) GROUP BY 1", "")

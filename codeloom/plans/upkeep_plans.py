@@ -4,15 +4,12 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from codeloom.functions.keys import plain_key
 from codeloom.operators import graph as G
-from codeloom.operators import incremental as I
 from codeloom.operators import upkeep as U
-from codeloom.operators.snapshots import delivery_calendar, transitions
+from codeloom.operators.snapshots import transitions
 from codeloom.plans.graph_plans import TOP
-from codeloom.plans.more_plans import _SESS, _entries, _units
-from codeloom.plans.views import BASE, Graph, sql_key
-from codeloom.runtime import table
+from codeloom.plans.more_plans import _SESS, STEP, _entries, _units
+from codeloom.plans.views import BASE, EACH, Graph, sides
 
 QUERIES: dict = {}
 ORACLES: dict[str, str] = {}
@@ -28,98 +25,52 @@ def plan(sql: str | None, base: str = BASE):
     return add
 
 
-def _files_at(g, snapshot):
-    f = table(g.spark, g.root, "graph_files").where(F.col("snapshot_id") == snapshot).select(plain_key(F.col("path")).alias("path"), "source_hash", "loaded_at")
-    return f.groupBy("path").agg(F.max_by("source_hash", "loaded_at").alias("source_hash"))
+# Differences between each delivered snapshot of a project and its previous one; snapshot_id is the later.
+_CH = sides("pa") + ", ch AS (SELECT project, snapshot_id, path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.source_hash = n.source_hash THEN 'same' ELSE 'changed' END AS status FROM o FULL JOIN n USING (project, snapshot_id, path)) "
 
 
-def _at(n):
-    return f"SELECT path, source_hash FROM (SELECT {sql_key('path')} AS path, source_hash, row_number() OVER (PARTITION BY {sql_key('path')} ORDER BY loaded_at DESC) AS rn FROM graph_files WHERE snapshot_id = {n}) WHERE rn = 1"
+def _changed(g):
+    return U.changed_files(*transitions(g.files_each("source_hash"), g.calendar()), *STEP)
 
 
-_CH = f"WITH o AS ({_at(4)}), n AS ({_at(5)}), ch AS (SELECT path, CASE WHEN o.path IS NULL THEN 'new' WHEN n.path IS NULL THEN 'removed' WHEN o.source_hash = n.source_hash THEN 'same' ELSE 'changed' END AS status FROM o FULL JOIN n USING (path)) "
-
-
-@plan(_CH + "SELECT path, status FROM ch", "")
+@plan(_CH + "SELECT project, snapshot_id, path, status FROM ch", EACH)
 def changed_files(g):
-    return U.changed_files(_files_at(g, 4), _files_at(g, 5))
-
-
-def _fns_at(g, snapshot):
-    return g.functions_of(table(g.spark, g.root, "graph_functions").where(F.col("snapshot_id") == snapshot)).select("fn_id", "file", "ast_hash")
+    return _changed(g)
 
 
-def _fn_sql(n):
-    return f"SELECT fn_id, split_part(fn_id, '::', 1) AS file, ast_hash FROM (SELECT {sql_key('id')} AS fn_id, nullif(trim(ast_hash), '') AS ast_hash, row_number() OVER (PARTITION BY {sql_key('id')} ORDER BY loaded_at DESC) AS rn FROM graph_functions WHERE snapshot_id = {n}) WHERE rn = 1"
+_FSIDES = sides("fa").replace(" n AS", " fnew AS").replace("o AS (", "fold AS (")
 
 
-@plan(_CH + f", t AS (SELECT path FROM ch WHERE status <> 'same') SELECT * FROM ({_fn_sql(4)}) WHERE file NOT IN (SELECT path FROM t) UNION ALL SELECT * FROM ({_fn_sql(5)}) WHERE file IN (SELECT path FROM t)", "")
+@plan(_CH + _FSIDES + """, t AS (SELECT project, snapshot_id, path AS file FROM ch WHERE status <> 'same')
+SELECT project, snapshot_id, fn_id, file, ast_hash FROM fold ANTI JOIN t USING (project, snapshot_id, file) UNION ALL SELECT project, snapshot_id, fn_id, file, ast_hash FROM fnew SEMI JOIN t USING (project, snapshot_id, file)""", EACH)
 def incremental_update(g):
-    return U.update_rows(_fns_at(g, 4), _fns_at(g, 5), U.changed_files(_files_at(g, 4), _files_at(g, 5)))
+    stored, fresh = (d.select(*STEP, "fn_id", "file", "ast_hash") for d in transitions(g.functions_each("ast_hash"), g.calendar()))
+    return U.update_rows(stored, fresh, _changed(g), keys=STEP)
 
 
-@plan("SELECT fn_id, file FROM fn WHERE EXISTS (SELECT 1 FROM ed WHERE ed.site_file = fn.file AND ed.confidence >= 1 AND ed.line BETWEEN fn.line_start AND fn.line_end)")
-def modified_functions(g):
-    return U.overlapping_functions(g.functions(), g.edges().where("confidence >= 1").select(F.col("site_file").alias("file"), "line"))
+_ESIDES = sides("ea")
 
 
-@plan(_CH + """, p AS (SELECT path, substr(path, instr(path, '/') + 1) AS w FROM ch WHERE status = 'changed'), u AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY trim(id) ORDER BY updated_at DESC, source_hash DESC) = 1),
-f AS (SELECT DISTINCT trim(id) AS id, kind, 'file' AS reason FROM (SELECT id, kind, unnest(source_files) AS s FROM u) WHERE s IN (SELECT path FROM p)),
-x AS (SELECT DISTINCT trim(id) AS id, kind, 'text' AS reason FROM (SELECT id, kind, unnest(regexp_extract_all(description, '[\\w-]+(?:/[\\w.-]+)+')) AS w FROM u) WHERE w IN (SELECT w FROM p) AND trim(id) NOT IN (SELECT id FROM f))
-SELECT id, kind, reason FROM (SELECT * FROM f UNION ALL SELECT * FROM x) ORDER BY CASE WHEN kind = 'function_unit' THEN 0 ELSE 1 END, CASE WHEN reason = 'file' THEN 0 ELSE 1 END, id LIMIT 30""", "")
+@plan(_ESIDES + sides("fa").replace(" n AS", " fnew AS").replace("o AS (", "fold AS (") + """, fresh AS (SELECT DISTINCT project, snapshot_id, site_file, line FROM (SELECT n.project, n.snapshot_id, n.source_fn, n.target_fn, n.site_file, n.expression, n.line FROM n) ANTI JOIN o USING (project, snapshot_id, source_fn, target_fn, site_file, expression))
+SELECT project, snapshot_id, fn_id, file FROM fnew f WHERE EXISTS (SELECT 1 FROM fresh h WHERE h.project = f.project AND h.snapshot_id = f.snapshot_id AND h.site_file = f.file AND h.line BETWEEN f.line_start AND f.line_end)""", EACH)
+def modified_functions(g):
+    """Functions whose span holds a line with a call that the previous snapshot doesn't know."""
+    old, new = transitions(g.edges_each(), g.calendar())
+    same = [*STEP, "source_fn", "target_fn", "site_file", "expression"]
+    key = lambda d: d.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias("k" + str(i)) for i, c in enumerate(same)], *d.columns)
+    ks = [f"k{i}" for i in range(len(same))]
+    lines = key(new).join(key(old).select(*ks), ks, "left_anti").select(*STEP, F.col("site_file").alias("file"), "line").distinct()
+    f = transitions(g.functions_each("line_start", "line_end"), g.calendar())[1]
+    return U.overlapping_functions(f, lines, *STEP)
+
+
+@plan(_CH + """, p AS (SELECT DISTINCT snapshot_id, path, substr(path, instr(path, '/') + 1) AS w FROM ch WHERE status = 'changed'), u AS (SELECT * FROM units QUALIFY row_number() OVER (PARTITION BY trim(id) ORDER BY updated_at DESC, source_hash DESC) = 1),
+f AS (SELECT DISTINCT p.snapshot_id, trim(id) AS id, kind, 'file' AS reason FROM (SELECT id, kind, unnest(source_files) AS s FROM u) x JOIN p ON p.path = x.s),
+x AS (SELECT DISTINCT p.snapshot_id, trim(id) AS id, kind, 'text' AS reason FROM (SELECT id, kind, unnest(regexp_extract_all(description, '[\\w-]+(?:/[\\w.-]+)+')) AS w FROM u) y JOIN p USING (w)),
+b AS (SELECT * FROM f UNION ALL SELECT * FROM x ANTI JOIN f USING (snapshot_id, id))
+SELECT snapshot_id, id, kind, reason FROM b QUALIFY row_number() OVER (PARTITION BY snapshot_id ORDER BY CASE WHEN kind = 'function_unit' THEN 0 ELSE 1 END, CASE WHEN reason = 'file' THEN 0 ELSE 1 END, id) <= 30""", EACH)
 def audit_packet(g):
-    return U.audit_units(_units(g), U.changed_files(_files_at(g, 4), _files_at(g, 5)).where("status = 'changed'"))
-
-
-# The same differences between each delivered snapshot of a project and its previous one; snapshot_id is the later.
-EACH = ("project", "snapshot_id")
-
-
-def _both(g, rows):
-    return transitions(rows, delivery_calendar(table(g.spark, g.root, "graph_files")))
-
-
-def _fns_each(g):
-    f = table(g.spark, g.root, "graph_functions").withColumn("owner", F.trim("project"))
-    return _both(g, g.functions_of(f, "owner", "snapshot_id").drop("project").withColumnRenamed("owner", "project").where("fn_id is not null"))
-
-
-def _files_each(g):
-    f = table(g.spark, g.root, "graph_files").select(F.trim("project").alias("project"), "snapshot_id", plain_key(F.col("path")).alias("path"), F.struct("source_hash", "function_ids").alias("r"), "loaded_at")
-    return _both(g, f.where("path is not null").groupBy("project", "snapshot_id", "path").agg(F.max_by("r", "loaded_at").alias("r")).select("project", "snapshot_id", "path", "r.*"))
-
-
-@plan(None)
-def signature_diff_all(g):
-    e = table(g.spark, g.root, "graph_call_edges")
-    calls = e.groupBy(F.trim("project").alias("project"), F.col("snapshot_id").cast("int").alias("snapshot_id"), plain_key(F.col("target_fn")).alias("fn_id")).agg(F.count(F.lit(1)).alias("callers"))
-    return I.signature_diff(*_fns_each(g), calls, *EACH)
-
-
-@plan(None)
-def value_diff_all(g):
-    return I.value_diff(*_files_each(g), "path", "function_ids", *EACH)
-
-
-@plan(None)
-def debt_delta_all(g):
-    return I.debt_delta(*_fns_each(g), *EACH)
-
-
-@plan(None)
-def changed_files_all(g):
-    return U.changed_files(*_files_each(g), *EACH)
-
-
-@plan(None)
-def incremental_update_all(g):
-    stored, fresh = (d.select(*EACH, "fn_id", "file", "ast_hash") for d in _fns_each(g))
-    return U.update_rows(stored, fresh, U.changed_files(*_files_each(g), *EACH), keys=EACH)
-
-
-@plan(None)
-def audit_packet_all(g):
-    return U.audit_units(_units(g), U.changed_files(*_files_each(g), *EACH).where("status = 'changed'"), keys=("snapshot_id",))
+    return U.audit_units(_units(g), _changed(g).where("status = 'changed'"), keys=("snapshot_id",))
 
 
 @plan("SELECT target_file AS path, count(DISTINCT source_file) AS importers FROM im GROUP BY 1 HAVING count(DISTINCT source_file) >= 1")
@@ -129,7 +80,7 @@ def popular_files(g):
 
 @plan(TOP + ", near AS (SELECT source_fn AS fn_id FROM ed WHERE target_fn IN (SELECT fn_id FROM top) UNION SELECT target_fn FROM ed WHERE source_fn IN (SELECT fn_id FROM top) UNION SELECT fn_id FROM top) SELECT DISTINCT split_part(fn_id, '::', 1) AS file FROM near")
 def preview_highlight(g):
-    top = G.hotspots(g.functions(), g.edges(), 1, 5).select("fn_id")
+    top = G.hotspots(g.functions("fn_name"), g.edges(), 1, 5).select("fn_id")
     near = G.neighbourhood(g.edges(), top).select("fn_id").unionByName(top)
     return near.select(G.file_of("fn_id").alias("file")).distinct()
 
@@ -145,5 +96,5 @@ def redo_detection(g):
 @plan(None)
 def budget_sections(g):
     # sections are files with their lines, tried in order of name
-    s = g.functions().groupBy("project", "file").agg(F.sum("line_count").alias("tokens")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct(F.col("file").alias("name"), F.col("tokens").cast("long").alias("tokens")))).alias("sections"))
+    s = g.functions("line_count").groupBy("project", "file").agg(F.sum("line_count").alias("tokens")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct(F.col("file").alias("name"), F.col("tokens").cast("long").alias("tokens")))).alias("sections"))
     return s.select("project", F.array_join(U.greedy_budget(F.col("sections"), 300), "|").alias("taken"))

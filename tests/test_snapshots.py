@@ -77,17 +77,17 @@ def test_differences_take_the_previous_delivered_snapshot(spark, data):
     from codeloom.plans.catalogue import QUERIES
 
     moved = {tuple(r) for r in QUERIES["p6_found"](spark, data).where("change_kind in ('added', 'removed')").select("entity", "snapshot_id", "key_a", "change_kind").collect()}
-    f = {("functions", r.snapshot_id, r.fn_id, r.change) for r in QUERIES["signature_diff_all"](spark, data).where("change <> 'changed'").collect()}
-    p = {("files", r.snapshot_id, r.path, {"new": "added"}.get(r.status, r.status)) for r in QUERIES["changed_files_all"](spark, data).where("status in ('new', 'removed')").collect()}
+    f = {("functions", r.snapshot_id, r.fn_id, r.change) for r in QUERIES["signature_diff"](spark, data).where("change <> 'changed'").collect()}
+    p = {("files", r.snapshot_id, r.path, {"new": "added"}.get(r.status, r.status)) for r in QUERIES["changed_files"](spark, data).where("status in ('new', 'removed')").collect()}
     assert f | p == {r for r in moved if r[0] != "call_edges"} and len({r[1] for r in f}) > 1
     gained = {}
     for _, s, _, kind in f:
         gained[s] = gained.get(s, 0) + (1 if kind == "added" else -1)
-    got = {r.snapshot_id: r.d for r in QUERIES["debt_delta_all"](spark, data).groupBy("snapshot_id").agg({"functions_delta": "sum"}).withColumnRenamed("sum(functions_delta)", "d").collect()}
+    got = {r.snapshot_id: r.d for r in QUERIES["debt_delta"](spark, data).groupBy("snapshot_id").agg({"functions_delta": "sum"}).withColumnRenamed("sum(functions_delta)", "d").collect()}
     assert {s: d for s, d in got.items() if d} == {s: d for s, d in gained.items() if d}
-    assert all({"snapshot_id"} <= set(QUERIES[n](spark, data).columns) for n in ("value_diff_all", "incremental_update_all", "audit_packet_all"))
-    assert QUERIES["audit_packet_all"](spark, data).groupBy("snapshot_id").count().where("count > 30").isEmpty() and QUERIES["value_diff_all"](spark, data).select("snapshot_id").distinct().count() > 1
-    assert QUERIES["incremental_update_all"](spark, data).groupBy("project", "snapshot_id", "fn_id").count().where("count > 1").isEmpty()
+    assert all({"snapshot_id"} <= set(QUERIES[n](spark, data).columns) for n in ("value_diff", "incremental_update", "audit_packet"))
+    assert QUERIES["audit_packet"](spark, data).groupBy("snapshot_id").count().where("count > 30").isEmpty() and QUERIES["value_diff"](spark, data).select("snapshot_id").distinct().count() > 1
+    assert QUERIES["incremental_update"](spark, data).groupBy("project", "snapshot_id", "fn_id").count().where("count > 1").isEmpty()
 
 
 def test_one_key_in_two_projects(spark):
@@ -95,3 +95,18 @@ def test_one_key_in_two_projects(spark):
     cal = delivery_calendar(spark.createDataFrame([("p", 1), ("p", 2), ("q", 1), ("q", 2)], "project string, snapshot_id int"))
     got = [tuple(r) for r in snapshot_changes(spark.createDataFrame(rows, STATE), cal).collect()]
     assert sorted(got) == [("f", 2, "a", "", "added"), ("f", 2, "a", "", "removed"), ("f", 2, "b", "", "added"), ("f", 2, "b", "", "removed")]
+
+
+def test_history_counts_repeats_once_and_skips_missing_projects(spark, tmp_path):
+    from codeloom.plans.catalogue import QUERIES
+
+    late = lambda row, got: (row[0], t(got), *row[2:])
+    fns = [fn(1, "p/x.py::f", complexity=4), fn(1, "p/x.py::g"), fn(2, "p/x.py::f", complexity=4), late(fn(2, "./p/x.py::f", complexity=7), 9), fn(3, "p/x.py::f", complexity=7)]
+    edge = lambda s: (s, t(1), "p", "p/x.py::f", "p/x.py::g", "p/x.py", 3, "g()", 0.9)
+    file = lambda s, p="p": (s, t(1), p, f"{p}/x.py", "python", [], [], 1, "z", "h")
+    write_tables(spark, str(tmp_path), fns, [edge(1), edge(2), edge(2)], [file(1), file(2), file(2), file(3), file(1, "q"), file(3, "q")])
+    got = {r.snapshot_id: r for r in QUERIES["snapshot_history"](spark, str(tmp_path)).collect()}
+    assert [(got[s].n_projects, got[s].n_functions, got[s].complexity, got[s].n_edges, got[s].n_files) for s in (1, 2, 3)][1] == (1, 1, 7, 1, 1)
+    assert (got[2].d_n_functions, got[2].d_n_files, got[3].d_n_files, got[3].d_n_edges) == (-1, 0, 0, -1)
+    calls = {(r.snapshot_id, r.fn_id): (r.change, r.callers) for r in QUERIES["signature_diff"](spark, str(tmp_path)).collect()}
+    assert calls == {(2, "p/x.py::g"): ("removed", 1)}
