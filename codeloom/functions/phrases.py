@@ -121,12 +121,18 @@ def include_list(c: Column) -> Column:
     return F.filter(F.split(inner, ","), lambda x: x != "")
 
 
+def _codepage() -> tuple[str, str]:
+    """The upper half of windows-1251 and the characters whose numbers are its bytes."""
+    upper = [(bytes([b]).decode("cp1251", "ignore"), chr(b)) for b in range(128, 256)]
+    return "".join(c for c, _ in upper if c), "".join(b for c, b in upper if c)
+
+
 def repaired(c: Column) -> Column:
     """Text that was UTF-8 read as windows-1251, read rightly; any other text as it is."""
-    raw = F.encode(c, "windows-1251")
-    back = F.try_validate_utf8(F.decode(raw, "UTF-8"))
-    garbled = c.rlike("[РС][°-яЂ-Џѐ-џ\u0080-¿‐-›]") & (F.decode(raw, "windows-1251") == c) & ~F.coalesce(back, F.lit("�")).contains("�")
-    return F.when(garbled, back).otherwise(c)
+    chars, raw = _codepage()
+    back = F.encode(F.translate(c, chars, raw), "ISO-8859-1").cast("string")
+    whole = F.translate(c, chars, "").rlike(r"^[\x00-\x7F]*$") & c.rlike(r"[^\x00-\x7F]")
+    return F.when(whole & F.is_valid_utf8(back), back).otherwise(c)
 
 
 def version_numbers(c: Column) -> Column:

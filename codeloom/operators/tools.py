@@ -123,6 +123,6 @@ def orient(sections: list[tuple[str, DataFrame]], budget: int, reserve: int = 20
 
 def sync_gaps(warnings: DataFrame, rules: DataFrame, modified: DataFrame) -> DataFrame:
     """(rule, missing): for warnings(text) that name a Rule #n, the files the rule asks to change together that modified(path) lacks."""
-    named = warnings.select(F.regexp_extract("text", r"Rule #(\d+)", 1).cast("int").alias("id")).where("id is not null").distinct()
+    named = warnings.select(F.regexp_extract("text", r"Rule #(\d+)", 1).try_cast("int").alias("id")).where("id is not null").distinct()
     files = rules.select(F.col("id").cast("int").alias("id"), F.explode("sync_with").alias("path")).join(named, "id")
     return files.join(modified.select("path").distinct(), "path", "left_anti").groupBy(F.col("id").alias("rule")).agg(F.array_join(F.array_sort(F.collect_set("path")), "|").alias("missing"))

@@ -259,10 +259,12 @@ h AS (SELECT unit_id, file, a.kind AS kind, coalesce(a.value, array_to_string(li
 hits AS (SELECT * FROM h WHERE value IS NOT NULL AND value NOT IN ('0', '1', '0.0', '1.0', '-1', 'True', 'False', 'None', 'null', '', 'id', 'name', 'type', 'value', 'key') AND NOT (regexp_full_match(value, '-?\\d+(\\.\\d+)?|-?\\.\\d+') AND surface = '')) """
 
 
-def _units(g):
+def _units(g, with_hash: bool = False):
+    """The row of each unit updated last; of equal times the larger hash."""
     u = table(g.spark, g.root, "units")
     cols = [c for c in u.columns if c not in ("id", "updated_at", "source_hash")]
-    return u.groupBy(F.trim("id").alias("id")).agg(F.max_by(F.struct(*cols), F.struct("updated_at", "source_hash")).alias("r")).select("id", "r.*")
+    out = u.groupBy(F.trim("id").alias("id")).agg(F.max(F.struct("updated_at", "source_hash", *cols)).alias("r"))
+    return out.select("id", *(["r.source_hash"] if with_hash else []), *[f"r.{c}" for c in cols])
 
 
 @plan(_HITS + "SELECT value, count(*) AS hits, count(DISTINCT file) AS files, (SELECT kind FROM hits k WHERE k.value = hits.value GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1) AS primary_kind, left(sha256(value), 8) AS coupling_id FROM hits GROUP BY value HAVING count(*) >= 2 AND count(DISTINCT file) >= 2", "")

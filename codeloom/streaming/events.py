@@ -54,8 +54,3 @@ def windows(events: DataFrame, late: str = "10 minutes", size: str = "5 minutes"
 def sessions(events: DataFrame, late: str = "10 minutes", gap: str = "30 minutes") -> DataFrame:
     """Sessions of events(at, session): runs without a pause longer than the gap."""
     return events.withWatermark("at", late).groupBy(F.session_window("at", gap).alias("w"), "session").agg(F.count(F.lit(1)).alias("n")).select("session", "w.start", "w.end", "n")
-
-
-def apply_writes(writes: DataFrame, on_batch, checkpoint: str):
-    """Run the write-event pipeline: on_batch(batch, epoch) per micro-batch, e.g. a graph update followed by its differences."""
-    return writes.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint).start()
