@@ -31,8 +31,8 @@ from codeloom.runtime import Scratch
 
 WIDTH = 1.0  # slot width w on unit vectors
 TABLES = 3
-OCCUPANCY = 256  # members aimed at in an average bucket; sets the number of hash functions
-MORE = 4  # times as many probes for vectors whose neighbours are far
+OCCUPANCY = 512  # members aimed at in an average bucket; sets the number of hash functions
+MORE = 2  # times as many probes for vectors whose neighbours are far
 MEMBERS, VISITORS = 4096, 16384  # members and visitors of a bucket in one block
 SEED = 20240229
 
