@@ -21,10 +21,15 @@ CORRECTIONS = ["no ", "no,", "don't", "dont", "stop", "wrong", "instead", "not t
 VERIFICATION = r"\b(pytest|py\.test|npm\s+test|cargo\s+test|go\s+test|dotnet\s+test|jest|vitest|mocha)\b"
 
 
+# Marks that part the words of a name, and places within it where a word begins.
+NAME_MARKS = r"[_\-./]+"
+NAME_HUMPS = r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+
+
 def split_identifier(c: Column) -> Column:
     """Lower-case words of a snake, camel, kebab or dotted name; null and empty names have none."""
-    s = F.regexp_replace(F.coalesce(c, F.lit("")), r"[_\-./]+", " ")
-    s = F.regexp_replace(s, r"(?<=[a-z0-9])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])", " ")
+    s = F.regexp_replace(F.coalesce(c, F.lit("")), NAME_MARKS, " ")
+    s = F.regexp_replace(s, NAME_HUMPS, " ")
     return F.filter(F.split(F.lower(s), r"\s+"), lambda w: w != "")
 
 

@@ -16,7 +16,7 @@ from codeloom.functions.keys import plain_key
 from codeloom.operators.skew import hot_keys, lookup_join
 from codeloom.runtime import Scratch, table
 
-#: Rows of the delivery calendar that may be broadcast (about 40 bytes each); more are joined by shuffle.
+#: Rows of the delivery calendar that may be broadcast: about 40 bytes each, so 16 MB at most (a few times that as objects); more are joined by shuffle.
 BROADCAST_ROWS = 400_000
 
 
@@ -121,6 +121,7 @@ def snapshot_changes(states: DataFrame, calendar: DataFrame) -> DataFrame:
     at = ["entity", "project", "snapshot_id", "key_a", "key_b"]
     rest = signed.groupBy(*at, "content").agg(F.sum("n").alias("n")).where("n <> 0")
     rest = tmp.save(rest, "residue")
+    tmp.keep_only("residue")
     new = rest.where("n > 0").select(*at, F.lit(1).alias("now"))
     old = rest.where("n < 0").select(*at, F.lit(1).alias("before"))
     kind = F.when(F.col("before").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed")

@@ -35,14 +35,15 @@ class Scratch:
     """Written intermediate tables of one operator run, below the shared folder.
 
     `save` writes a DataFrame as parquet and reads it back, which cuts its lineage and lets
-    a lost executor's work be read again instead of recomputed. Results may still read these
-    tables, so they stay until clear_scratch is called.
+    a lost executor's work be read again instead of recomputed. An operator gives up the tables
+    that its result doesn't read with keep_only; the rest stay until clear_scratch is called.
     """
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex[:12]}"
         self._n = 0
+        self._written: list[tuple[str, str]] = []
         if not hasattr(spark.sparkContext, "_codeloom_scratch"):
             spark.sparkContext._codeloom_scratch = []
         spark.sparkContext._codeloom_scratch.append(self.root)
@@ -54,14 +55,25 @@ class Scratch:
     def save(self, df: DataFrame, name: str = "t") -> DataFrame:
         where = self.path(name)
         df.write.mode("overwrite").option("compression", "zstd").parquet(where)
+        self._written.append((name, where))
         return self.spark.read.schema(df.schema).parquet(where)
 
+    def keep_only(self, *names: str) -> None:
+        """Delete the tables written so far but those saved under the given names."""
+        for name, where in self._written:
+            if name not in names:
+                _delete(self.spark, where)
+        self._written = [x for x in self._written if x[0] in names]
+
+
+def _delete(spark: SparkSession, where: str) -> None:
+    p = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+
 
 def clear_scratch(spark: SparkSession) -> None:
     """Delete the scratch tables that this session wrote, once no result that reads them is needed."""
     roots = getattr(spark.sparkContext, "_codeloom_scratch", [])
-    jvm = spark.sparkContext._jvm
     for where in roots:
-        p = jvm.org.apache.hadoop.fs.Path(where)
-        p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
+        _delete(spark, where)
     roots.clear()

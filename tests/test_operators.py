@@ -128,3 +128,20 @@ def test_every_query_vector_is_searched_in_blocks(spark, monkeypatch):
     want = {(q, i, s) for q, x in rows[:200:20] for s, i in sorted(((dot(x, y), i) for i, y in rows[:200] if i != q), key=lambda t: (-t[0], t[1]))[:5]}
     assert got == want and len(got) == 50
     assert search.vector_verdict(top, "query_id").count() == 10
+
+
+def test_clones_share_a_class(spark):
+    f = spark.createDataFrame([("b", "h"), ("a", "h"), ("c", "x"), ("d", None), ("e", None)], "fn_id string, ast_hash string")
+    assert {tuple(r) for r in G.exact_clones(f).collect()} == {("a", "a", 1), ("b", "a", 1)}
+
+
+def test_scratch_tables_that_a_result_does_not_read_are_given_up(spark):
+    import os
+
+    from codeloom.runtime import Scratch
+
+    tmp = Scratch(spark, "t")
+    tmp.save(spark.range(5), "a")
+    kept = tmp.save(spark.range(6), "b")
+    tmp.keep_only("b")
+    assert kept.count() == 6 and [d.split("_")[1] for d in os.listdir(tmp.root.removeprefix("file://").removeprefix("file:"))] == ["b"]
