@@ -50,9 +50,6 @@ def param_summaries(g):
     return g.functions("params").select("fn_id", P.param_summary(F.col("params")).alias("summary")).where("summary <> ''")
 
 
-_LIT = "CAST(regexp_extract_all(expression, '\"[^\"\\\\\\n]*\"|''[^''\\\\\\n]*''') AS VARCHAR[])"
-
-
 @plan(""", l AS (SELECT source_fn, line, unnest(list_concat(list_transform(regexp_extract_all(expression, '"[^"\\\\\\n]*"|''[^''\\\\\\n]*'''), lambda q: q[2:-2]), regexp_extract_all(regexp_replace(expression, '"[^"\\\\\\n]*"|''[^''\\\\\\n]*''', ' ', 'g'), '(?:^|[^A-Za-z0-9_.-])(-?[0-9]+)\\b', 1))) AS value FROM ed) SELECT value, count(*) AS uses, count(DISTINCT source_fn) AS functions FROM l GROUP BY 1 HAVING count(*) >= 3""")
 def frequent_literals(g):
     """Values that stand in at least three calls."""

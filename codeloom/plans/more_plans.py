@@ -237,7 +237,9 @@ def session_verdict(g):
     return N.verdict(_events(g).select(F.col("user_id").alias("session"), kind.alias("kind")))
 
 
-@plan(None)
+@plan("""WITH RECURSIVE e AS (SELECT event_type || ':' || user_id AS unit, event_id AS call, row_number() OVER (PARTITION BY event_type, user_id ORDER BY event_id) AS i FROM events),
+s AS (SELECT unit, call, i, call AS seen, false AS suppressed FROM e WHERE i = 1 UNION ALL SELECT e.unit, e.call, e.i, CASE WHEN e.call + 1 - s.seen < 100 THEN s.seen ELSE e.call END, e.call + 1 - s.seen < 100 FROM s JOIN e ON e.unit = s.unit AND e.i = s.i + 1)
+SELECT unit, call, suppressed FROM s""", "")
 def seen_suppression(g):
     return N.suppress_seen(_events(g).select(F.concat_ws(":", "event_type", F.col("user_id").cast("string")).alias("unit"), F.col("event_id").alias("call")), 100)
 

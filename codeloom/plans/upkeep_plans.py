@@ -93,7 +93,9 @@ def redo_detection(g):
     return U.redone_tasks(s)
 
 
-@plan(None)
+@plan(""", s AS (SELECT project, file, sum(line_count)::bigint AS tokens, row_number() OVER (PARTITION BY project ORDER BY file) AS i FROM fn GROUP BY 1, 2),
+g AS (SELECT project, i, CASE WHEN tokens <= 300 THEN tokens ELSE 0 END AS used, CASE WHEN tokens <= 300 THEN [file] ELSE [] END AS names FROM s WHERE i = 1 UNION ALL SELECT s.project, s.i, CASE WHEN g.used + tokens <= 300 THEN g.used + tokens ELSE g.used END, CASE WHEN g.used + tokens <= 300 THEN list_append(g.names, file) ELSE g.names END FROM g JOIN s ON s.project = g.project AND s.i = g.i + 1)
+SELECT project, array_to_string(max_by(names, i), '|') AS taken FROM g GROUP BY 1""")
 def budget_sections(g):
     # sections are files with their lines, tried in order of name
     s = g.functions("line_count").groupBy("project", "file").agg(F.sum("line_count").alias("tokens")).groupBy("project").agg(F.array_sort(F.collect_list(F.struct(F.col("file").alias("name"), F.col("tokens").cast("long").alias("tokens")))).alias("sections"))
