@@ -100,6 +100,7 @@ def connected_groups(links: DataFrame, max_bfs_rounds: int = MAX_BFS_ROUNDS) ->
         low = small.where(F.col("v") == least).select("g").first()
         small, least = small.join(giant, "v", "left_anti"), low.g if low else least
     labels = tmp.save(giant.select("v", F.lit(least).cast("long").alias("g")).unionByName(small), "labels")
+    tmp.keep_only("nodes", "labels")
     named = _look(labels, number, "v", ids_fit, lambda: []).withColumnRenamed("g", "gv")
     owner = number.withColumnRenamed("v", "gv").withColumnRenamed("id", "group_id")
     return _look(named, owner, "gv", ids_fit, lambda: hot_keys(labels, "g")).select("id", "group_id")

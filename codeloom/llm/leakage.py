@@ -417,6 +417,7 @@ def leaked_items(docs: DataFrame, items: DataFrame) -> DataFrame:
         cands = tmp.save(pairs, "pairs").join(probed.select("doc_id", "dtokens"), "doc_id").join(F.broadcast(some.select("item_id", "itokens")), "item_id")
         rows = cands.mapInPandas(_verify(sent), "doc_id long, item_id int, words int, edits int, kind string")
         found = rows if found is None else found.unionByName(rows)
+    tmp.keep_only("windows", "probed", "pairs")
     return found.distinct()
 
 

@@ -106,11 +106,12 @@ def _unit(raw: pd.Series, dim: int) -> np.ndarray:
 
 
 def _rerank(dim: int, k: int):
-    """The k best members of each visitor, cell by cell of rows sorted by cell; a cell that a batch cuts off waits for the next."""
+    """The k best members of each visitor that reach its `least` (members have none), cell by cell of rows sorted by cell; a cell that a batch cuts off waits for the next."""
 
     def meet(rows: pd.DataFrame, starts: list[int]) -> Iterator[pd.DataFrame]:
         x = _unit(rows["raw"], dim)
-        rid, member = rows["rid"].to_numpy(), rows["member"].to_numpy()
+        rid, least = rows["rid"].to_numpy(), rows["least"].to_numpy()
+        member = np.isnan(least)
         out = []
         for a, b in zip(starts, starts[1:]):
             mi, qi = a + np.flatnonzero(member[a:b]), a + np.flatnonzero(~member[a:b])
@@ -123,7 +124,7 @@ def _rerank(dim: int, k: int):
                 n = min(k, len(mi))
                 best = np.argpartition(sim, len(mi) - n, axis=1)[:, len(mi) - n :]
                 val = np.take_along_axis(sim, best, axis=1).ravel()
-                keep = val > -5
+                keep = (val > -5) & (val >= np.repeat(least[q], n) - 1e-9)
                 out.append((np.repeat(rid[q], n)[keep], rid[mi][best].ravel()[keep], np.round(val[keep], 9)))
         if out:
             r, c, v = (np.concatenate(z) for z in zip(*out))
@@ -168,21 +169,36 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int |
     owner = reps.select("h", F.col("vec").alias("v2"), "rid")
     is_hot = F.col("h").isin(hot)
     member = ids.where(~is_hot).join(owner.where(~is_hot), "h").unionByName(ids.where(is_hot).join(F.broadcast(owner.where(is_hot)), "h")) if hot else ids.join(owner, "h")
-    members = tmp.save(member.where("vec = v2").select("id", "rid"), "members")
-    few = members.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy("id"))).where(F.col("n") <= k + 1)
+    kept = tmp.save(member.where("vec = v2").select("id", "rid"), "members")
+    few = kept.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy("id"))).where(F.col("n") <= k + 1)
     few = tmp.save(few.groupBy("rid").agg(F.array_sort(F.collect_list("id")).alias("copies")), "copies")
 
     n = reps.count()
     m = max(2, round(math.log2(max(n, 1) / OCCUPANCY + 1) / 2.25))
-    first = probes or m + 1
-    found = tmp.save(_search(reps.select("rid", "raw"), reps.select("rid"), k, dim, m, first, tables, width, tmp, True), "found")
+    first = len(_templates(m, probes or m + 1))  # few hash functions have fewer perturbations
+    every = len(_templates(m, first * MORE))
+    schema = "rid long, raw binary, codes array<long>"  # codes: for each table the own bucket, then the perturbed ones
+    hashed = tmp.save(reps.select("rid", "raw").mapInPandas(_hasher(dim, m, every, tables, width), schema), "hashed")
+
+    def codes(a: int, b: int):
+        """The a-th to b-th bucket of each table."""
+        return F.filter("codes", lambda c, i: (i % every >= a) & (i % every < b))
+
+    members = hashed.select("rid", "raw", F.explode(codes(0, 1)).alias("bucket"))
+    found = tmp.save(_best(_search(members, hashed.select("rid", "raw", F.lit(-2.0).alias("least"), F.explode(codes(0, 1)).alias("bucket")), k, dim, tmp), k), "own")
+    # other buckets only give what beats the k-th neighbour so far
+    asked = hashed.join(_kth(found, k), "rid", "left").fillna(-2.0, ["least"])
+    more = _search(members, asked.select("rid", "raw", "least", F.explode(codes(1, first)).alias("bucket")), k, dim, tmp)
+    found = tmp.save(_best(found.unionByName(more), k), "found")
     # far or missing neighbours are the ones that hashing misses: such vectors visit more buckets
     far = 1 - (0.6 * width) ** 2 / 2
-    sure = found.groupBy("rid").agg(F.count(F.lit(1)).alias("c"), F.min("cos").alias("least")).where((F.col("c") >= k) & (F.col("least") >= far))
-    unsure = tmp.save(reps.select("rid").join(sure, "rid", "left_anti"), "unsure")
-    if not unsure.isEmpty():
-        more = _search(reps.select("rid", "raw"), unsure, k, dim, m, first * MORE, tables, width, tmp, False)
-        found = tmp.save(_best(found.unionByName(more), k), "found2")
+    unsure = tmp.save(hashed.join(_kth(found, k), "rid", "left").fillna(-2.0, ["least"]).where(F.col("least") < far), "unsure")
+    last = "found"
+    if every > first and not unsure.isEmpty():
+        more = _search(members, unsure.select("rid", "raw", "least", F.explode(codes(first, every)).alias("bucket")), k, dim, tmp)
+        found, last = tmp.save(_best(found.unionByName(more), k), "found2"), "found2"
+    members = kept
+    tmp.keep_only("members", "copies", last)
     # back from representatives to rows: copies of the neighbours and of the vector itself
     wide = found.join(few.withColumnRenamed("rid", "nid"), "nid").select("rid", F.struct(F.negative("cos").alias("d"), "copies").alias("x")).groupBy("rid").agg(F.collect_list("x").alias("xs"))
     cands = few.join(wide, "rid", "left").select("rid", F.concat(F.transform("copies", lambda i: F.struct(F.lit(-1.0).alias("d"), i.alias("i"))), F.coalesce(F.flatten(F.transform("xs", lambda x: F.transform(x["copies"], lambda i: F.struct(x["d"].alias("d"), i.alias("i"))))), F.array().cast("array<struct<d:double,i:string>>"))).alias("all"))
@@ -198,26 +214,28 @@ def _best(pairs: DataFrame, k: int) -> DataFrame:
     return top.select("rid", F.explode("b").alias("x")).select("rid", F.col("x.nid").alias("nid"), F.negative("x.d").alias("cos"))
 
 
-def _search(reps: DataFrame, queries: DataFrame, k: int, dim: int, m: int, probes: int, tables: int, width: float, tmp: Scratch, all_rows: bool) -> DataFrame:
-    schema = "rid long, raw binary, codes array<long>"
-    probes = len(_templates(m, probes))  # few hash functions have fewer perturbations
-    # codes: for each table the own bucket, then the perturbed ones
-    hashed = tmp.save(reps.mapInPandas(_hasher(dim, m, probes, tables, width), schema), "hashed")
-    own = F.transform(F.sequence(F.lit(0), F.lit(tables - 1)), lambda t: F.get("codes", t * F.lit(probes)))
-    asked = hashed if all_rows else hashed.join(queries, "rid", "left_semi")
-    rows = hashed.select("rid", "raw", F.lit(True).alias("member"), F.explode(own).alias("bucket")).unionByName(asked.select("rid", "raw", F.lit(False).alias("member"), F.explode("codes").alias("bucket")))
+def _kth(found: DataFrame, k: int) -> DataFrame:
+    """(rid, least): cosine of the k-th neighbour of the rids that have k."""
+    return found.groupBy("rid").agg(F.count(F.lit(1)).alias("c"), F.min("cos").alias("least")).where(F.col("c") >= k).select("rid", "least")
+
+
+def _search(members: DataFrame, visitors: DataFrame, k: int, dim: int, tmp: Scratch) -> DataFrame:
+    """(rid, nid, cos): in each bucket the k best of members(rid, raw, bucket) for visitors(rid, raw, least, bucket)."""
+    rows = members.withColumn("least", F.lit(None).cast("double")).unionByName(visitors)
+    is_member = F.col("least").isNull()
     # buckets over the limits are met block by block; hot ones among them, fewer than HOT_PARTS, are told to every task
-    sizes = rows.groupBy("bucket").agg(F.count_if("member").alias("nm"), F.count_if(~F.col("member")).alias("nq")).where((F.col("nm") > MEMBERS) | (F.col("nq") > VISITORS))
-    big = tmp.save(sizes.select("bucket", F.ceil(F.col("nm") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("nq") / VISITORS).cast("int").alias("qb"), (F.col("nm") + F.col("nq")).alias("n")), "big")
-    total = hashed.count() * tables * (1 + probes)
-    hot = [r.bucket for r in big.where(F.col("n") * HOT_PARTS > total).orderBy(F.desc("n")).limit(HOT_PARTS).select("bucket").collect()]
-    cut = lookup_join(rows, big.drop("n"), "bucket", hot, "left").withColumns({"mb": F.greatest(F.coalesce("mb", F.lit(1)), F.lit(1)), "qb": F.greatest(F.coalesce("qb", F.lit(1)), F.lit(1))})
-    mine = F.pmod(F.xxhash64("rid"), F.when(F.col("member"), F.col("mb")).otherwise(F.col("qb"))).cast("int")
-    other = F.explode(F.sequence(F.lit(0), F.when(F.col("member"), F.col("qb")).otherwise(F.col("mb")) - 1))
-    cut = cut.select("rid", "raw", "member", "bucket", mine.alias("mine"), other.alias("other"))
-    cell = F.xxhash64("bucket", F.when(F.col("member"), F.col("mine")).otherwise(F.col("other")), F.when(F.col("member"), F.col("other")).otherwise(F.col("mine")))
-    cells = cut.select("rid", "raw", "member", cell.alias("cell")).repartition("cell").sortWithinPartitions("cell")
-    return _best(cells.mapInPandas(_rerank(dim, k), "rid long, nid long, cos double"), k)
+    sizes = rows.groupBy("bucket").agg(F.count_if(is_member).alias("nm"), F.count_if(~is_member).alias("nq")).where((F.col("nm") > MEMBERS) | (F.col("nq") > VISITORS))
+    big, crowded = tmp.save(sizes.select("bucket", F.ceil(F.col("nm") / MEMBERS).cast("int").alias("mb"), F.ceil(F.col("nq") / VISITORS).cast("int").alias("qb"), (F.col("nm") + F.col("nq")).alias("n")), "big"), []
+    if not big.isEmpty():
+        total = rows.count()
+        crowded = [r.bucket for r in big.where(F.col("n") * HOT_PARTS > total).orderBy(F.desc("n")).limit(HOT_PARTS).select("bucket").collect()]
+    cut = lookup_join(rows, big.drop("n"), "bucket", crowded, "left").withColumns({"mb": F.greatest(F.coalesce("mb", F.lit(1)), F.lit(1)), "qb": F.greatest(F.coalesce("qb", F.lit(1)), F.lit(1))})
+    mine = F.pmod(F.xxhash64("rid"), F.when(is_member, F.col("mb")).otherwise(F.col("qb"))).cast("int")
+    other = F.explode(F.sequence(F.lit(0), F.when(is_member, F.col("qb")).otherwise(F.col("mb")) - 1))
+    cut = cut.select("rid", "raw", "least", "bucket", mine.alias("mine"), other.alias("other"))
+    cell = F.xxhash64("bucket", F.when(is_member, F.col("mine")).otherwise(F.col("other")), F.when(is_member, F.col("other")).otherwise(F.col("mine")))
+    cells = cut.select("rid", "raw", "least", cell.alias("cell")).repartition("cell").sortWithinPartitions("cell")
+    return cells.mapInPandas(_rerank(dim, k), "rid long, nid long, cos double")
 
 
 def neighbour_pairs(near: DataFrame) -> DataFrame:
