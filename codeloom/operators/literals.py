@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from codeloom.functions import text as T
 from codeloom.operators.ordering import running_sum
 
 # Values too common to couple anything.
@@ -27,11 +28,12 @@ def artifact_hits(units: DataFrame) -> DataFrame:
 
 
 def couplings(hits: DataFrame, least_hits: int = 2, least_files: int = 2) -> DataFrame:
-    """(value, hits, files, primary_kind, coupling_id): values found at several places in several files."""
+    """(value, hits, files, primary_kind, kind_uniformity, coupling_id): values found at several places in several files; the commonest kind (ties by name) and its share of the hits."""
     by_kind = hits.groupBy("value", "kind").agg(F.count(F.lit(1)).alias("n"))
-    top = by_kind.groupBy("value").agg(F.min(F.struct(F.negative("n").alias("m"), "kind")).alias("k")).select("value", F.col("k.kind").alias("primary_kind"))
+    top = by_kind.groupBy("value").agg(F.min(F.struct(F.negative("n").alias("m"), "kind")).alias("k")).select("value", F.col("k.kind").alias("primary_kind"), F.negative("k.m").alias("n"))
     g = hits.groupBy("value").agg(F.count(F.lit(1)).alias("hits"), F.count_distinct("file").alias("files")).where((F.col("hits") >= least_hits) & (F.col("files") >= least_files))
-    return g.join(top, "value").select("value", "hits", "files", "primary_kind", F.substring(F.sha2("value", 256), 1, 8).alias("coupling_id"))
+    share = T.round_half_up(F.col("n") / F.col("hits"), 2)
+    return g.join(top, "value").select("value", "hits", "files", "primary_kind", share.alias("kind_uniformity"), F.substring(F.sha2("value", 256), 1, 8).alias("coupling_id"))
 
 
 def literal_uses(edges: DataFrame) -> DataFrame:

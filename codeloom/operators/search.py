@@ -36,6 +36,16 @@ def intent_search(functions: DataFrame, callers: DataFrame, intent: str, least:
     return rows.withColumn("s", score).where(F.col("s") >= least).select("fn_id", T.round_half_up(F.col("s"), 3).alias("score"), "callers").orderBy(F.desc("score"), "fn_id").limit(most)
 
 
+def reuse_suggestions(hits: DataFrame, functions: DataFrame, edges: DataFrame, intent: str) -> DataFrame:
+    """(fn_id, upstream, params): of found functions(fn_id) the callers that have a parameter the intent speaks of, which may be called with other arguments instead; params are the shared stems."""
+    q = F.array_distinct(T.tokenize(F.lit(intent)))
+    up = edges.select(F.col("target_fn").alias("fn_id"), F.col("source_fn").alias("upstream")).distinct().join(hits.select("fn_id"), "fn_id")
+    names = F.flatten(F.transform("params", lambda p: T.split_identifier(p["name"])))
+    p = functions.select(F.col("fn_id").alias("upstream"), F.array_distinct(F.transform(names, T.stem)).alias("stems"))
+    shared = F.array_sort(F.array_intersect("stems", q))
+    return up.join(p, "upstream").select("fn_id", "upstream", F.array_join(shared, ",").alias("params")).where("params <> ''")
+
+
 def intent_category(c: Column) -> Column:
     """change, create or unknown by the stems of a text; change goes first."""
     words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z]+)"), F.lit(1)), T.stem))

@@ -51,13 +51,17 @@ def popular_files(imports: DataFrame, least: int = 3) -> DataFrame:
     return imports.groupBy(F.col("target_file").alias("path")).agg(F.count_distinct("source_file").alias("importers")).where(F.col("importers") >= least)
 
 
-def redone_tasks(sessions: DataFrame) -> DataFrame:
+def redone_tasks(sessions: DataFrame, scored: DataFrame | None = None, limit: float = 0.4) -> DataFrame:
     """(session_id, redo_of): sessions with the task of an earlier session; redo_of is the last one before.
 
-    One window over the task, no self-join of all sessions with one task.
+    With scored(session_id, score) only where that one scored under the limit. One window over
+    the task, no self-join of all sessions with one task.
     """
     w = W.partitionBy("task_hash").orderBy("started_at", "session_id")
-    return sessions.where("task_hash is not null").select("session_id", F.lag("session_id").over(w).alias("redo_of")).where("redo_of is not null")
+    out = sessions.where("task_hash is not null").select("session_id", F.lag("session_id").over(w).alias("redo_of")).where("redo_of is not null")
+    if scored is None:
+        return out
+    return out.join(scored.where(F.col("score") < limit).select(F.col("session_id").alias("redo_of")), "redo_of", "left_semi").select("session_id", "redo_of")
 
 
 def one_per_category(rules: DataFrame) -> DataFrame:

@@ -12,13 +12,14 @@ from codeloom.operators import detect as D
 from codeloom.operators import graph as G
 from codeloom.operators import records as C
 from codeloom.operators import rules as R
+from codeloom.operators import search as S
 from codeloom.operators import targets
 from codeloom.operators import upkeep as U
 from codeloom.operators.snapshots import transitions
-from codeloom.plans import upkeep_plans
-from codeloom.plans.graph_plans import CALLERS
+from codeloom.plans import more_plans, tool_plans, upkeep_plans
+from codeloom.plans.graph_plans import CALLERS, SPLIT
 from codeloom.plans.more_plans import _SESS, STEP, _entries, _sessions_commits, _units
-from codeloom.plans.views import BASE, EACH, Graph, sql_key
+from codeloom.plans.views import BASE, EACH, Graph, latest, sql_key
 from codeloom.sources import scan
 
 QUERIES: dict = {}
@@ -325,3 +326,45 @@ def source_class_summaries(g):
     f = _files(g.spark, g.root)
     sizes = scan.class_sizes(f, facts.functions(f))
     return facts.classes(f).join(sizes, ["path", "class_name"]).select("path", "class_name", P.class_summary(F.col("class_name"), F.col("line_start"), F.col("line_end"), F.col("n_methods"), F.col("n_attributes"), F.col("bases")).alias("summary"))
+
+
+# the terms of the intent are those of intent_search; callers of every function it could find
+_REUSE = "collect the harvest and the meter for each ticket"
+
+
+@plan(f""", q AS (SELECT list_distinct({more_plans._tokens_sql("'" + _REUSE + "'")}) AS q), up AS (SELECT DISTINCT target_fn AS fn_id, source_fn AS upstream FROM ed WHERE target_fn IN (SELECT fn_id FROM fn)),
+s AS (SELECT fn_id AS upstream, list_distinct({more_plans._stems("flatten(list_transform(params, lambda p: " + SPLIT.format(c="p.name") + "))")}) AS stems FROM fn)
+SELECT fn_id, upstream, params FROM (SELECT fn_id, upstream, array_to_string(list_sort(list_intersect(stems, q)), ',') AS params FROM up JOIN s USING (upstream), q) WHERE params <> ''""")
+def reuse_suggestions(g):
+    return S.reuse_suggestions(g.fn_ids(), g.functions("params"), g.edges(), _REUSE)
+
+
+@plan("SELECT fn_id, fn_name, intent FROM fn WHERE intent IS NOT NULL ORDER BY sha256(fn_id || 'eval'), fn_id LIMIT 50")
+def intent_sample(g):
+    """Fifty intents to look at, chosen by hash so that the choice can be repeated."""
+    return g.functions("fn_name", "intent").where("intent is not null").orderBy(F.sha2(F.concat("fn_id", F.lit("eval")), 256), "fn_id").limit(50).select("fn_id", "fn_name", "intent")
+
+
+@plan("SELECT fn_id, 'Function: ' || fn_name || E'\\nFile: ' || file || E'\\nCallers: ' || callers || E'\\nComplexity: ' || coalesce(complexity, 0) || E'\\nDocumentation: ' || coalesce(docstring, 'none') AS prompt FROM wc WHERE intent IS NULL", BASE + CALLERS)
+def intent_prompts(g):
+    """What a provider of intents is told of every function without one."""
+    f = G.with_callers(g.functions("fn_name", "complexity", "docstring", "intent").where("intent is null"), g.edges())
+    lines = [("Function: ", "fn_name"), ("\nFile: ", "file"), ("\nCallers: ", "callers")]
+    text = [x for a, b in lines for x in (F.lit(a), F.col(b).cast("string"))]
+    return f.select("fn_id", F.concat(*text, F.lit("\nComplexity: "), F.coalesce("complexity", F.lit(0)).cast("string"), F.lit("\nDocumentation: "), F.coalesce("docstring", F.lit("none"))).alias("prompt"))
+
+
+@plan(f", {_UNITS}, r AS (SELECT {sql_key('fn_id')} AS id, risk_level FROM impact_reports WHERE {sql_key('fn_id')} IS NOT NULL QUALIFY row_number() OVER (PARTITION BY {sql_key('fn_id')} ORDER BY generated_at DESC) = 1), k AS (SELECT {sql_key('id')} AS id, min(kind) AS kind FROM u GROUP BY 1) SELECT coalesce(r.id, k.id) AS id, kind, risk_level FROM k FULL JOIN r ON r.id = k.id")
+def reports_and_units(g):
+    """Impact reports and units side by side."""
+    r = g.table("impact_reports").select(plain_key(F.col("fn_id")).alias("id"), "risk_level", F.col("generated_at").alias("loaded_at")).where("id is not null")
+    u = _units(g).groupBy(plain_key(F.col("id")).alias("id")).agg(F.min("kind").alias("kind"))
+    return u.join(latest(r, ["id"], ["risk_level"]), "id", "full").select("id", "kind", "risk_level")
+
+
+@plan(tool_plans.ORACLES["impact_check"].removeprefix(EACH).replace("SELECT project, snapshot_id, 'broken_caller' AS warning", ", w AS (SELECT project, snapshot_id, 'broken_caller' AS warning", 1) + ") SELECT w.project, w.snapshot_id, w.target, e.source_fn, e.site_file, e.line FROM w JOIN ea e ON e.project = w.project AND e.snapshot_id = w.snapshot_id AND e.target_fn = w.target WHERE warning = 'broken_caller' GROUP BY ALL", EACH)
+def broken_call_sites(g):
+    """Where functions that a step broke are still called."""
+    w = tool_plans.impact_check(g).where("warning = 'broken_caller'").select(*STEP, "target")
+    e = g.edges_each().select(*STEP, F.col("target_fn").alias("target"), "source_fn", "site_file", "line")
+    return w.join(e, [*STEP, "target"]).distinct()

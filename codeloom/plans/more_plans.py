@@ -269,7 +269,7 @@ def _units(g, with_hash: bool = False):
     return out.select("id", *(["r.source_hash"] if with_hash else []), *[f"r.{c}" for c in cols])
 
 
-@plan(_HITS + "SELECT value, count(*) AS hits, count(DISTINCT file) AS files, (SELECT kind FROM hits k WHERE k.value = hits.value GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1) AS primary_kind, left(sha256(value), 8) AS coupling_id FROM hits GROUP BY value HAVING count(*) >= 2 AND count(DISTINCT file) >= 2", "")
+@plan(_HITS + "SELECT value, count(*) AS hits, count(DISTINCT file) AS files, (SELECT kind FROM hits k WHERE k.value = hits.value GROUP BY kind ORDER BY count(*) DESC, kind LIMIT 1) AS primary_kind, floor((SELECT count(*) FROM hits k WHERE k.value = hits.value GROUP BY kind ORDER BY count(*) DESC LIMIT 1)::double / count(*) * 100 + 0.5) / 100 AS kind_uniformity, left(sha256(value), 8) AS coupling_id FROM hits GROUP BY value HAVING count(*) >= 2 AND count(DISTINCT file) >= 2", "")
 def couplings(g):
     return L.couplings(L.artifact_hits(_units(g)))
 
