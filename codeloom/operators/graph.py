@@ -41,7 +41,7 @@ def degree_centrality(edges: DataFrame) -> DataFrame:
 
 
 def with_callers(functions: DataFrame, edges: DataFrame) -> DataFrame:
-    return functions.join(callers_degree(edges), "fn_id", "left").fillna(0, ["callers"])
+    return functions.drop("callers").join(callers_degree(edges), "fn_id", "left").fillna(0, ["callers"])
 
 
 def graph_totals(functions: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
