@@ -93,13 +93,17 @@ def _first_two(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return least.join(rest, keys, "left")
 
 
-def zone_map(functions: DataFrame, edges: DataFrame, files: DataFrame) -> DataFrame:
-    """Per zone: files, functions, routes and functions with callers."""
+def zone_map(functions: DataFrame, edges: DataFrame, files: DataFrame, startup: DataFrame | None = None) -> DataFrame:
+    """Per zone: files, functions, routes and functions with callers; with startup(path) the files that the start reaches as well."""
     z = files.select(F.col("path").alias("file"), F.coalesce("zone_name", F.lit("unknown")).alias("zone"))
     f = z.groupBy("zone").agg(F.count(F.lit(1)).alias("n_files"))
-    rows = with_callers(functions, edges).join(z, "file")
+    rows = with_callers(functions.select("fn_id", "file", "route"), edges).join(z, "file")
     g = rows.groupBy("zone").agg(F.count(F.lit(1)).alias("n_functions"), F.count("route").alias("n_routes"), F.count_if(F.col("callers") > 0).alias("n_locked"))
-    return f.join(g, "zone", "left").fillna(0, ["n_functions", "n_routes", "n_locked"])
+    out = f.join(g, "zone", "left").fillna(0, ["n_functions", "n_routes", "n_locked"])
+    if startup is None:
+        return out
+    s = z.join(startup.select(F.col("path").alias("file")).distinct(), "file", "left_semi").groupBy("zone").agg(F.count(F.lit(1)).alias("n_startup"))
+    return out.join(s, "zone", "left").fillna(0, ["n_startup"])
 
 
 def zone_imports(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -266,7 +270,7 @@ def functions_block(edges: DataFrame) -> DataFrame:
 def page(functions: DataFrame, edges: DataFrame, zone: str, files: DataFrame, offset: int, limit: int) -> DataFrame:
     """One page of the functions of a zone or path prefix, by id."""
     z = files.select(F.col("path").alias("file"), F.col("zone_name"))
-    rows = with_callers(functions, edges).join(z, "file").where((F.col("zone_name") == zone) | (F.col("file") == zone) | F.col("file").startswith(zone.rstrip("/") + "/"))
+    rows = with_callers(functions.select("fn_id", "fn_name", "file"), edges).join(z, "file").where((F.col("zone_name") == zone) | (F.col("file") == zone) | F.col("file").startswith(zone.rstrip("/") + "/"))
     return rows.select("fn_id", "fn_name", "callers").orderBy("fn_id").offset(offset).limit(limit)
 
 
@@ -344,7 +348,7 @@ def name_prefixes(functions: DataFrame, most: int = 5) -> DataFrame:
 
 def median_function(functions: DataFrame, edges: DataFrame) -> DataFrame:
     """Per project the function in the upper middle by callers (ties by id)."""
-    rows = with_callers(functions, edges).select("project", "fn_id", "callers")
+    rows = with_callers(functions.select("project", "fn_id"), edges).select("project", "fn_id", "callers")
     n = rows.groupBy("project").agg((F.floor(F.count(F.lit(1)) / 2) + 1).alias("middle"))
     r = numbered(rows, "project", [F.col("callers"), F.col("fn_id")], "r").join(n, "project")
     return r.where("r = middle").select("project", "fn_id", "callers")

@@ -56,12 +56,13 @@ def dismissed(old: DataFrame, new: DataFrame) -> DataFrame:
     return old.unionByName(new).groupBy("category", "title").agg(F.min("dismissed_at").alias("dismissed_at"))
 
 
-def task_lint(c: Column) -> Column:
-    """Warnings on a task text: under three words, several tasks in one."""
+def task_lint(c: Column, top_score: Column | None = None) -> Column:
+    """Warnings on a task text: under three words, several tasks in one and, where the best score of a search for it is given, one under 0.5 as unclear."""
     words = F.filter(F.split(F.trim(F.coalesce(c, F.lit(""))), r"\s+"), lambda w: w != "")
     verbs = F.size(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"\b(add|fix|change|remove|rename|update|move|split|merge|create|write)\b"), F.lit(1)))
     several = F.lower(c).rlike(r"\band\b|&") & (verbs >= 2)
-    return F.filter(F.array(F.when(F.size(words) < 3, F.lit("short")), F.when(several, F.lit("several"))), lambda x: x.isNotNull())
+    unclear = F.lit(False) if top_score is None else F.coalesce(top_score < 0.5, F.lit(False))
+    return F.filter(F.array(F.when(F.size(words) < 3, F.lit("short")), F.when(several, F.lit("several")), F.when(unclear, F.lit("unclear"))), lambda x: x.isNotNull())
 
 
 def commit_message(c: Column, ticket: str = r"[A-Z]{2,}-\d+", template: str = "{ticket}: {message}") -> Column:

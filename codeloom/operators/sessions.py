@@ -197,9 +197,13 @@ def merge_insights(insights: DataFrame) -> DataFrame:
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
+        match = SequenceMatcher(None)
         for row in group.sort_values("id").itertuples():
+            match.set_seq2(row.text or "")
             for k in kept:
-                if row.text and k[1] and SequenceMatcher(None, k[1], row.text).ratio() > 0.8:
+                match.set_seq1(k[1] or "")
+                # the two quick ratios are upper bounds
+                if row.text and k[1] and match.real_quick_ratio() > 0.8 and match.quick_ratio() > 0.8 and match.ratio() > 0.8:
                     k[2] += row.n
                     k[3] += row.turns
                     break

@@ -368,3 +368,19 @@ def broken_call_sites(g):
     w = tool_plans.impact_check(g).where("warning = 'broken_caller'").select(*STEP, "target")
     e = g.edges_each().select(*STEP, F.col("target_fn").alias("target"), "source_fn", "site_file", "line")
     return w.join(e, [*STEP, "target"]).distinct()
+
+
+@plan(""", roots AS (SELECT project, coalesce(min(path) FILTER (string_split(path, '/')[-1] IN ('app.py', 'main.py', 'manage.py', 'wsgi.py', 'asgi.py', '__main__.py', 'server.py', 'run.py')), min(path)) AS root FROM fl GROUP BY 1),
+walk AS (SELECT root AS path, 0 AS depth FROM roots UNION ALL SELECT i.target_file, w.depth + 1 FROM walk w JOIN im i ON i.source_file = w.path WHERE w.depth < 2), cd AS (SELECT target_fn AS fn_id, count(*) AS callers FROM ed GROUP BY 1), z AS (SELECT path AS file, coalesce(zone_name, 'unknown') AS zone FROM fl)
+SELECT z.zone, count(DISTINCT z.file) AS n_files, count(fn.fn_id) AS n_functions, count(fn.route) AS n_routes, count(*) FILTER (coalesce(cd.callers, 0) > 0) AS n_locked, count(DISTINCT z.file) FILTER (z.file IN (SELECT path FROM walk)) AS n_startup FROM z LEFT JOIN fn USING (file) LEFT JOIN cd USING (fn_id) GROUP BY 1""")
+def zone_map_with_startup(g):
+    start = G.bounded_bfs(g.imports(), G.entry_points(g.files("project")), 2)
+    return G.zone_map(g.functions("route"), g.edges(), g.files("zone_name"), start)
+
+
+@plan(_SESS + ", p AS (SELECT session_id, t, json_extract_string(message, '$.content') AS said FROM e WHERE kind = 'user' AND t IS NOT NULL AND json_type(message, '$.content') = 'VARCHAR' AND length(json_extract_string(message, '$.content')) > 2) SELECT session_id, min(said) AS first_prompt FROM p JOIN (SELECT session_id, min(t) AS t FROM p GROUP BY 1) m USING (session_id, t) GROUP BY 1", "")
+def session_prompts(g):
+    """The first text a user wrote in each session; of equal times the smaller."""
+    e = _entries(g)
+    text = (F.col("kind") == "user") & (F.schema_of_variant(F.try_variant_get(F.try_parse_json("message"), "$.content", "variant")) == "STRING") & F.col("t").isNotNull() & (F.length("content") > 2)
+    return e.where(text).groupBy("session_id").agg(F.min(F.struct("t", "content")).alias("m")).select("session_id", F.col("m.content").alias("first_prompt"))

@@ -145,3 +145,18 @@ def test_scratch_tables_that_a_result_does_not_read_are_given_up(spark):
     kept = tmp.save(spark.range(6), "b")
     tmp.keep_only("b")
     assert kept.count() == 6 and [d.split("_")[1] for d in os.listdir(tmp.root.removeprefix("file://").removeprefix("file:"))] == ["b"]
+
+
+def test_task_lint(spark):
+    from codeloom.operators import rules as R
+
+    df = spark.createDataFrame([("fix it", 0.9), ("add the price and remove the cache", 0.9), ("tidy up the price loader", 0.2), (None, None)], "c string, s double")
+    assert [r.x for r in df.select(R.task_lint(F.col("c"), F.col("s")).alias("x")).collect()] == [["short"], ["several"], ["unclear"], ["short"]]
+
+
+def test_callers_that_may_be_reused(spark):
+    from codeloom.operators import search as S
+
+    f = spark.createDataFrame([("a", []), ("b", [("ticketPrice", None, None)]), ("c", [("x", None, None)])], "fn_id string, params array<struct<name:string,type_hint:string,default_value:string>>")
+    e = spark.createDataFrame([("b", "a"), ("c", "a")], "source_fn string, target_fn string")
+    assert [tuple(r) for r in S.reuse_suggestions(f.where("fn_id = 'a'"), f, e, "sum the ticket prices").collect()] == [("a", "b", "ticket")]
