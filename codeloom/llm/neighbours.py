@@ -160,16 +160,17 @@ def nearest_vectors(vectors: DataFrame, k: int = 5, dim: int = 64, probes: int |
     """
     spark: SparkSession = vectors.sparkSession
     tmp = Scratch(spark, "neighbours")
-    ids = tmp.save(vectors.select("id", F.col("vec").cast("array<float>").alias("vec"), F.xxhash64("vec").alias("h")), "ids")
-    # exact copies: one representative each, with the k + 1 smallest ids of its copies
-    firsts = ids.groupBy("h", "vec").agg(F.min("id").alias("rep"))
     pack = F.pandas_udf(lambda s: pd.Series([np.asarray(v, dtype=np.float32).tobytes() for v in s]), "binary")
-    reps = tmp.save(firsts.select("rep", "h", "vec", pack("vec").alias("raw"), F.monotonically_increasing_id().alias("rid")), "reps")
+    packed = vectors.select("id", pack(F.col("vec").cast("array<float>")).alias("raw"))
+    ids = tmp.save(packed.withColumn("h", F.xxhash64("raw")), "ids")
+    # exact copies: one representative each, with the k + 1 smallest ids of its copies
+    firsts = ids.groupBy("h", "raw").agg(F.min("id").alias("rep"))
+    reps = tmp.save(firsts.select("rep", "h", "raw", F.monotonically_increasing_id().alias("rid")), "reps")
     hot = hot_keys(ids, "h")
-    owner = reps.select("h", F.col("vec").alias("v2"), "rid")
+    owner = reps.select("h", F.col("raw").alias("raw2"), "rid")
     is_hot = F.col("h").isin(hot)
     member = ids.where(~is_hot).join(owner.where(~is_hot), "h").unionByName(ids.where(is_hot).join(F.broadcast(owner.where(is_hot)), "h")) if hot else ids.join(owner, "h")
-    kept = tmp.save(member.where("vec = v2").select("id", "rid"), "members")
+    kept = tmp.save(member.where("raw = raw2").select("id", "rid"), "members")
     few = kept.withColumn("n", F.row_number().over(W.partitionBy("rid").orderBy("id"))).where(F.col("n") <= k + 1)
     few = tmp.save(few.groupBy("rid").agg(F.array_sort(F.collect_list("id")).alias("copies")), "copies")
 
