@@ -48,7 +48,7 @@ def reuse_suggestions(hits: DataFrame, functions: DataFrame, edges: DataFrame, i
 
 def intent_category(c: Column) -> Column:
     """change, create or unknown by the stems of a text; change goes first."""
-    words = F.array_distinct(F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z]+)"), F.lit(1)), T.stem))
+    words = F.transform(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z]+)"), F.lit(1))), T.stem)
     stems = lambda ws: F.transform(F.array(*[F.lit(w) for w in ws]), T.stem)
     return F.when(F.arrays_overlap(words, stems(CHANGE)), "change").when(F.arrays_overlap(words, stems(CREATE)), "create").otherwise("unknown")
 

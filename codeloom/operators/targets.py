@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import text as T
+from codeloom.runtime import Scratch
 
 # Extensions of source files, markers of tests, and the least length of a fuzzy name.
 EXTENSIONS = "py|pyi|ts|tsx|js|jsx|mjs|cjs|java|go|rs|cs"
@@ -132,6 +133,7 @@ def resolve_targets(docs: DataFrame, files: DataFrame, functions: DataFrame, att
         explicit = explicit.unionByName(p)
     fuzzy = fuzzy_targets(docs, files, functions)
     both = explicit.withColumn("rank", F.lit(0)).unionByName(fuzzy.withColumn("rank", F.lit(1))).groupBy("doc_id", "kind", "target").agg(F.min("rank").alias("rank"))
+    both = Scratch(docs.sparkSession, "targets").save(both, "found")  # read four times below; the texts are searched once
     zones = both.where("kind = 'zone'").select("doc_id", F.col("target").alias("zone_name"))
     alone = zones.join(both.where("kind = 'path'").select("doc_id"), "doc_id", "left_anti").join(docs.select("doc_id", "project"), "doc_id")
     of_zone = alone.join(files.select("project", "zone_name", "path"), ["project", "zone_name"]).select("doc_id", F.lit("path").alias("kind"), F.col("path").alias("target"), F.lit(1).alias("rank"))
@@ -155,4 +157,4 @@ def function_by_name(wanted: DataFrame, functions: DataFrame) -> DataFrame:
 def shrink_intent(c: Column, removals: list[str]) -> Column:
     """True for a text that speaks, by its stems, of taking values away."""
     stems = F.transform(F.array(*[F.lit(w) for w in removals]), T.stem)
-    return F.arrays_overlap(F.transform(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z0-9]*)"), F.lit(1)), T.stem), stems)
+    return F.arrays_overlap(F.transform(F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit(r"([a-z][a-z0-9]*)"), F.lit(1))), T.stem), stems)
