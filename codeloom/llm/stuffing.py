@@ -3,7 +3,7 @@
 Method: words and neighbouring pairs are counted over the whole corpus, and every passage of
 every page gets the mean pointwise mutual information (PMI) of its neighbours. What is too
 little for language is read off the corpus itself: far below the lower quantiles of the passages
-of a held-out half of the pages, an upper quantile for strings of short items, whose neighbours have to
+of all pages, an upper quantile for strings of short items, whose neighbours have to
 belong together like set phrases to be more than tags. Pairs that a page repeats beyond what the
 corpus lets expect are excessive collocations. A passage counts as stuffing if it is a list of
 links without explanations, repeats its collocations, or is incoherent by its PMI. A page is
@@ -20,6 +20,7 @@ import pandas as pd
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from codeloom.runtime import Scratch
@@ -33,10 +34,11 @@ COVER, VARIETY = 0.5, 0.54
 COVER_LIST, VARIETY_LIST, LIST_WORDS = 0.55, 0.8, 5.3
 ITEM_WORDS, ITEMS = 3.4, 5  # mean words and number of items that make a passage a string of items
 SMOOTH = 0.5  # added to the counts of words and pairs
-#: By the mean PMI of held-out passages, any passage is word salad that lies so many times the distance from quartile to median below the median (a quarter of salad in the corpus doesn't move that), and a string of items is under this quantile.
+#: By the mean PMI of all passages that aren't stuffing or items by themselves, any passage is word salad that lies so many times the distance from quartile to median below the median (a quarter of salad in the corpus doesn't move that), and a string of items is under this quantile.
 SALAD_SPREAD, ITEMS_QUANTILE = 6.0, 0.85
 #: What the two limits are taken to be before any passage is seen, and the number of passages that this counts as.
 PRIOR, PRIOR_WEIGHT = (1.5, 6.5), 200
+BINS = 1024  # steps of a bit in which passages are counted before the quantiles are looked up within a step
 SALAD_WORDS = 12  # words that a passage needs for its PMI to tell anything
 LINK_WORDS = 6  # words of explanation a link needs
 
@@ -249,6 +251,21 @@ def _judge_block(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
     return pd.concat([out, none]) if len(none) else out
 
 
+def quantiles(values: DataFrame, col: str, parts: list[float]) -> DataFrame:
+    """One row: k, the number of values (none of them NaN), and q, for each part the smallest value with at least that part of them up to itself, null without values.
+
+    Exact, from every value: they are counted in steps, and only the steps that hold a quantile are sorted.
+    """
+    values = values.where(F.col(col).isNotNull()).select(F.floor(F.col(col) * BINS).alias("bin"), F.col(col).alias("v"))
+    upto = F.sum("c").over(W.orderBy("bin"))  # as many rows as steps
+    bins = values.groupBy("bin").agg(F.count("*").alias("c")).select("bin", "c", upto.alias("upto"), F.sum("c").over(W.partitionBy()).alias("k"))
+    ranks = F.array(*(F.greatest(F.ceil(F.col("k") * F.lit(p)), F.lit(1)) for p in parts))
+    wanted = bins.select("bin", "k", (F.col("upto") - F.col("c")).alias("before"), "upto", F.posexplode(ranks).alias("i", "rank")).where("rank > before and rank <= upto")
+    held = values.join(F.broadcast(wanted.select("bin").distinct()), "bin").withColumn("place", F.row_number().over(W.partitionBy("bin").orderBy("v")))
+    found = held.join(F.broadcast(wanted), "bin").where("place = rank - before")
+    return found.agg(F.coalesce(F.max("k"), F.lit(0)).alias("k"), F.array(*(F.max(F.when(F.col("i") == i, F.col("v"))) for i in range(len(parts)))).alias("q"))
+
+
 def stuffed_pages(docs: DataFrame) -> DataFrame:
     """(doc_id, words, stuffed) of the pages of docs(doc_id, text) that are stuffed for more than half.
 
@@ -273,9 +290,8 @@ def stuffed_pages(docs: DataFrame) -> DataFrame:
     pages = notes.where("kind = 2").select("block", "doc_id", "total", "links", "ns", "ws", "vs", "items", "slots")
     judged = tmp.save(pages.groupBy("block").cogroup(told.groupBy("at")).applyInPandas(_judge_block, JUDGED), "judged")
     tmp.keep_only("judged")
-    # what is usual is read off the passages of one half of the pages
-    usual = judged.where((F.col("words") >= SALAD_WORDS) & ~F.col("sure") & ~F.col("items") & (F.pmod(F.xxhash64("doc_id"), F.lit(2)) == 0))
-    usual = usual.agg(F.count("pmi").alias("k"), F.percentile_approx("pmi", [0.25, 0.5, ITEMS_QUANTILE], 10_000).alias("q"))
+    # what is usual is read off the passages of all pages
+    usual = quantiles(judged.where((F.col("words") >= SALAD_WORDS) & ~F.col("sure") & ~F.col("items")), "pmi", [0.25, 0.5, ITEMS_QUANTILE])
     shrunk = lambda q, prior: (F.col("k") * F.coalesce(q, F.lit(0.0)) + PRIOR_WEIGHT * prior) / (F.col("k") + PRIOR_WEIGHT)
     usual = usual.select(shrunk(F.col("q")[1] - SALAD_SPREAD * (F.col("q")[1] - F.col("q")[0]), PRIOR[0]).alias("low"), shrunk(F.col("q")[2], PRIOR[1]).alias("low_items"))
     bad = F.col("sure") | (F.col("items") & (F.col("pmi") < F.col("low_items"))) | ((F.col("words") >= SALAD_WORDS) & (F.col("pmi") < F.col("low")))

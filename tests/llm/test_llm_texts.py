@@ -174,6 +174,29 @@ def test_salad_without_separators_and_bare_domains(spark):
     assert {r.doc_id for r in S.stuffed_pages(spark.createDataFrame(docs, "doc_id long, text string")).collect()} == {900, 901, 902, 904}
 
 
+def test_limits_come_from_every_page_whatever_its_number(spark):
+    pick = np.random.default_rng(7)
+    names, acts, ends = "order pallet batch sensor course score widget harvest build route policy session".split(), "sorts checks keeps merges counts clears".split(), "before the page is drawn,after the lock is taken,once for each store,when the day ends".split(",")
+    say = lambda: f"The {pick.choice(names)} loader {pick.choice(acts)} every open {pick.choice(names)} of the shared table {pick.choice(ends)} "
+    prose = [" ".join(say() for _ in range(12)) for _ in range(160)]
+    words = " ".join(prose).split()
+    every = lambda n: " ".join(words[pick.integers(len(words))] if i % n == 0 else w for i, w in enumerate(" ".join(say() for _ in range(20)).split()))
+    texts = prose + [every(n) for n in (2, 3, 4, 5, 6, 8, 10)]
+    got = []
+    for half in (0, 1):  # numbers whose hashes are all even, or all odd
+        ids = [r.id for r in spark.range(2000).where(f"pmod(xxhash64(id), 2) = {half}").limit(len(texts)).collect()]
+        got.append({ids.index(r.doc_id) for r in S.stuffed_pages(spark.createDataFrame(list(zip(ids, texts)), "doc_id long, text string")).collect()})
+    assert got == [set(range(160, 167))] * 2
+
+
+def test_quantiles_are_exact(spark):
+    pick, parts = np.random.default_rng(3), [0.25, 0.5, 0.85]
+    for v in (pick.normal(3, 2, 40_001), np.concatenate([np.full(700, 3.25), pick.normal(3, 1e-5, 500), [-9.0, 40.0]]), np.array([1.5])):
+        r = S.quantiles(spark.createDataFrame([(float(x),) for x in v] + [(None,)], "pmi double"), "pmi", parts).first()
+        assert (r.k, r.q) == (len(v), [float(np.quantile(v, p, method="inverted_cdf")) for p in parts])
+    assert S.quantiles(spark.createDataFrame([], "pmi double"), "pmi", parts).first() == (0, [None] * 3)
+
+
 def test_switches_within_a_sentence_are_segments(spark, data):
     texts = L.labelled_texts(spark, os.path.dirname(data) + "/sf0.01").where("text is not null").cache()
     weights = L.fitted(spark, L.training_rows(texts))
